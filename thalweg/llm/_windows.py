@@ -22,6 +22,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -177,7 +178,7 @@ def repeats(docs: DataFrame, tokens: Tokens, window: int, k: int, both: bool, bu
     def send_open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             spans = batch.column(2)
-            ids, bounds, flat = batch.column(0), np.r_[0, np.cumsum(spans.value_lengths().to_numpy())], spans.flatten()
+            ids, bounds, flat = batch.column(0), _bounds(spans), spans.flatten()
             start, n, gram = (flat.field(x).to_numpy(zero_copy_only=False) for x in ("start", "n", "gram"))
             for first, end, data, offsets in _text.pieces(batch.column(1)):
                 lo, hi = bounds[first], bounds[end]
@@ -187,16 +188,15 @@ def repeats(docs: DataFrame, tokens: Tokens, window: int, k: int, both: bool, bu
                     yield pa.RecordBatch.from_arrays([pa.array((gram[lo:hi].astype(np.uint64) % np.uint64(buckets)).astype(np.int32)), pa.array(gram[lo:hi]), ids.take(pa.array(rows + first)), pa.array(start[lo:hi], pa.int32()), pa.array(n[lo:hi], pa.int32()), pa.array(bodies, pa.binary())], ["bucket", "gram", "doc_id", "start", "n", "body"])
 
     wanted = per_doc(found.filter("open"), "start", "n", "gram")
-    sent = dealt.join(wanted, "doc_id").mapInArrow(send_open, "bucket int, gram bigint, doc_id bigint, start int, n int, body binary")
+    # a left join, as below: both read one exchange of the documents
+    sent = dealt.join(wanted, "doc_id", "left").mapInArrow(send_open, "bucket int, gram bigint, doc_id bigint, start int, n int, body binary")
     compared = sent.groupBy("bucket").applyInArrow(compare_fn, SPANS)
     spans = per_doc(found.filter("not open").select("doc_id", "start", "n").unionByName(compared), "start", "n")
 
     def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, spans = batch.column(0).to_pylist(), batch.column(2)
-            lengths = np.nan_to_num(spans.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
-            bounds = np.r_[0, np.cumsum(lengths)]
-            flat = spans.flatten()
+            bounds, flat = _bounds(spans), spans.flatten()
             start, n = (flat.field(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in ("start", "n"))
             for first, end, data, offsets in _text.pieces(batch.column(1)):
                 rows = [finish(ids[i], data[offsets[i - first] : offsets[i - first + 1]], start[bounds[i] : bounds[i + 1]], n[bounds[i] : bounds[i + 1]]) for i in range(first, end)]
@@ -206,6 +206,10 @@ def repeats(docs: DataFrame, tokens: Tokens, window: int, k: int, both: bool, bu
     return dealt.join(spans, "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(last, schema)
 
 
+def _bounds(lists: pa.ListArray) -> np.ndarray:
+    return np.r_[0, np.cumsum(pc.fill_null(lists.value_lengths(), 0).to_numpy(), dtype=np.int64)]
+
+
 def covered(n_tokens: int, window: int, start: np.ndarray, n: np.ndarray) -> np.ndarray:
     """Which tokens lie in a window of one of the spans."""
     step = np.zeros(n_tokens + 1, np.int64)
