@@ -74,6 +74,17 @@ def test_words(spark, seed):
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in rows} == brute_words(docs)
 
 
+@pytest.mark.parametrize("f, brute", [(suffix_dedup, brute_bytes), (substring_dedup, brute_words)])
+def test_hot_gram(spark, f, brute, monkeypatch):
+    """A line that many documents continue in their own ways."""
+    r = random.Random(9)
+    say = lambda n: " ".join(f"w{r.randrange(500)}" for _ in range(n))
+    line, ends = say(30), [say(9) for _ in range(40)]
+    docs = {d: f"{say(r.randint(0, 9))} {line} {r.choice(ends)} {say(5)}" for d in range(700)}
+    rows = f(spark.createDataFrame(list(docs.items()), "doc_id bigint, text string").repartition(3)).collect()
+    assert {r[0]: tuple(r)[1:] for r in rows} == brute(docs)
+
+
 @pytest.mark.parametrize("f", [suffix_dedup, substring_dedup])
 def test_edges(spark, f):
     assert f(spark.createDataFrame([], SCHEMA)).count() == 0

@@ -9,7 +9,9 @@ whose anchor k-gram is equal need to be compared. The passes:
 2. runs are dealt by k-gram; equal texts settle all windows of a run at once;
    runs that share a k-gram but differ somewhere are left open;
 3. the text of open runs, and of no others, is dealt by k-gram and compared
-   window by window.
+   window by window. Where a k-gram has more than HOT texts (a line that
+   very many documents continue in their own ways), its windows are dealt one
+   by one by their fingerprints instead, and no task gets them all.
 
 Runs with equal text inside one task's piece of input are settled there, so a
 text that fills a third of the corpus reaches its bucket once per piece.
@@ -29,12 +31,20 @@ from pyspark.sql import functions as F
 from . import _text
 
 RUNS = "bucket int, gram array<bigint>, body array<bigint>, doc array<bigint>, start array<int>, n array<int>, copies array<int>"
-MARKS = "doc_id bigint, start int, n int, gram bigint, open boolean"
+#: state: how far a run got
+MARKS = "doc_id bigint, start int, n int, gram bigint, state int"
+SETTLED, OPEN, HOT_OPEN = 0, 1, 2
+#: Texts of one k-gram that one task compares.
+HOT = 256
+#: texts: of open runs; null where a row holds fingerprints alone
+TEXTS = RUNS + ", texts array<binary>"
 SPANS = "doc_id bigint, start int, n int"
 #: Runs that a task keeps before it settles and sends them.
 FLUSH = 1 << 19
 
-#: kept, dropped: of runs sorted by (gram, body, doc, start).
+COLUMNS = {"gram": np.int64, "body": np.int64, "doc": np.int64, "start": np.int32, "n": np.int32, "copies": np.int32}
+
+#: The columns above, an item for each run.
 Runs = dict[str, np.ndarray]
 
 
@@ -89,20 +99,27 @@ def concat(parts: list[Runs]) -> Runs:
     return {k: np.concatenate([x[k] for x in parts]) for k in parts[0]}
 
 
-def _send(runs: Runs, buckets: int, both: bool) -> Iterator[pa.RecordBatch]:
-    """One row for each bucket. What is settled here goes along under a bucket of its document, with gram 0 copies 0."""
-    kept, others = settle(sort_runs(runs))
-    settled = [others] if not both else [others, {k: v[kept["copies"] > 1] for k, v in kept.items()}]
-    done = concat(settled)
-    bucket = np.concatenate([kept["gram"].astype(np.uint64) % np.uint64(buckets), _text.mix(done["doc"].astype(np.uint64)) % np.uint64(buckets)]).astype(np.int32)
-    done["copies"] = np.zeros(len(done["doc"]), np.int32)
-    every = concat([kept, done])
+def _rows(bucket: np.ndarray, every: Runs, texts: list[bytes] | None = None) -> pa.RecordBatch:
+    """One row for each bucket."""
     order = np.argsort(bucket, kind="stable")
     bucket = bucket[order]
     heads = np.flatnonzero(np.r_[True, np.diff(bucket) != 0]) if len(bucket) else np.zeros(0, int)
     bounds = np.r_[heads, len(bucket)]
-    cols = [pa.array(bucket[heads], pa.int32())] + [_text.lists(bounds, every[k][order].astype(t)) for k, t in (("gram", np.int64), ("body", np.int64), ("doc", np.int64), ("start", np.int32), ("n", np.int32), ("copies", np.int32))]
-    yield pa.RecordBatch.from_arrays(cols, ["bucket", "gram", "body", "doc", "start", "n", "copies"])
+    cols = [pa.array(bucket[heads], pa.int32())] + [_text.lists(bounds, every[k][order].astype(t)) for k, t in COLUMNS.items()]
+    if texts is None:
+        last = pa.nulls(len(heads), pa.list_(pa.binary()))
+    else:
+        last = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array([texts[i] for i in order.tolist()], pa.binary()))
+    return pa.RecordBatch.from_arrays([*cols, last], ["bucket", *COLUMNS, "texts"])
+
+
+def _send(runs: Runs, buckets: int, both: bool) -> pa.RecordBatch:
+    """What is settled here (all but the first of each text; with `both` the first as well) goes along under a bucket of its document, with copies 0."""
+    kept, others = settle(sort_runs(runs))
+    done = concat([others] if not both else [others, {k: v[kept["copies"] > 1] for k, v in kept.items()}])
+    bucket = np.concatenate([kept["gram"].astype(np.uint64) % np.uint64(buckets), _text.mix(done["doc"].astype(np.uint64)) % np.uint64(buckets)]).astype(np.int32)
+    done["copies"] = np.zeros(len(done["doc"]), np.int32)
+    return _rows(bucket, concat([kept, done]))
 
 
 Tokens = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
@@ -129,10 +146,10 @@ def _runs(docs: DataFrame, tokens: Tokens, window: int, k: int, buckets: int, bo
                     held.append(runs)
                     count += len(runs["n"])
                 if count > FLUSH:
-                    yield from _send(concat(held), buckets, both)
+                    yield _send(concat(held), buckets, both).drop_columns("texts")
                     held, count = [], 0
         if held:
-            yield from _send(concat(held), buckets, both)
+            yield _send(concat(held), buckets, both).drop_columns("texts")
 
     return docs.mapInArrow(deal, RUNS)
 
@@ -140,25 +157,26 @@ def _runs(docs: DataFrame, tokens: Tokens, window: int, k: int, buckets: int, bo
 def batches_of(table: pa.Table) -> Iterator[Runs]:
     """What each piece of input sent to a bucket; what was settled there comes as {"done": runs}."""
     for batch in table.to_batches():
-        arrays = {k: batch.column(k).flatten().to_numpy(zero_copy_only=False) for k in ("gram", "body", "doc", "start", "n", "copies")}
+        arrays = {k: batch.column(k).flatten().to_numpy(zero_copy_only=False) for k in COLUMNS}
         live = arrays["copies"] > 0
         yield {k: v[live] for k, v in arrays.items()} | {"done": {k: v[~live] for k, v in arrays.items()}}
 
 
-def marks(parts: list[tuple[Runs, bool]]) -> pa.Table:
-    """Rows of MARKS: runs that are settled (False) or open (True)."""
+def marks(parts: list[tuple[Runs, np.ndarray | int]]) -> pa.Table:
+    """Rows of MARKS from runs and their states."""
     return pa.concat_tables(
-        [pa.table({"doc_id": pa.array(r["doc"], pa.int64()), "start": pa.array(r["start"], pa.int32()), "n": pa.array(r["n"], pa.int32()), "gram": pa.array(r["gram"], pa.int64()), "open": pa.array(np.full(len(r["doc"]), o))}) for r, o in parts]
+        [pa.table({"doc_id": pa.array(r["doc"], pa.int64()), "start": pa.array(r["start"], pa.int32()), "n": pa.array(r["n"], pa.int32()), "gram": pa.array(r["gram"], pa.int64()), "state": pa.array(np.broadcast_to(s, len(r["doc"])), pa.int32())}) for r, s in parts]
     )
 
 
-def open_runs(runs: Runs) -> Runs:
-    """Of sorted runs with distinct texts, those whose gram another text has too."""
-    if not len(runs["gram"]):
-        return runs
-    same = np.r_[False, np.diff(runs["gram"]) == 0, False]
-    near = same[:-1] | same[1:]
-    return {k: v[near] for k, v in runs.items()}
+def open_runs(runs: Runs) -> tuple[Runs, np.ndarray]:
+    """Of sorted runs with distinct texts, those whose gram another text has too, and their states."""
+    gram = runs["gram"]
+    heads = np.flatnonzero(np.r_[True, np.diff(gram) != 0]) if len(gram) else np.zeros(0, int)
+    texts = np.diff(np.r_[heads, len(gram)])
+    texts = np.repeat(texts, texts)
+    near = texts > 1
+    return {k: v[near] for k, v in runs.items()}, np.where(texts[near] > HOT, HOT_OPEN, OPEN)
 
 
 def repeats(docs: DataFrame, tokens: Tokens, window: int, k: int, both: bool, bucket_fn: Callable, compare_fn: Callable, cut: Callable, finish: Callable, schema: str) -> DataFrame:
@@ -178,20 +196,26 @@ def repeats(docs: DataFrame, tokens: Tokens, window: int, k: int, both: bool, bu
     def send_open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             spans = batch.column(2)
-            ids, bounds, flat = batch.column(0), _bounds(spans), spans.flatten()
-            start, n, gram = (flat.field(x).to_numpy(zero_copy_only=False) for x in ("start", "n", "gram"))
+            bounds, flat = _bounds(spans), spans.flatten()
+            ids = pc.fill_null(batch.column(0), 0).to_numpy()
+            every = {x: flat.field(x).to_numpy(zero_copy_only=False) for x in ("start", "n", "gram", "state")}
             for first, end, data, offsets in _text.pieces(batch.column(1)):
                 lo, hi = bounds[first], bounds[end]
-                if hi > lo:
-                    rows = _text.row_of(bounds[first : end + 1] - lo)
-                    bodies = cut(data, offsets, rows, start[lo:hi].astype(np.int64), n[lo:hi].astype(np.int64))
-                    yield pa.RecordBatch.from_arrays([pa.array((gram[lo:hi].astype(np.uint64) % np.uint64(buckets)).astype(np.int32)), pa.array(gram[lo:hi]), ids.take(pa.array(rows + first)), pa.array(start[lo:hi], pa.int32()), pa.array(n[lo:hi], pa.int32()), pa.array(bodies, pa.binary())], ["bucket", "gram", "doc_id", "start", "n", "body"])
-
-    wanted = per_doc(found.filter("open"), "start", "n", "gram")
+                if hi == lo:
+                    continue
+                row, runs = _text.row_of(bounds[first : end + 1] - lo), {x: v[lo:hi] for x, v in every.items()}
+                runs |= {"row": row, "doc": ids[row + first], "body": np.zeros(hi - lo, np.int64), "copies": np.ones(hi - lo, np.int32)}
+                hot = runs.pop("state") == HOT_OPEN
+                warm, hot = ({x: v[keep] for x, v in runs.items()} for keep in (~hot, hot))
+                if len(warm["row"]):
+                    yield _rows((warm["gram"].astype(np.uint64) % np.uint64(buckets)).astype(np.int32), warm, cut(data, offsets, warm["row"], warm["start"].astype(np.int64), warm["n"].astype(np.int64)))
+                if len(hot["row"]):
+                    yield _send(_single_windows(hot, *tokens(data, offsets), window), buckets, both)
+
+    wanted = per_doc(found.filter(F.col("state") != SETTLED), "start", "n", "gram", "state")
     # a left join, as below: both read one exchange of the documents
-    sent = dealt.join(wanted, "doc_id", "left").mapInArrow(send_open, "bucket int, gram bigint, doc_id bigint, start int, n int, body binary")
-    compared = sent.groupBy("bucket").applyInArrow(compare_fn, SPANS)
-    spans = per_doc(found.filter("not open").select("doc_id", "start", "n").unionByName(compared), "start", "n")
+    compared = dealt.join(wanted, "doc_id", "left").mapInArrow(send_open, TEXTS).groupBy("bucket").applyInArrow(lambda t: _compared(t, bucket_fn, compare_fn), SPANS)
+    spans = per_doc(found.filter(F.col("state") == SETTLED).select("doc_id", "start", "n").unionByName(compared), "start", "n")
 
     def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -219,12 +243,37 @@ def covered(n_tokens: int, window: int, start: np.ndarray, n: np.ndarray) -> np.
     return np.cumsum(step)[:n_tokens] > 0
 
 
+def _single_windows(runs: Runs, codes: np.ndarray, bounds: np.ndarray, window: int) -> Runs:
+    """Each window of the runs as a run of its own, under its fingerprint."""
+    n = runs["n"].astype(np.int64)
+    each = np.repeat(np.arange(len(n)), n)
+    start = runs["start"].astype(np.int64)[each] + np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)
+    at = bounds[runs["row"][each]] + start
+    ok = at + window <= len(codes)
+    each, start, at = each[ok], start[ok], at[ok]
+    prints = _text.span_hash(_text.prefix_hash(codes), at, at + window)
+    ones = np.ones(len(at), np.int32)
+    return {"gram": prints, "body": _text.mix(prints), "doc": runs["doc"][each], "start": start, "n": ones, "copies": ones}
+
+
+def _compared(table: pa.Table, bucket_fn: Callable, compare_fn: Callable) -> pa.Table:
+    alone = pc.is_null(table["texts"])
+    out, texts = [], table.filter(pc.invert(alone))
+    if texts.num_rows:
+        flat = {x: pa.concat_arrays([c.flatten() for c in texts[x].chunks]) for x in ("gram", "doc", "start", "n", "texts")}
+        flat = pa.table({"gram": flat["gram"], "doc_id": flat["doc"], "start": flat["start"], "n": flat["n"], "body": flat["texts"]})
+        out.append(compare_fn(flat.sort_by([("gram", "ascending"), ("doc_id", "ascending"), ("start", "ascending")]).combine_chunks()))
+    if texts.num_rows < table.num_rows:
+        found = bucket_fn(table.filter(alone))
+        out.append(found.filter(pc.equal(found["state"], SETTLED)).select(["doc_id", "start", "n"]))
+    return pa.concat_tables(out)
+
+
 def by_gram(table: pa.Table) -> Iterator[pa.Table]:
     """The open runs of one bucket, gram by gram."""
-    table = table.sort_by([("gram", "ascending"), ("doc_id", "ascending"), ("start", "ascending")])
     gram = table["gram"].to_numpy()
-    cuts = np.r_[np.flatnonzero(np.r_[True, np.diff(gram) != 0]), len(gram)] if len(gram) else [0]
-    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+    cuts = np.r_[np.flatnonzero(np.r_[True, np.diff(gram) != 0]), len(gram)]
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
         yield table.slice(a, b - a)
 
 

@@ -5,7 +5,9 @@ not broadcast: a shuffle deals the open runs of _windows.py by anchor k-gram,
 and a shard is the runs of one k-gram. Each shard gets a suffix automaton over
 word fingerprints with the number of places where each state ends; the runs are
 then streamed through it, and wherever the longest match has the window's
-length or more and its state more than one place, the window is a repeat.
+length or more and its state more than one place, the window is a repeat. The
+few k-grams with more texts than a shard takes are counted by the fingerprints
+of their windows instead, spread over all tasks.
 
 Defined results: a null text has no words; rows without doc_id take part in no
 match and are returned whole; rows that repeat a doc_id are one document; extra
@@ -91,11 +93,11 @@ class SuffixAutomaton:
 def _bucket(table: pa.Table) -> pa.Table:
     out, live = [], []
     for batch in _windows.batches_of(table):
-        out.append((batch.pop("done"), False))
+        out.append((batch.pop("done"), _windows.SETTLED))
         live.append(batch)
     kept, others = _windows.settle(_windows.sort_runs(_windows.concat(live)))
     several = kept["copies"] > 1
-    out += [(others, False), ({k: v[several] for k, v in kept.items()}, False), (_windows.open_runs(kept), True)]
+    out += [(others, _windows.SETTLED), ({k: v[several] for k, v in kept.items()}, _windows.SETTLED), _windows.open_runs(kept)]
     return _windows.marks(out)
 
 

@@ -64,11 +64,11 @@ class SuffixLevels:
 def _bucket(table: pa.Table) -> pa.Table:
     family, out = SuffixLevels(), []
     for batch in _windows.batches_of(table):
-        out.append((batch.pop("done"), False))
-        out += [(x, False) for x in family.add(batch)]
+        out.append((batch.pop("done"), _windows.SETTLED))
+        out += [(x, _windows.SETTLED) for x in family.add(batch)]
     index, later = family.finish()
-    out += [(x, False) for x in later]
-    return _windows.marks([*out, (_windows.open_runs(index), True)])
+    out += [(x, _windows.SETTLED) for x in later]
+    return _windows.marks([*out, _windows.open_runs(index)])
 
 
 def _cut(data, offsets, rows, start, n) -> list[bytes]:
@@ -79,18 +79,16 @@ def _cut(data, offsets, rows, start, n) -> list[bytes]:
 def _compare(table: pa.Table) -> pa.Table:
     """Of windows in open runs, those with an earlier equal: a sort of their fingerprints, in slices of whole grams."""
     docs, places = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    table = table.sort_by("gram")
     gram = table["gram"].to_numpy()
     at = 0
     while at < len(gram):
         # enough whole grams for a slice of numpy work
         end = min(len(gram), at + 20_000)
         end = int(np.searchsorted(gram, gram[end - 1], "right"))
-        part = table.slice(at, end - at).combine_chunks()
+        part = table.slice(at, end - at)
         at = end
         n = part["n"].to_numpy().astype(np.int64)
-        bodies = part["body"].combine_chunks() if isinstance(part["body"], pa.ChunkedArray) else part["body"]
-        data, offsets = np.frombuffer(b"".join(bodies.to_pylist()), np.uint8), np.r_[0, np.cumsum(n - 1 + WINDOW)]
+        data, offsets = np.frombuffer(b"".join(part["body"].to_pylist()), np.uint8), np.r_[0, np.cumsum(n - 1 + WINDOW)]
         prefix = _text.prefix_hash(_text.BYTE_CODES[data])
         row = np.repeat(np.arange(len(n)), n)
         off = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
