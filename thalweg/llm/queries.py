@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import substring_dedup, suffix_dedup
+from . import embedding_dedup, fingerprints, minhash_dedup, substring_dedup, suffix_dedup
 
 QUERIES = {
     "op1_suffix_array_dedup": suffix_dedup.op1_suffix_array_dedup,
     "op4_substring_dedup": substring_dedup.op4_substring_dedup,
+    "op5_minhash_near_dedup": minhash_dedup.op5_minhash_near_dedup,
+    "op8_document_fingerprints": fingerprints.op8_document_fingerprints,
+    "op9_embedding_near_dedup": embedding_dedup.op9_embedding_near_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {}
