@@ -63,6 +63,30 @@ def test_minhash_edges(spark):
     assert sorted(((r.doc_id, r.component_id, r.kept) for r in rows), key=str) == [(1, 1, True), (1, 1, True), (2, 1, False), (None, None, True), (None, None, True)]
 
 
+def test_minhash_large_group(spark):
+    """Copies with few and with many edits of one text: components as by brute force."""
+    r = random.Random(8)
+    base = [f"w{i}" for i in range(60)]
+    docs = {}
+    for d in range(150):
+        w = list(base)
+        for _ in range(r.choice([0, 1, 1, 2, 3, 4])):
+            w[r.randrange(60)] = f"x{r.randrange(9999)}"
+        docs[d] = " ".join(w)
+    sets = {d: shingle_set(t, 4) for d, t in docs.items()}
+    root = components(docs, [(a, b) for a in docs for b in docs if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])])
+    rows = minhash_dedup.near_duplicates(spark.createDataFrame(list(docs.items()), "doc_id bigint, text string").repartition(3), 4).collect()
+    assert len(set(root.values())) > 5 and {x.doc_id: x.component_id for x in rows} == root
+
+
+def test_shared_counts(spark):
+    r = random.Random(3)
+    sets = {i: r.sample(range(400), 30) for i in range(40)}
+    got = {x.id: x.shared for x in minhash_dedup.shared_counts(spark.createDataFrame([(i, len(s), sorted(s)) for i, s in sets.items()], "id bigint, n bigint, prints array<bigint>").repartition(4)).collect()}
+    for i, s in sets.items():
+        assert got.get(i, 0) == sum(any(x in t for j, t in sets.items() if j != i) for x in s)
+
+
 def test_pigeonhole():
     """Every pair of signatures under the distance shares a key."""
     r = np.random.default_rng(1)

@@ -9,9 +9,10 @@ with probability 1.6e-6, above it with less. Every candidate is confirmed on
 the full shingle sets.
 
 Equal sets become one class first. In each key the members are compared with
-one leader, then with a second; only pairs that are still in different
-components are then compared with each other, so a large group of copies costs
-two comparisons a member.
+one leader, then with the most central member; only pairs that are then still in
+different components are compared with each other, and of those only the ones
+whose numbers of shared shingles leave the similarity possible. So a large group
+of copies costs two comparisons a member, and heavily edited copies none.
 
 Defined results: a null text is empty; an empty set is linked with nothing;
 rows without doc_id take no part, have no component and are kept; rows that
@@ -31,6 +32,8 @@ from pyspark.sql import functions as F
 from . import _graph, _minhash, _text
 
 CHUNKS, WIDTH, ERRORS = 10, 5, 1
+#: In shared_counts(), in place of an id: several sets have it.
+SEVERAL = -(1 << 63)
 #: Links have PERCENT * union <= 100 * intersection.
 PERCENT = 80
 SKETCH = "doc_id bigint, n bigint, h1 bigint, h2 bigint, signature binary"
@@ -106,11 +109,54 @@ def _alike(a: str, b: str):
     return (F.col(a) * 100 >= F.col(b) * PERCENT) & (F.col(b) * 100 >= F.col(a) * PERCENT)
 
 
+def _reachable(n1: str, s1: str, n2: str, s2: str):
+    """Two sets share no more than the smaller number of their shingles that any two sets share."""
+    most = F.least(s1, s2)
+    return most * 100 >= (F.col(n1) + F.col(n2) - most) * PERCENT
+
+
+def shared_counts(sets: DataFrame) -> DataFrame:
+    """(id, shared): how many shingles of each set another of the sets has too.
+
+    Shingles are dealt by value; one that several sets of a piece of input have
+    is counted there and sent on once, so no shingle gathers in one task.
+    """
+    buckets = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lengths = batch.column(1).value_lengths().to_numpy()
+            prints, ids = batch.column(1).flatten().to_numpy(), np.repeat(batch.column(0).to_numpy(), lengths)
+            _, which, count = np.unique(prints, return_inverse=True, return_counts=True)
+            several = count[which] > 1
+            met, n = np.unique(ids[several], return_counts=True)
+            sent = np.r_[prints[~several], np.unique(prints[several])]
+            owner = np.r_[ids[~several], np.full(len(sent) - int((~several).sum()), SEVERAL)]
+            bucket = (sent.astype(np.uint64) % np.uint64(buckets)).astype(np.int32)
+            home = (_text.mix(met.astype(np.uint64)) % np.uint64(buckets)).astype(np.int32)
+            by_bucket, by_home = np.argsort(bucket, kind="stable"), np.argsort(home, kind="stable")
+            edges = np.arange(buckets + 1)
+            b1, b2 = np.searchsorted(bucket[by_bucket], edges), np.searchsorted(home[by_home], edges)
+            yield pa.RecordBatch.from_arrays([pa.array(edges[:-1].astype(np.int32)), _text.lists(b1, sent[by_bucket]), _text.lists(b1, owner[by_bucket]), _text.lists(b2, met[by_home]), _text.lists(b2, n[by_home])], ["bucket", "prints", "owner", "met", "n"])
+
+    def count(table: pa.Table) -> pa.Table:
+        flat = {c: np.concatenate([x.flatten().to_numpy() for x in table[c].chunks]) for c in ("prints", "owner", "met", "n")}
+        _, which, times = np.unique(flat["prints"], return_inverse=True, return_counts=True)
+        several = np.zeros(len(times), bool)
+        several[which[flat["owner"] == SEVERAL]] = True
+        own = flat["owner"][((times > 1) | several)[which] & (flat["owner"] != SEVERAL)]
+        met, n = np.unique(own, return_counts=True)
+        return pa.table({"id": pa.array(np.r_[flat["met"], met], pa.int64()), "shared": pa.array(np.r_[flat["n"], n], pa.int64())})
+
+    dealt = sets.filter(F.col("id") != SEVERAL).select("id", "prints").mapInArrow(deal, "bucket int, prints array<bigint>, owner array<bigint>, met array<bigint>, n array<bigint>")
+    return dealt.groupBy("bucket").applyInArrow(count, "id bigint, shared bigint").groupBy("id").agg(F.sum("shared").alias("shared"))
+
+
 def _across(members: DataFrame, labels: DataFrame) -> DataFrame:
     """Members of keys that still hold two components, with their component."""
     labelled = members.join(labels.select("id", "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    open_keys = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max_by(F.struct("id", "n", "component"), F.col("component")).alias("leader")).filter("low <> high")
-    return labelled.join(open_keys.select("key", "leader"), "key")
+    open_keys = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
+    return labelled.join(open_keys.select("key"), "key")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5) -> DataFrame:
@@ -131,14 +177,18 @@ def near_duplicates(docs: DataFrame, size: int = 5) -> DataFrame:
     edges = confirmed(tried, sets).checkpoint()
     labels = _graph.connected(edges)
 
+    # what is still apart: who has too few shared shingles for any partner drops out of the comparison by the bound
     rest = _across(members.drop("leader"), labels).checkpoint()
-    again = starred(rest.filter("component <> leader.component")).join(tried, ["a", "b"], "left_anti").checkpoint()
+    shared = shared_counts(sets.join(rest.select("id").distinct(), "id", "left_semi"))
+    rest = rest.join(shared, "id").filter(F.col("shared") * 100 >= F.col("n") * PERCENT).checkpoint()
+    central = rest.groupBy("key").agg(F.max_by(F.struct("id", "n", "shared", "component"), F.struct(F.col("shared") / F.col("n"), "id")).alias("leader"))
+    again = starred(rest.join(central, "key").filter(F.col("component") != F.col("leader.component")).filter(_reachable("n", "shared", "leader.n", "leader.shared"))).join(tried, ["a", "b"], "left_anti").checkpoint()
     edges = edges.union(confirmed(again, sets)).checkpoint()
     labels = _graph.connected(edges)
 
-    rest = _across(rest.select("key", "id", "n"), labels).drop("leader").checkpoint()
-    other = rest.select("key", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("component").alias("component2"))
-    pairs = rest.join(other, "key").filter(F.col("component") < F.col("component2")).filter(_alike("n", "n2"))
+    rest = _across(rest.select("key", "id", "n", "shared"), labels).checkpoint()
+    other = rest.select("key", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("shared").alias("shared2"), F.col("component").alias("component2"))
+    pairs = rest.join(other, "key").filter(F.col("component") < F.col("component2")).filter(_alike("n", "n2")).filter(_reachable("n", "shared", "n2", "shared2"))
     pairs = pairs.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct().join(tried.union(again), ["a", "b"], "left_anti")
     labels = _graph.connected(edges.union(confirmed(pairs, sets)))
 
