@@ -83,6 +83,9 @@ def test_shared_counts(spark):
     r = random.Random(3)
     sets = {i: r.sample(range(400), 30) for i in range(40)}
     got = {x.id: x.shared for x in minhash_dedup.shared_counts(spark.createDataFrame([(i, len(s), sorted(s)) for i, s in sets.items()], "id bigint, n bigint, prints array<bigint>").repartition(4)).collect()}
+    words = {x.id: x.words for x in minhash_dedup.shared_counts(spark.createDataFrame([(i, len(s), sorted(s)) for i, s in sets.items()], "id bigint, n bigint, prints array<bigint>")).collect()}
+    for i, w in words.items():
+        assert sum((x % 2**64).bit_count() for x in w[:-1]) + w[-1] == got[i]
     for i, s in sets.items():
         assert got.get(i, 0) == sum(any(x in t for j, t in sets.items() if j != i) for x in s)
 

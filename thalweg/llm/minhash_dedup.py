@@ -34,6 +34,10 @@ from . import _graph, _minhash, _text
 CHUNKS, WIDTH, ERRORS = 10, 5, 1
 #: In shared_counts(), in place of an id: several sets have it.
 SEVERAL = -(1 << 63)
+#: Classes of shingles, by their upper bits, in which shared_counts() counts.
+CLASSES = 64
+#: A class's count stands as that many bits, one in each word, up to WORDS.
+WORDS = 16
 #: Links have PERCENT * union <= 100 * intersection.
 PERCENT = 80
 SKETCH = "doc_id bigint, n bigint, h1 bigint, h2 bigint, signature binary"
@@ -109,14 +113,36 @@ def _alike(a: str, b: str):
     return (F.col(a) * 100 >= F.col(b) * PERCENT) & (F.col(b) * 100 >= F.col(a) * PERCENT)
 
 
-def _reachable(n1: str, s1: str, n2: str, s2: str):
-    """Two sets share no more than the smaller number of their shingles that any two sets share."""
-    most = F.least(s1, s2)
-    return most * 100 >= (F.col(n1) + F.col(n2) - most) * PERCENT
+def _reachable(n1: str, w1: str, n2: str, w2: str):
+    """Two sets share no more of a class of shingles than the smaller of their numbers of shingles that any two sets share.
+
+    Bit p of word t says that class p has more than t of them, so the smaller
+    numbers of all classes are the bits that two words share; the last entry
+    counts what has no word.
+    """
+    a, b = F.col(w1), F.col(w2)
+    most = F.least(a[WORDS], b[WORDS])
+    for t in range(WORDS):
+        most = most + F.bit_count(a[t].bitwiseAND(b[t]))
+    return most * (100 + PERCENT) >= (F.col(n1) + F.col(n2)) * PERCENT
+
+
+def _plausible(n1: str, s1: str, n2: str, s2: str):
+    """The same by the shared shingles in all, which costs less and comes first."""
+    return F.least(s1, s2) * (100 + PERCENT) >= (F.col(n1) + F.col(n2)) * PERCENT
+
+
+def _tally(ids: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, classes and numbers of the prints of each."""
+    kind = (prints.astype(np.uint64) >> np.uint64(58)).astype(np.int64)
+    order = np.lexsort((kind, ids))
+    ids, kind = ids[order], kind[order]
+    heads = np.flatnonzero(np.r_[True, (np.diff(ids) != 0) | (np.diff(kind) != 0)]) if len(ids) else np.zeros(0, np.int64)
+    return ids[heads], kind[heads], np.diff(np.r_[heads, len(ids)])
 
 
 def shared_counts(sets: DataFrame) -> DataFrame:
-    """(id, shared): how many shingles of each set another of the sets has too.
+    """(id, shared, words): how many shingles of each set another of the sets has too, in all and by class.
 
     Shingles are dealt by value; one that several sets of a piece of input have
     is counted there and sent on once, so no shingle gathers in one task.
@@ -129,7 +155,7 @@ def shared_counts(sets: DataFrame) -> DataFrame:
             prints, ids = batch.column(1).flatten().to_numpy(), np.repeat(batch.column(0).to_numpy(), lengths)
             _, which, count = np.unique(prints, return_inverse=True, return_counts=True)
             several = count[which] > 1
-            met, n = np.unique(ids[several], return_counts=True)
+            met, kind, n = _tally(ids[several], prints[several])
             sent = np.r_[prints[~several], np.unique(prints[several])]
             owner = np.r_[ids[~several], np.full(len(sent) - int((~several).sum()), SEVERAL)]
             bucket = (sent.astype(np.uint64) % np.uint64(buckets)).astype(np.int32)
@@ -137,19 +163,33 @@ def shared_counts(sets: DataFrame) -> DataFrame:
             by_bucket, by_home = np.argsort(bucket, kind="stable"), np.argsort(home, kind="stable")
             edges = np.arange(buckets + 1)
             b1, b2 = np.searchsorted(bucket[by_bucket], edges), np.searchsorted(home[by_home], edges)
-            yield pa.RecordBatch.from_arrays([pa.array(edges[:-1].astype(np.int32)), _text.lists(b1, sent[by_bucket]), _text.lists(b1, owner[by_bucket]), _text.lists(b2, met[by_home]), _text.lists(b2, n[by_home])], ["bucket", "prints", "owner", "met", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(edges[:-1].astype(np.int32)), _text.lists(b1, sent[by_bucket]), _text.lists(b1, owner[by_bucket]), _text.lists(b2, met[by_home]), _text.lists(b2, kind[by_home]), _text.lists(b2, n[by_home])], ["bucket", "prints", "owner", "met", "kind", "n"])
 
     def count(table: pa.Table) -> pa.Table:
-        flat = {c: np.concatenate([x.flatten().to_numpy() for x in table[c].chunks]) for c in ("prints", "owner", "met", "n")}
+        flat = {c: np.concatenate([x.flatten().to_numpy() for x in table[c].chunks]) for c in ("prints", "owner", "met", "kind", "n")}
         _, which, times = np.unique(flat["prints"], return_inverse=True, return_counts=True)
         several = np.zeros(len(times), bool)
         several[which[flat["owner"] == SEVERAL]] = True
-        own = flat["owner"][((times > 1) | several)[which] & (flat["owner"] != SEVERAL)]
-        met, n = np.unique(own, return_counts=True)
-        return pa.table({"id": pa.array(np.r_[flat["met"], met], pa.int64()), "shared": pa.array(np.r_[flat["n"], n], pa.int64())})
+        own = ((times > 1) | several)[which] & (flat["owner"] != SEVERAL)
+        met, kind, n = _tally(flat["owner"][own], flat["prints"][own])
+        return pa.table({"id": pa.array(np.r_[flat["met"], met], pa.int64()), "kind": pa.array(np.r_[flat["kind"], kind], pa.int64()), "n": pa.array(np.r_[flat["n"], n], pa.int64())})
+
+    dealt = sets.filter(F.col("id") != SEVERAL).select("id", "prints").mapInArrow(deal, "bucket int, prints array<bigint>, owner array<bigint>, met array<bigint>, kind array<bigint>, n array<bigint>")
+    counts = dealt.groupBy("bucket").applyInArrow(count, "id bigint, kind bigint, n bigint").groupBy("id", "kind").agg(F.sum("n").alias("n"))
+    each = counts.groupBy("id").agg(F.sum("n").alias("shared"), F.collect_list(F.struct("kind", "n")).alias("counts"))  # CLASSES entries at most
+
+    def as_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists, rows = batch.column(2), batch.num_rows
+            flat, row = lists.flatten(), np.repeat(np.arange(rows), lists.value_lengths().to_numpy())
+            table = np.zeros((rows, CLASSES), np.int64)
+            table[row, flat.field("kind").to_numpy()] = flat.field("n").to_numpy()
+            bits = np.uint64(1) << np.arange(CLASSES, dtype=np.uint64)
+            words = [((table > t) * bits).sum(axis=1, dtype=np.uint64).astype(np.int64) for t in range(WORDS)]
+            words.append(np.maximum(table - WORDS, 0).sum(axis=1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _text.lists(np.arange(rows + 1) * (WORDS + 1), np.stack(words, axis=1).ravel())], ["id", "shared", "words"])
 
-    dealt = sets.filter(F.col("id") != SEVERAL).select("id", "prints").mapInArrow(deal, "bucket int, prints array<bigint>, owner array<bigint>, met array<bigint>, n array<bigint>")
-    return dealt.groupBy("bucket").applyInArrow(count, "id bigint, shared bigint").groupBy("id").agg(F.sum("shared").alias("shared"))
+    return each.mapInArrow(as_words, "id bigint, shared bigint, words array<bigint>")
 
 
 def _across(members: DataFrame, labels: DataFrame) -> DataFrame:
@@ -181,14 +221,14 @@ def near_duplicates(docs: DataFrame, size: int = 5) -> DataFrame:
     rest = _across(members.drop("leader"), labels).checkpoint()
     shared = shared_counts(sets.join(rest.select("id").distinct(), "id", "left_semi"))
     rest = rest.join(shared, "id").filter(F.col("shared") * 100 >= F.col("n") * PERCENT).checkpoint()
-    central = rest.groupBy("key").agg(F.max_by(F.struct("id", "n", "shared", "component"), F.struct(F.col("shared") / F.col("n"), "id")).alias("leader"))
-    again = starred(rest.join(central, "key").filter(F.col("component") != F.col("leader.component")).filter(_reachable("n", "shared", "leader.n", "leader.shared"))).join(tried, ["a", "b"], "left_anti").checkpoint()
+    central = rest.groupBy("key").agg(F.max_by(F.struct("id", "n", "shared", "words", "component"), F.struct(F.col("shared") / F.col("n"), "id")).alias("leader"))
+    again = starred(rest.join(central, "key").filter(F.col("component") != F.col("leader.component")).filter(_plausible("n", "shared", "leader.n", "leader.shared"))).join(tried, ["a", "b"], "left_anti").checkpoint()
     edges = edges.union(confirmed(again, sets)).checkpoint()
     labels = _graph.connected(edges)
 
-    rest = _across(rest.select("key", "id", "n", "shared"), labels).checkpoint()
-    other = rest.select("key", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("shared").alias("shared2"), F.col("component").alias("component2"))
-    pairs = rest.join(other, "key").filter(F.col("component") < F.col("component2")).filter(_alike("n", "n2")).filter(_reachable("n", "shared", "n2", "shared2"))
+    rest = _across(rest.select("key", "id", "n", "shared", "words"), labels).checkpoint()
+    other = rest.select("key", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("shared").alias("shared2"), F.col("words").alias("words2"), F.col("component").alias("component2"))
+    pairs = rest.join(other, "key").filter(F.col("component") < F.col("component2")).filter(_alike("n", "n2")).filter(F.when(_plausible("n", "shared", "n2", "shared2"), _reachable("n", "words", "n2", "words2")).otherwise(False))
     pairs = pairs.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct().join(tried.union(again), ["a", "b"], "left_anti")
     labels = _graph.connected(edges.union(confirmed(pairs, sets)))
 
