@@ -5,8 +5,10 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
+from thalweg.llm import _windows
 from thalweg.llm.substring_dedup import SuffixAutomaton, substring_dedup
 from thalweg.llm.suffix_dedup import suffix_dedup
 
@@ -104,3 +106,11 @@ def test_automaton():
         n = Counter(t[i : i + 3] for t in texts for i in range(len(t) - 2))
         for t in texts:
             assert a.repeated_ends(list(t), 3) == [i + 3 for i in range(len(t) - 2) if n[t[i : i + 3]] > 1]
+
+
+def test_settled_neighbours_travel_as_one_run():
+    cells = [(7, 3, 1), (7, 0, 2), (7, 2, 1), (7, 9, 1), (8, 4, 2), (8, 7, 1)]
+    runs = {k: np.array(v, np.int64) for k, v in zip(("doc", "start", "n"), zip(*cells, strict=True), strict=True)}
+    joined = _windows._joined(runs)
+    assert list(zip(*(joined[k].tolist() for k in ("doc", "start", "n")), strict=True)) == [(7, 0, 4), (7, 9, 1), (8, 4, 2), (8, 7, 1)]
+    assert len(_windows._joined({k: v[:0] for k, v in runs.items()})["n"]) == 0

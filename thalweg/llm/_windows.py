@@ -113,10 +113,22 @@ def _rows(bucket: np.ndarray, every: Runs, texts: list[bytes] | None = None) ->
     return pa.RecordBatch.from_arrays([*cols, last], ["bucket", *COLUMNS, "texts"])
 
 
+def _joined(runs: Runs) -> Runs:
+    """Runs that follow each other in a document as one; of their other columns the first's hold."""
+    if not len(runs["doc"]):
+        return runs
+    order = np.lexsort((runs["start"], runs["doc"]))
+    runs = {k: v[order] for k, v in runs.items()}
+    end = runs["start"].astype(np.int64) + runs["n"]
+    heads = np.flatnonzero(np.r_[True, (np.diff(runs["doc"]) != 0) | (runs["start"][1:] > end[:-1])])
+    last = np.maximum.reduceat(end, heads)
+    return {k: v[heads] for k, v in runs.items()} | {"n": (last - runs["start"][heads]).astype(np.int32)}
+
+
 def _send(runs: Runs, buckets: int, both: bool) -> pa.RecordBatch:
     """What is settled here (all but the first of each text; with `both` the first as well) goes along under a bucket of its document, with copies 0."""
     kept, others = settle(sort_runs(runs))
-    done = concat([others] if not both else [others, {k: v[kept["copies"] > 1] for k, v in kept.items()}])
+    done = _joined(concat([others] if not both else [others, {k: v[kept["copies"] > 1] for k, v in kept.items()}]))
     bucket = np.concatenate([kept["gram"].astype(np.uint64) % np.uint64(buckets), _text.mix(done["doc"].astype(np.uint64)) % np.uint64(buckets)]).astype(np.int32)
     done["copies"] = np.zeros(len(done["doc"]), np.int32)
     return _rows(bucket, concat([kept, done]))
