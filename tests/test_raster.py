@@ -227,6 +227,22 @@ def test_variogram_models():
         geostat.Variogram("cubic", 1, 1, 0)(np.ones(1))
 
 
+def test_variogram_within(spark):
+    rng = np.random.default_rng(5)
+    x, y, z = np.r_[rng.uniform(-20, 20, 150), 3.0, 3.0], np.r_[rng.uniform(-20, 20, 150), 8.0, 8.0], rng.normal(size=152)
+    pts = spark.createDataFrame(list(zip(range(152), x.tolist(), y.tolist(), z.tolist())), "id bigint, x double, y double, z double")
+    got = {r["lag_bin"]: (r["n_pairs"], r["semivariance"]) for r in geostat.variogram_within(pts, 10, 5.0).collect()}
+    i, j = np.triu_indices(152, 1)
+    h, g = np.hypot(x[i] - x[j], y[i] - y[j]), 0.5 * (z[i] - z[j]) ** 2
+    near = (h > 0) & (h < 5)
+    bins = np.floor(h[near] / 0.5).astype(int)
+    assert got.keys() == set(bins.tolist())
+    for k, (n, mean) in got.items():
+        assert n == (bins == k).sum() and mean == pytest.approx(g[near][bins == k].mean())
+    # the same table by the join of a bounded sample
+    assert got.keys() == {r["lag_bin"] for r in geostat.variogram_bins(pts, 10, 5.0).collect()}
+
+
 def test_kriging():
     r = np.random.default_rng(4)
     x, y = r.uniform(0, 20, 30), r.uniform(0, 20, 30)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.stats import decimate
+
 
 def px(spark: SparkSession, d: str, per_tile: int = 50) -> DataFrame:
     """Water-candidate samples by three methods."""
@@ -62,12 +64,12 @@ METHODS3_SQL = grid_sql(10) + ", m3 AS (SELECT 'dsm' AS method, r, c, dsm AS v F
 
 
 def files(spark: SparkSession, d: str) -> DataFrame:
-    """Image names, and which of them have a mask."""
+    """Image names; those of one language have no mask."""
     t = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang")
-    return t.select("doc_id", F.concat(F.lit("DJI_2025_"), "lang", F.col("doc_id").cast("string"), F.lit("_V_patch_"), F.lpad((F.col("doc_id") % 400).cast("string"), 4, "0"), F.lit(".jpg")).alias("file"))
+    return t.select("doc_id", "lang", F.concat(F.lit("DJI_2025_"), "lang", F.col("doc_id").cast("string"), F.lit("_V_patch_"), F.lpad((F.col("doc_id") % 400).cast("string"), 4, "0"), F.lit(".jpg")).alias("file"))
 
 
-FILES_SQL = "files AS (SELECT doc_id, concat('DJI_2025_', lang, CAST(doc_id AS VARCHAR), '_V_patch_', lpad(CAST(doc_id % 400 AS VARCHAR), 4, '0'), '.jpg') AS file FROM documents)"
+FILES_SQL = "files AS (SELECT doc_id, lang, concat('DJI_2025_', lang, CAST(doc_id AS VARCHAR), '_V_patch_', lpad(CAST(doc_id % 400 AS VARCHAR), 4, '0'), '.jpg') AS file FROM documents)"
 
 
 def boxes(spark: SparkSession, d: str) -> DataFrame:
@@ -79,14 +81,16 @@ def boxes(spark: SparkSession, d: str) -> DataFrame:
 BOXES_SQL = "boxes AS (SELECT CAST(n_nationkey AS BIGINT) AS id, CAST(n_nationkey*10 AS DOUBLE) AS l, CAST(n_nationkey*10+15+n_regionkey AS DOUBLE) AS r, CAST(n_regionkey*10 AS DOUBLE) AS b, CAST(n_regionkey*10+12+(n_nationkey%3)*5 AS DOUBLE) AS t FROM nation)"
 
 
-def points(spark: SparkSession, d: str, every: int = 40) -> DataFrame:
-    """(id, x, y, z): valid pixels of dsm on a regular subset of places."""
-    t = raster(spark, d, 10, "dsm").filter(F.col("v").isNotNull() & ((F.col("r") * 32 + F.col("c")) % every == 0) & (F.col("r") < 400))
+def points(spark: SparkSession, d: str, every: int = 1) -> DataFrame:
+    """(id, x, y, z): the valid pixels of dsm; with `every`, of dsm on a coarser grid."""
+    t = raster(spark, d, 10, "dsm")
+    if every > 1:
+        t = decimate(t, every).withColumns({"r": F.col("r") * every, "c": F.col("c") * every})
+    t = t.filter(F.col("v").isNotNull())
     return t.select((F.col("r") * 32 + F.col("c")).alias("id"), F.col("c").cast("double").alias("x"), F.col("r").cast("double").alias("y"), F.col("v").alias("z"))
 
 
-def points_sql(every: int = 40) -> str:
-    return grid_sql(10) + f", points AS (SELECT r*32+c AS id, CAST(c AS DOUBLE) AS x, CAST(r AS DOUBLE) AS y, v AS z FROM dsm WHERE v IS NOT NULL AND (r*32+c) % {every} = 0 AND r < 400)"
+POINTS_SQL = grid_sql(10) + ", points AS (SELECT r*32+c AS id, CAST(c AS DOUBLE) AS x, CAST(r AS DOUBLE) AS y, v AS z FROM dsm WHERE v IS NOT NULL)"
 
 
 def gauge_raw(spark: SparkSession, d: str) -> DataFrame:

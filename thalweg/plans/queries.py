@@ -268,11 +268,12 @@ def align(spark, d):
     return joins.align_report(B.raster(spark, d, 10, "dsm").filter("c < 30"), B.raster(spark, d, 10, "dtm").filter("r >= 2"))
 
 
-INNER = "CASE WHEN r >= 7 AND r < 400 AND c >= 3 AND c < 29 THEN v END"
+INNER = "CASE WHEN r >= 7 AND r <= (SELECT max(vec_id) FROM embeddings) - 5 AND c >= 3 AND c < 29 THEN v END"
 
 
 def _inner(spark, d):
-    return B.raster(spark, d, 10, "dsm").withColumn("v", F.when(F.col("r").between(7, 399) & F.col("c").between(3, 28), F.col("v")))
+    """The raster with an empty frame."""
+    return B.raster(spark, d, 10, "dsm").withColumn("v", F.when(F.col("r").between(7, _height(spark, d) - 6) & F.col("c").between(3, 28), F.col("v")))
 
 
 @query(f"WITH {B.grid_sql(10)}, i AS (SELECT r, c, {INNER} AS v FROM dsm) SELECT min(r) AS row_min, max(r)+1 AS row_max, min(c) AS col_min, max(c)+1 AS col_max, count(*) AS n_valid FROM i WHERE v IS NOT NULL")
@@ -392,41 +393,44 @@ def taper_blend(spark, d):
 
 # --- geostatistics, vision, warp -----------------------------------------------------------------------
 
-CENTRES = "SELECT i AS block, CAST(16 AS DOUBLE) AS cx, CAST(i*32+16 AS DOUBLE) AS cy FROM range(12) x(i)"
+CENTRES = "SELECT i AS block, CAST(16 AS DOUBLE) AS cx, CAST(i*32+16 AS DOUBLE) AS cy FROM range(100000) x(i) WHERE i*32 <= (SELECT max(vec_id) FROM embeddings)"
 
 
-def _centres(spark):
-    return spark.range(12).select(F.col("id").alias("block"), F.lit(16.0).alias("cx"), (F.col("id") * 32 + 16).cast("double").alias("cy"))
+def _centres(spark, d):
+    """Blocks of 32 rows over the whole raster."""
+    return spark.range(-(-_height(spark, d) // 32)).select(F.col("id").alias("block"), F.lit(16.0).alias("cx"), (F.col("id") * 32 + 16).cast("double").alias("cy"))
 
 
-NEAR = B.points_sql() + f", centres AS ({CENTRES}), near AS (SELECT block, id, sqrt((x-cx)*(x-cx)+(y-cy)*(y-cy)) AS dist FROM centres, points WHERE sqrt((x-cx)*(x-cx)+(y-cy)*(y-cy)) <= 24)"
+NEAR = B.POINTS_SQL + f", centres AS ({CENTRES}), near AS (SELECT block, id, sqrt((x-cx)*(x-cx)+(y-cy)*(y-cy)) AS dist FROM centres JOIN points ON y BETWEEN cy-24 AND cy+24 WHERE sqrt((x-cx)*(x-cx)+(y-cy)*(y-cy)) <= 24)"
 
 
 @query(f"WITH {NEAR} SELECT block, count(*) AS n, {R('avg(dist)')} AS mean_dist, {R('max(dist)')} AS max_dist FROM near GROUP BY block")
 def radius_neighbours(spark, d):
-    return joins.neighbours(_centres(spark), B.points(spark, d), 24.0).groupBy("block").agg(F.count("*").alias("n"), A.tidy(F.avg("dist")).alias("mean_dist"), A.tidy(F.max("dist")).alias("max_dist"))
+    return joins.neighbours(_centres(spark, d), B.points(spark, d), 24.0).groupBy("block").agg(F.count("*").alias("n"), A.tidy(F.avg("dist")).alias("mean_dist"), A.tidy(F.max("dist")).alias("max_dist"))
 
 
 @query(f"WITH {NEAR}, k AS (SELECT *, row_number() OVER (PARTITION BY block ORDER BY dist, id) AS rank FROM near) SELECT block, id, rank, {R('dist')} AS dist FROM k WHERE rank <= 12")
 def knn(spark, d):
-    return joins.nearest(joins.neighbours(_centres(spark), B.points(spark, d), 24.0), 12).select("block", "id", F.col("rank").cast("bigint").alias("rank"), A.tidy(F.col("dist")).alias("dist"))
+    return joins.nearest(joins.neighbours(_centres(spark, d), B.points(spark, d), 24.0), 12).select("block", "id", F.col("rank").cast("bigint").alias("rank"), A.tidy(F.col("dist")).alias("dist"))
 
 
-@query(f"WITH {B.points_sql()}, s AS (SELECT count(*) AS n, (max(x)-min(x))*(max(y)-min(y)) AS area FROM points) SELECT n, area, {R('n/area')} AS density, {R('sqrt(area/n)')} AS spacing, {R('CASE WHEN 15 < 3*sqrt(area/n) THEN 5*sqrt(area/n) ELSE 15 END')} AS radius FROM s")
+@query(f"WITH {B.POINTS_SQL}, s AS (SELECT count(*) AS n, (max(x)-min(x))*(max(y)-min(y)) AS area FROM points) SELECT n, area, {R('n/area')} AS density, {R('sqrt(area/n)')} AS spacing, {R('CASE WHEN 15 < 3*sqrt(area/n) THEN 5*sqrt(area/n) ELSE 15 END')} AS radius FROM s")
 def point_density(spark, d):
     return geostat.point_density(B.points(spark, d)).select("n", "area", A.tidy(F.col("density")).alias("density"), A.tidy(F.col("spacing")).alias("spacing"), A.tidy(F.col("radius")).alias("radius"))
 
 
-@query(f"""WITH {B.points_sql()}, p AS (SELECT sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)) AS h, CAST(0.5 AS DOUBLE)*(a.z-b.z)*(a.z-b.z) AS g FROM points a, points b WHERE a.id < b.id) SELECT CAST(floor(h/(CAST(100 AS DOUBLE)/20)) AS INTEGER) AS lag_bin, {R('avg(h)')} AS lag, {R('avg(g)')} AS semivariance, count(*) AS n_pairs FROM p WHERE h > 0 AND h < 100 GROUP BY 1""")
+@query(f"""WITH {B.POINTS_SQL}, p AS (SELECT sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)) AS h, CAST(0.5 AS DOUBLE)*(a.z-b.z)*(a.z-b.z) AS g FROM points a JOIN range(8) k(dy) ON TRUE JOIN points b ON b.y = a.y + k.dy AND (b.y > a.y OR b.x > a.x))
+  SELECT CAST(floor(h/CAST(0.5 AS DOUBLE)) AS INTEGER) AS lag_bin, {R('avg(h)')} AS lag, {R('avg(g)')} AS semivariance, count(*) AS n_pairs FROM p WHERE h > 0 AND h < 8 GROUP BY 1""")
 def variogram(spark, d):
-    return geostat.variogram_bins(B.points(spark, d), 20, 100.0).select("lag_bin", A.tidy(F.col("lag")).alias("lag"), A.tidy(F.col("semivariance")).alias("semivariance"), "n_pairs")
+    return geostat.variogram_within(B.points(spark, d), 16, 8.0).select("lag_bin", A.tidy(F.col("lag")).alias("lag"), A.tidy(F.col("semivariance")).alias("semivariance"), "n_pairs")
 
 
 @query()
 def krige_block(spark, d):
-    points = B.points(spark, d)
+    """Every block of the raster, from the raster on a grid four times coarser."""
+    points = B.points(spark, d, 4)
     model = geostat.fit_variogram(points)
-    blocks = _centres(spark).select("block", "cx", "cy", F.lit(0.0).alias("x0"), (F.col("cy") - 16).alias("y0"), F.lit(32).alias("w"), F.lit(32).alias("h"), F.lit(1.0).alias("step"))
+    blocks = _centres(spark, d).select("block", "cx", "cy", F.lit(0.0).alias("x0"), (F.col("cy") - 16).alias("y0"), F.lit(32).alias("w"), F.least(F.lit(32), F.lit(_height(spark, d)) - F.col("cy") + 16).cast("int").alias("h"), F.lit(1.0).alias("step"))
     out = geostat.krige_blocks(blocks, points, model, 24.0)
     return out.select("block", "x", "y", F.round("prediction", 6).alias("prediction"), F.round("variance", 6).alias("variance"), "n_points")
 
@@ -466,31 +470,31 @@ TILE_NUM = "CAST(coalesce(nullif(regexp_extract(file, '(?i)patch[_-](\\d+)', 1),
 
 
 def _named(spark, d):
-    return B.files(spark, d).select("doc_id", "file", names.tile_number(F.col("file")).alias("tile_num"))
+    return B.files(spark, d).select("doc_id", "lang", "file", names.tile_number(F.col("file")).alias("tile_num"))
 
 
 @query(f"WITH {B.FILES_SQL} SELECT doc_id, file, {TILE_NUM} AS tile_num FROM files")
 def tile_number_regex(spark, d):
-    return _named(spark, d)
+    return _named(spark, d).drop("lang")
 
 
-@query(f"WITH {B.FILES_SQL}, n AS (SELECT doc_id, file, {TILE_NUM} AS tile_num FROM files), a AS (SELECT tile_num, max(file) AS image, count(*) AS n_image FROM n GROUP BY 1), b AS (SELECT tile_num, max(file) AS mask, count(*) AS n_mask FROM n WHERE doc_id % 3 <> 0 GROUP BY 1) SELECT * FROM a JOIN b USING (tile_num)")
+@query(f"WITH {B.FILES_SQL}, n AS (SELECT doc_id, lang, file, {TILE_NUM} AS tile_num FROM files), a AS (SELECT tile_num, max(file) AS image, count(*) AS n_image FROM n GROUP BY 1), b AS (SELECT tile_num, max(file) AS mask, count(*) AS n_mask FROM n WHERE lang <> 'de' GROUP BY 1) SELECT * FROM a JOIN b USING (tile_num)")
 def image_mask_pairs(spark, d):
     n = _named(spark, d)
-    return joins.file_pairs(n, n.filter("doc_id % 3 <> 0"))
+    return joins.file_pairs(n, n.filter("lang <> 'de'"))
 
 
-@query(f"WITH {B.FILES_SQL}, n AS (SELECT doc_id, {TILE_NUM} AS tile_num FROM files) SELECT DISTINCT tile_num FROM n WHERE tile_num NOT IN (SELECT tile_num FROM n WHERE doc_id % 3 <> 0)")
+@query(f"WITH {B.FILES_SQL}, n AS (SELECT lang, {TILE_NUM} AS tile_num FROM files) SELECT DISTINCT tile_num FROM n WHERE tile_num NOT IN (SELECT tile_num FROM n WHERE lang <> 'de')")
 def missing_files(spark, d):
     n = _named(spark, d)
-    return joins.missing(n.select("tile_num").distinct(), n.filter("doc_id % 3 <> 0").select("tile_num").distinct(), "tile_num")
+    return joins.missing(n.select("tile_num").distinct(), n.filter("lang <> 'de'").select("tile_num").distinct(), "tile_num")
 
 
-@query("SELECT CAST(doc_id AS INTEGER) AS tile_num, round(CAST(doc_id % 101 AS DOUBLE), 1) AS dsm_pct, round(CAST(doc_id % 97 AS DOUBLE), 1) AS dtm_pct, concat('img_', lang, '.jpg') AS image_file, concat('mask_', source, '.png') AS mask_file FROM documents WHERE doc_id % 5 <> 0")
+@query("SELECT CAST(doc_id AS INTEGER) AS tile_num, round(CAST(doc_id % 101 AS DOUBLE), 1) AS dsm_pct, round(CAST(doc_id % 97 AS DOUBLE), 1) AS dtm_pct, concat('img_', lang, '.jpg') AS image_file, concat('mask_', source, '.png') AS mask_file FROM documents WHERE lang <> 'de'")
 def parse_work_list(spark, d):
-    """Lists of tiles written as text and parsed again; every fifth tile has no image and goes."""
+    """Lists of tiles written as text and parsed again; those of one language have no image and go."""
     t = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").cast("int").alias("tile_num"), (F.col("doc_id") % 101).cast("double").alias("dsm_pct"), (F.col("doc_id") % 97).cast("double").alias("dtm_pct"), F.concat(F.lit("img_"), "lang", F.lit(".jpg")).alias("image_file"), F.concat(F.lit("mask_"), "source", F.lit(".png")).alias("mask_file"))
-    blocks = names.work_list_lines(t).withColumn("block", F.when(F.col("tile_num") % 5 == 0, F.regexp_replace("block", r"(?m)^  Image:.*$", "")).otherwise(F.col("block")))
+    blocks = names.work_list_lines(t).withColumn("block", F.regexp_replace("block", r"(?m)^  Image: img_de\.jpg$", ""))
     lines = blocks.select(F.floor(F.col("tile_num") / 50).alias("list_id"), F.posexplode(F.split("block", "\n")).alias("i", "line"), "tile_num")
     return names.parse_work_list(lines.select("list_id", (F.col("tile_num") * 10 + F.col("i")).alias("pos"), "line")).drop("list_id")
 
