@@ -65,7 +65,8 @@ def runs_of(codes: np.ndarray, bounds: np.ndarray, window: int, k: int) -> Runs:
     prefix = _text.prefix_hash(codes)
     at = np.arange(n - k + 1)
     grams = _text.span_hash(prefix, at, at + k)
-    mask = np.uint64((1 << int(n).bit_length()) - 1)
+    # a fixed width, so that every piece of input ranks two grams alike
+    mask = np.uint64((1 << 32) - 1)
     least = _sliding_min((grams & ~mask) | at.astype(np.uint64), window - k + 1)
     row = _text.row_of(bounds)
     p = np.flatnonzero(row[: n - window + 1] == row[window - 1 :])
