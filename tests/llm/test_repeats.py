@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from thalweg.llm import _windows
 from thalweg.llm.substring_dedup import SuffixAutomaton, substring_dedup
@@ -87,6 +88,13 @@ def test_hot_gram(spark, f, brute, monkeypatch):
     assert {r[0]: tuple(r)[1:] for r in rows} == brute(docs)
 
 
+def test_bucket_ids(spark):
+    ids = _windows.bucket_ids(spark, 31).tolist()
+    assert len(set(ids)) == 31
+    rows = spark.createDataFrame([(i,) for i in ids], "bucket int").repartition(31, "bucket")
+    assert rows.select(F.spark_partition_id()).distinct().count() == 31
+
+
 @pytest.mark.parametrize("f", [suffix_dedup, substring_dedup])
 def test_edges(spark, f):
     assert f(spark.createDataFrame([], SCHEMA)).count() == 0

@@ -25,7 +25,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _text
@@ -126,11 +126,24 @@ def _joined(runs: Runs) -> Runs:
     return {k: v[heads] for k, v in runs.items()} | {"n": (last - runs["start"][heads]).astype(np.int32)}
 
 
-def _send(runs: Runs, buckets: int, both: bool) -> pa.RecordBatch:
+def bucket_ids(spark: SparkSession, n: int) -> np.ndarray:
+    """n bucket ids that hash partitioning puts into n different partitions, so that no task gets several buckets and others none."""
+    ids = spark.range(64 * n).select(F.col("id").cast("int").alias("id"))
+    rows = ids.groupBy(F.pmod(F.hash("id"), F.lit(n)).alias("part")).agg(F.min("id").alias("id")).collect()  # n rows at most
+    out = np.arange(64 * n, 65 * n, dtype=np.int32)
+    out[[r["part"] for r in rows]] = [r["id"] for r in rows]
+    return out
+
+
+def _bucket_of(prints: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    return ids[(prints.astype(np.uint64) % np.uint64(len(ids))).astype(np.int64)]
+
+
+def _send(runs: Runs, ids: np.ndarray, both: bool) -> pa.RecordBatch:
     """What is settled here (all but the first of each text; with `both` the first as well) goes along under a bucket of its document, with copies 0."""
     kept, others = settle(sort_runs(runs))
     done = _joined(concat([others] if not both else [others, {k: v[kept["copies"] > 1] for k, v in kept.items()}]))
-    bucket = np.concatenate([kept["gram"].astype(np.uint64) % np.uint64(buckets), _text.mix(done["doc"].astype(np.uint64)) % np.uint64(buckets)]).astype(np.int32)
+    bucket = np.concatenate([_bucket_of(kept["gram"], ids), _bucket_of(_text.mix(done["doc"].astype(np.uint64)), ids)])
     done["copies"] = np.zeros(len(done["doc"]), np.int32)
     return _rows(bucket, concat([kept, done]))
 
@@ -147,7 +160,7 @@ def word_tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return _text.word_hashes(data, starts, ends), bounds
 
 
-def _runs(docs: DataFrame, tokens: Tokens, window: int, k: int, buckets: int, both: bool) -> DataFrame:
+def _runs(docs: DataFrame, tokens: Tokens, window: int, k: int, bucket_ids: np.ndarray, both: bool) -> DataFrame:
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, count = [], 0
         for batch in batches:
@@ -159,10 +172,10 @@ def _runs(docs: DataFrame, tokens: Tokens, window: int, k: int, buckets: int, bo
                     held.append(runs)
                     count += len(runs["n"])
                 if count > FLUSH:
-                    yield _send(concat(held), buckets, both).drop_columns("texts")
+                    yield _send(concat(held), bucket_ids, both).drop_columns("texts")
                     held, count = [], 0
         if held:
-            yield _send(concat(held), buckets, both).drop_columns("texts")
+            yield _send(concat(held), bucket_ids, both).drop_columns("texts")
 
     return docs.mapInArrow(deal, RUNS)
 
@@ -201,7 +214,8 @@ def repeats(docs: DataFrame, tokens: Tokens, window: int, k: int, both: bool, bu
     spark = docs.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    found = _runs(docs.filter("doc_id is not null"), tokens, window, k, buckets, both).groupBy("bucket").applyInArrow(bucket_fn, MARKS)
+    places = bucket_ids(spark, buckets)
+    found = _runs(docs.filter("doc_id is not null"), tokens, window, k, places, both).groupBy("bucket").applyInArrow(bucket_fn, MARKS)
 
     dealt = docs.repartition(buckets, "doc_id")
     per_doc = lambda spans, *cols: spans.groupBy("doc_id").agg(F.collect_list(F.struct(*cols)).alias("spans"))
@@ -221,9 +235,9 @@ def repeats(docs: DataFrame, tokens: Tokens, window: int, k: int, both: bool, bu
                 hot = runs.pop("state") == HOT_OPEN
                 warm, hot = ({x: v[keep] for x, v in runs.items()} for keep in (~hot, hot))
                 if len(warm["row"]):
-                    yield _rows((warm["gram"].astype(np.uint64) % np.uint64(buckets)).astype(np.int32), warm, cut(data, offsets, warm["row"], warm["start"].astype(np.int64), warm["n"].astype(np.int64)))
+                    yield _rows(_bucket_of(warm["gram"], places), warm, cut(data, offsets, warm["row"], warm["start"].astype(np.int64), warm["n"].astype(np.int64)))
                 if len(hot["row"]):
-                    yield _send(_single_windows(hot, *tokens(data, offsets), window), buckets, both)
+                    yield _send(_single_windows(hot, *tokens(data, offsets), window), places, both)
 
     wanted = per_doc(found.filter(F.col("state") != SETTLED), "start", "n", "gram", "state")
     # a left join, as below: both read one exchange of the documents
