@@ -6,6 +6,12 @@ features are the candidate's length, entropy, character transitions, dictionary
 coverage, its path and the words around it. It is trained on labelled findings;
 labelled_findings() makes the ones that are used here.
 
+A candidate is the whole secret, however long: a private key runs to its END
+line, or without one to the end of its base64 block. A well-known form inside an
+assigned or opaque value is a candidate of its own; what is left of the value on
+either side stays one where it is long enough. A private key is judged by its
+BEGIN line. Both engines take the same spaces and ASCII word boundaries.
+
 Defined results: a null or empty text has no findings; a null path is an empty
 one; repeated rows have their findings each; texts without findings give no
 rows in scan() and come back unchanged from redact(); extra columns are kept by
@@ -20,6 +26,7 @@ import random
 import re
 import string
 import uuid
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -30,25 +37,35 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# White space as characters, since the two engines differ in what \s is.
+SPACE = "\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 # Forms of well-known secrets. The last group, or the whole, is the candidate.
 PATTERNS = {
     "aws_key": r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b",
     "github_token": r"\bgh[pousr]_[A-Za-z0-9]{36}\b",
     "slack_token": r"\bxox[abprs]-[A-Za-z0-9-]{10,}",
     "stripe_key": r"\b[sr]k_(?:live|test)_[0-9A-Za-z]{16,}",
-    "google_key": r"\bAIza[0-9A-Za-z_-]{35}",
+    "google_key": r"\bAIza[0-9A-Za-z_-]{35,}",
     "jwt": r"\beyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{5,}",
     "private_key": r"-----BEGIN [A-Z ]*PRIVATE KEY-----",
-    "assigned": r"\b(?:[Pp]ass(?:word|wd|phrase)?|PASSWORD|[Pp]wd|[Ss]ecret|SECRET|[Tt]oken|TOKEN|[Aa]pi[_-]?[Kk]ey|API_KEY|[Aa]ccess[_-]?[Kk]ey|[Aa]uth)[\"']?\s{0,3}[:=]\s{0,3}[\"']?(?P<value>[^\s\"',;]{6,200})",
-    "opaque": r"\b(?P<opaque>[A-Za-z0-9+/_-]{24,200}={0,2})",
+    "assigned": rf"\b(?:[Pp]ass(?:word|wd|phrase)?|PASSWORD|[Pp]wd|[Ss]ecret|SECRET|[Tt]oken|TOKEN|[Aa]pi[_-]?[Kk]ey|API_KEY|[Aa]ccess[_-]?[Kk]ey|[Aa]uth)[\"']?[{SPACE}]{{0,3}}[:=][{SPACE}]{{0,3}}[\"']?(?P<assigned>[^{SPACE}\"',;]{{6,}})",
+    "opaque": r"\b(?P<opaque>[A-Za-z0-9+/_-]{24,}={0,2})",
 }
 KEYWORDS = ("password", "passwd", "pwd", "secret", "token", "api_key", "apikey", "access_key", "auth", "credential", "key")
 HARMLESS = ("sha256", "sha1", "md5", "commit", "checksum", "digest", "uuid", "id", "revision", "hash", "integrity", "build")
 PLACEHOLDERS = ("example", "changeme", "change", "your", "password", "secret", "token", "sample", "dummy", "placeholder", "test", "foo", "bar", "xxxx", "1234", "abcd", "none", "null", "true", "false", "insert", "here", "redacted", "user", "admin", "config", "value", "string", "name", "default")
 PATH_MARKS = ("test", "example", "sample", "doc", "mock", "fixture")
 
-_ANY = re.compile("|".join(f"(?P<r_{k}>{v})" for k, v in PATTERNS.items()))
-_PRESENT = "|".join(v.replace("(?P<value>", "(?:").replace("(?P<opaque>", "(?:") for v in PATTERNS.values())
+LEAST = {"assigned": 6, "opaque": 24}  # as in their patterns
+
+_KNOWN = re.compile("|".join(f"(?P<{k}>{v})" for k, v in PATTERNS.items() if k not in LEAST), re.ASCII)
+_GENERAL = re.compile("|".join(PATTERNS[k] for k in LEAST), re.ASCII)
+_PRESENT = "|".join(v.replace("(?P<assigned>", "(?:").replace("(?P<opaque>", "(?:") for v in PATTERNS.values())
+_KEY_LINE = re.compile(PATTERNS["private_key"])
+_KEY_MARK = re.compile(r"-----(?:BEGIN|(?P<end>END)) [A-Z ]*PRIVATE KEY-----")
+# a block: header lines, long lines, and a shorter last line of its own; line ends may be written as \n
+_BREAK = rf"(?:[{SPACE}]|\\[nr])"
+_KEY_BLOCK = re.compile(rf"(?:{_BREAK}+(?:Proc-Type|DEK-Info):[^\n\\]*+)*+(?:{_BREAK}*+[A-Za-z0-9+/]{{32,}}+={{0,2}})++(?:{_BREAK}+[A-Za-z0-9+/]{{1,31}}+={{0,2}}(?=[ \t\"']*(?:[\r\n]|\\[nr]|$)))?|{_BREAK}+[A-Za-z0-9+/]{{16,}}={{0,2}}")
 _WORDS = re.compile(r"[A-Za-z_]+")
 VOWELS = set("aeiouAEIOU")
 
@@ -206,13 +223,39 @@ def default_forest() -> Forest:
     return train(labelled_findings())
 
 
-def candidates(text: str) -> Iterator[tuple[int, int, str]]:
-    """(start, end, rule) of each candidate, in code points."""
-    for m in _ANY.finditer(text):
-        rule = m.lastgroup if m.lastgroup and m.lastgroup.startswith("r_") else next(k for k in m.groupdict() if k.startswith("r_") and m.group(k) is not None)
-        rule = rule[2:]
-        start, end = m.span("value") if rule == "assigned" else m.span("opaque") if rule == "opaque" else m.span()
-        yield start, end, rule
+def _key_end(text: str, at: int) -> int:
+    """Where the private key ends whose BEGIN line ends at `at`."""
+    mark = _KEY_MARK.search(text, at)
+    if mark and mark["end"]:
+        return mark.end()
+    block = _KEY_BLOCK.match(text, at, mark.start() if mark else len(text))
+    return block.end() if block else at
+
+
+def _known(text: str) -> Iterator[tuple[int, int, str]]:
+    at = 0
+    while m := _KNOWN.search(text, at):
+        at = _key_end(text, m.end()) if m.lastgroup == "private_key" else m.end()
+        yield m.start(), at, m.lastgroup
+
+
+def candidates(text: str) -> list[tuple[int, int, str]]:
+    """(start, end, rule) of each candidate, in code points, in order and apart."""
+    known = list(_known(text))
+    ends = [b for _, b, _ in known]
+    out = list(known)
+    for m in _GENERAL.finditer(text):
+        rule = m.lastgroup
+        start, end = m.span(rule)
+        i = bisect_right(ends, start)
+        while i < len(known) and known[i][0] < end:
+            a, b, _ = known[i]
+            if a - start >= LEAST[rule]:
+                out.append((start, a, rule))
+            start, i = b, i + 1
+        if end - start >= LEAST[rule]:
+            out.append((start, end, rule))
+    return sorted(out)
 
 
 def find(texts: pa.Array, paths: list, forest: Forest) -> Iterator[tuple[int, list[tuple[int, int, str, float]]]]:
@@ -223,6 +266,8 @@ def find(texts: pa.Array, paths: list, forest: Forest) -> Iterator[tuple[int, li
         for start, end, rule in candidates(text):
             rows.append(i)
             places.append((start, end, rule))
+            if rule == "private_key":
+                end = _KEY_LINE.match(text, start).end()
             x.append(features(text[start:end], rule, paths[i] or "", text[max(0, start - 40) : start], text[end : end + 40]))
     if rows:
         by_row: dict[int, list] = {}
