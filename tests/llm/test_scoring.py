@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import textwrap
 
 import numpy as np
 import pytest
@@ -210,6 +211,25 @@ def test_license_inheritance(spark):
     assert license_scan.scan(df).count() == len(files) and license_scan.scan(df.limit(0)).count() == 0
 
 
+def test_license_forms(spark):
+    texts = dict(license_scan._LONG[:5])
+    wrapped = lambda text, mark: "\n".join(f"{mark} {x}" for x in textwrap.wrap(text, 60))
+    code = "\n".join(f"let v{i} = f{i}(v{i - 1});" for i in range(200))
+    files = [(f"{name}/x/LICENSE", (license_scan.FULL_TEXTS / f"{name}.txt").read_text(), name) for name in ("Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "Public-Domain")]
+    files += [(f"full/{name}", text, name) for name, text in texts.items()]
+    files += [(f"bsd/{name}/LICENSE", "Copyright (c) 2001, A. Person.\nAll rights reserved.\n\n" + wrapped(texts[name], ""), name) for name in ("BSD-2-Clause", "BSD-3-Clause")]
+    files += [(f"head/{name}.c", f"// Copyright 2020 The Authors\n//\n{wrapped(text, '//')}\n\n{code}", name) for name, text in (*texts.items(), *license_scan._LONG[-4:])]
+    files += [("gpl/inside.txt", code + "\n" + (license_scan.FULL_TEXTS / "GPL-3.0.txt").read_text() + code, "GPL-3.0")]
+    files += [("short/a.py", f"# This library, with all its parts, is released under\n# the MIT\n# License\n{code}", "MIT")]
+    files += [("short/b.txt", f"{'zorp quindle vash ' * 30}is licensed under the Apache License, Version 2.0, {'zorp quindle vash ' * 30}", "Apache-2.0")]
+    files += [(f"spdx/{i}.c", f"/* SPDX-License-Identifier: {said} */\n{code}", name) for i, (said, name) in enumerate((("MIT", "MIT"), ("Apache-2.0", "Apache-2.0"), ("GPL-3.0-only", "GPL-3.0"), ("GPL-2.0-or-later WITH Classpath-exception-2.0", "GPL-2.0"), ("(MIT OR Apache-2.0)", "Apache-2.0"), ("ISC", "ISC")))]
+    files += [("none/a.c", f"{code}\n// copyright of a thing, and what one is licensed for: the public has rights in it\n{code}", None)]
+    rows = [(i, path, text) for i, (path, text, _) in enumerate(files)]
+    got = {r.doc_id: (r.license, r.origin) for r in license_scan.scan(spark.createDataFrame(rows, "doc_id bigint, path string, text string")).collect()}
+    wrong = {path: (got[i], name) for i, (path, _, name) in enumerate(files) if got[i] != (name, "stated" if name else "none")}
+    assert not wrong
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     kept, stages = docs, {}
