@@ -264,6 +264,33 @@ def test_krige_scene(spark):
     assert np.nanmean(np.abs(out[:18, :18] - (rows + cols))) < 2.0
 
 
+def test_krige_scene_of_many_blocks(spark):
+    height, width, size, halo, radius = 25, 90, 10, 3, 6.0
+    y, x = (a.ravel().astype(float) for a in np.mgrid[0:26:2, 0:92:2])
+    z = 3 * np.sin(x / 7) + np.cos(y / 5)
+    pts = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(zip(x, y, z, strict=True))], "id bigint, x double, y double, z double")
+    model = geostat.Variogram("spherical", 5.0, 20.0, 0.0)
+    total, weight = np.zeros((height, width)), np.zeros((height, width))
+    for i in range(-(-height // size)):
+        for j in range(-(-width // size)):
+            (r0, r1), (c0, c1) = ((max(0, k * size - halo), min(n, (k + 1) * size + halo)) for k, n in ((i, height), (j, width)))
+            gy, gx = np.mgrid[r0:r1, c0:c1].astype(float)
+            d = np.hypot(x - gx.mean(), y - gy.mean())
+            near = np.lexsort((np.arange(len(x)), d))[:36]
+            near = near[d[near] <= radius + math.hypot(r1 - r0 - 1, c1 - c0 - 1) / 2]
+            v, _ = geostat.solve_block(x[near], y[near], z[near], gx.ravel(), gy.ravel(), model)
+            w = np.minimum(1, (np.minimum.reduce([gy - r0, r1 - 1 - gy, gx - c0, c1 - 1 - gx]) + 1) / (halo + 1))
+            total[r0:r1, c0:c1] += w * v.reshape(gx.shape)
+            weight[r0:r1, c0:c1] += w
+    rows, cols = np.mgrid[0:height, 0:width]
+    for given in (radius, None):
+        out = geostat.krige_scene(pts, model, height, width, size=size, halo=halo, radius=given)
+        v = grid(out, (height, width))
+        assert not np.isnan(v).any() and np.abs(v - (3 * np.sin(cols / 7) + np.cos(rows / 5))).mean() < 0.2
+        if given:
+            assert np.allclose(v, total / weight, atol=1e-6) and {x.n_blocks for x in out.collect()} == {1, 2, 4}
+
+
 def test_t_pvalue():
     # two-sided values of the t distribution, from its tables
     for t, df, p in ((2.228, 10, 0.05), (1.96, 1e6, 0.05), (12.706, 1, 0.05), (3.169, 10, 0.01), (0.0, 5, 1.0)):

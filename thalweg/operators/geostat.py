@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .focal import halo_blocks, taper_blend
+from ..functions.grid import taper
 from .joins import nearest, neighbours
 
 
@@ -115,8 +115,10 @@ def krige_blocks(blocks: DataFrame, points: DataFrame, model: Variogram, radius:
 
     Neighbours meet their block by bucketed joins; a block is one small group.
     """
-    near = nearest(neighbours(blocks.select("block", "cx", "cy", "x0", "y0", "w", "h", "step"), points, radius), most)
+    return _solved(nearest(neighbours(blocks.select("block", "cx", "cy", "x0", "y0", "w", "h", "step"), points, radius), most), model)
 
+
+def _solved(near: DataFrame, model: Variogram) -> DataFrame:
     def solve(frame: pd.DataFrame) -> pd.DataFrame:
         b = frame.iloc[0]
         gx, gy = np.meshgrid(b.x0 + np.arange(int(b.w)) * b.step, b.y0 + np.arange(int(b.h)) * b.step)
@@ -126,15 +128,44 @@ def krige_blocks(blocks: DataFrame, points: DataFrame, model: Variogram, radius:
     return near.groupBy("block").applyInPandas(solve, "block bigint, x double, y double, prediction double, variance double, n_points int")
 
 
-def krige_scene(points: DataFrame, model: Variogram, height: int, width: int, size: int = 512, halo: int = 32, radius: float | None = None) -> DataFrame:
-    """Blocks of rows with a halo, kriged and blended; pixels (r, c, v) at x = c, y = r."""
+def krige_scene(points: DataFrame, model: Variogram, height: int, width: int, size: int = 512, halo: int = 32, radius: float | None = None, most: int = 36) -> DataFrame:
+    """Square blocks with a halo on all sides, kriged and blended; pixels (r, c, v) at x = c, y = r.
+
+    A block takes the `most` points nearest to its centre within radius plus half
+    its diagonal; without a radius it is that of point_density(). Pixels of blocks
+    with fewer than four points are not returned.
+    """
     spark = points.sparkSession
-    blocks = spark.range(-(-height // size)).select(F.col("id").alias("block"), F.greatest(F.lit(0), F.col("id") * size - halo).alias("low"), F.least(F.lit(height), (F.col("id") + 1) * size + halo).alias("high"))
-    placed = blocks.select("block", F.lit(width / 2).alias("cx"), ((F.col("low") + F.col("high")) / 2).alias("cy"), F.lit(0.0).alias("x0"), F.col("low").cast("double").alias("y0"), F.lit(width).alias("w"), (F.col("high") - F.col("low")).alias("h"), F.lit(1.0).alias("step"))
-    reach = radius or math.hypot(width, size + 2 * halo)
-    out = krige_blocks(placed, points, model, reach).join(F.broadcast(blocks), "block")  # one row a block
-    parts = out.select(F.col("y").cast("bigint").alias("r"), F.col("x").cast("bigint").alias("c"), F.when(~F.isnan("prediction"), F.col("prediction")).alias("v"), "low", "high")
-    return taper_blend(parts, "r", halo)
+    if radius is None:
+        radius = point_density(points).first()["radius"]
+    radius = radius or 15.0  # no points, no area
+    across = -(-width // size)
+    i, j = F.floor(F.col("id") / across), F.col("id") % across
+    blocks = spark.range(-(-height // size) * across).select(
+        F.col("id").alias("block"),
+        F.greatest(F.lit(0), i * size - halo).alias("low"),
+        F.least(F.lit(height), (i + 1) * size + halo).alias("high"),
+        F.greatest(F.lit(0), j * size - halo).alias("left"),
+        F.least(F.lit(width), (j + 1) * size + halo).alias("right"),
+    )
+    placed = blocks.select(
+        "block",
+        ((F.col("left") + F.col("right") - 1) / 2).alias("cx"),
+        ((F.col("low") + F.col("high") - 1) / 2).alias("cy"),
+        F.col("left").cast("double").alias("x0"),
+        F.col("low").cast("double").alias("y0"),
+        (F.col("right") - F.col("left")).alias("w"),
+        (F.col("high") - F.col("low")).alias("h"),
+        F.lit(1.0).alias("step"),
+    )
+    span = size + 2 * halo - 1
+    near = neighbours(placed, points, radius + math.hypot(min(span, width), min(span, height)) / 2)
+    half = F.sqrt((F.col("w") - 1) * (F.col("w") - 1) + (F.col("h") - 1) * (F.col("h") - 1)) / 2
+    out = _solved(nearest(near.filter(F.col("dist") <= radius + half), most), model).join(F.broadcast(blocks), "block")  # one row a block
+    r, c = F.col("y").cast("bigint"), F.col("x").cast("bigint")
+    w = F.least(taper(r, F.col("low"), F.col("high"), halo), taper(c, F.col("left"), F.col("right"), halo))
+    parts = out.filter(~F.isnan("prediction")).select(r.alias("r"), c.alias("c"), w.alias("w"), (w * F.col("prediction")).alias("wv"))
+    return parts.groupBy("r", "c").agg((F.sum("wv") / F.sum("w")).alias("v"), F.count("*").alias("n_blocks"))
 
 
 def point_density(points: DataFrame, area: Column | None = None) -> DataFrame:
