@@ -148,6 +148,27 @@ def test_similar(spark):
     assert all(d in found for d, o in same.items() if d != o)
 
 
+@pytest.mark.parametrize("percent", [80, 75])
+def test_similar_in_a_loose_family(spark, percent):
+    """Texts put together from a few common blocks, mostly unlike the leaders of their bands: near pairs as by brute force."""
+    r = random.Random(11)
+    blocks = [[f"w{b}-{i}" for i in range(40)] for b in range(12)]
+    docs = {}
+    for i in range(250):
+        words = [w for b in sorted(r.sample(range(12), 6)) for w in blocks[b]]
+        docs[i] = " ".join(words)
+        if i % 3 == 0:
+            for at in r.sample(range(len(words)), 3):
+                words[at] = f"x{r.randrange(99999)}"
+            docs[i + 1000] = " ".join(words)
+    sets = {d: shingle_set(t, 5) for d, t in docs.items()}
+    near = {d: {o for o in docs if o < d and 100 * len(sets[o] & sets[d]) >= percent * len(sets[o] | sets[d])} for d in docs}
+    got = {x.doc_id: x.leader for x in fingerprints.similar(spark.createDataFrame(list(docs.items()), "doc_id bigint, text string").repartition(3), percent).collect()}
+    assert all(leader in near[d] for d, leader in got.items())
+    want = {d for d, others in near.items() if others}
+    assert len(want) > 40 and len(want & got.keys()) >= 0.98 * len(want)
+
+
 def vectors(seed, n=400, d=24):
     r = np.random.default_rng(seed)
     centres = r.standard_normal((30, d))

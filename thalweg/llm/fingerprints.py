@@ -2,7 +2,9 @@
 
 A fingerprint is PERMUTATIONS least hashes over shingles of five words, 16 bits
 each, in hexadecimal. similar() joins bands of fingerprints in Spark and
-confirms the Jaccard similarity of each candidate on the full sets.
+confirms the Jaccard similarity of each candidate on the full sets: first with
+the leader of each band, then, for who has no partner yet, with every smaller
+doc_id of its bands that the numbers of shingles leave possible.
 
 The edited text of a document needs its neighbour by doc_id. Documents are
 dealt to ranges of doc_id between quantiles of that column alone; each range
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _minhash, _text
-from .minhash_dedup import confirmed, shingle_sets
+from .minhash_dedup import _alike, _plausible, _reachable, confirmed, shared_counts, shingle_sets
 
 PERMUTATIONS = 64
 SHINGLE = 5
@@ -58,15 +60,24 @@ def fingerprint(docs: DataFrame) -> DataFrame:
 
 
 def similar(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """doc_id, leader: documents with the smallest doc_id of a fingerprint band they share, where Jaccard reaches percent."""
+    """doc_id, leader: each document that shares a fingerprint band with a smaller doc_id at a Jaccard of percent, and one such doc_id."""
     width = 4 * PERMUTATIONS // BANDS
     bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.concat(i.cast("string"), F.lit(":"), F.substring("fingerprint", i * width + 1, F.lit(width))))
-    rows = fingerprint(docs).filter("doc_id is not null").select("doc_id", F.explode(bands).alias("band"))
-    leaders = rows.groupBy("band").agg(F.min("doc_id").alias("leader"), F.count("*").alias("n")).filter("n > 1")
-    pairs = rows.join(leaders, "band").filter("doc_id <> leader").select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct().checkpoint()
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = shingle_sets(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi"), SHINGLE).dropDuplicates(["id"])
-    return confirmed(pairs, sets, percent).groupBy(F.col("b").alias("doc_id")).agg(F.min("a").alias("leader"))
+    rows = fingerprint(docs).filter("doc_id is not null").select(F.col("doc_id").alias("id"), F.explode(bands).alias("band")).distinct()
+    leaders = rows.groupBy("band").agg(F.min("id").alias("leader"), F.count("*").alias("n")).filter("n > 1")
+    members = rows.join(leaders.select("band", "leader"), "band").checkpoint()
+    tried = members.filter("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct().checkpoint()
+    wanted = members.select(F.col("id").alias("doc_id")).distinct()
+    sets = shingle_sets(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi"), SHINGLE).dropDuplicates(["id"]).checkpoint()
+    edges = confirmed(tried, sets, percent).checkpoint()
+
+    # no leader is like them: their bands are searched in full, but for pairs that the bounds rule out
+    sized = members.select("band", "id").join(sets.select("id", "n"), "id").join(shared_counts(sets), "id").filter(F.col("shared") * 100 >= F.col("n") * percent).checkpoint()
+    rest = sized.join(edges.select(F.col("b").alias("id")).distinct(), "id", "left_anti")
+    other = sized.select("band", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("shared").alias("shared2"), F.col("words").alias("words2"))
+    pairs = rest.join(other, "band").filter(F.col("id2") < F.col("id")).filter(_alike("n", "n2", percent)).filter(F.when(_plausible("n", "shared", "n2", "shared2", percent), _reachable("n", "words", "n2", "words2", percent)).otherwise(False))
+    pairs = pairs.select(F.col("id2").alias("a"), F.col("id").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    return edges.union(confirmed(pairs, sets, percent)).groupBy(F.col("b").alias("doc_id")).agg(F.min("a").alias("leader"))
 
 
 def _compare_neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

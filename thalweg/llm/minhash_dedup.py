@@ -108,12 +108,12 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> Data
     return both.select("a", "b", (F.col("n_a") + F.col("n_b")).alias("n"), shared.alias("shared")).filter(F.col("shared") * 100 >= (F.col("n") - F.col("shared")) * percent).select("a", "b")
 
 
-def _alike(a: str, b: str):
+def _alike(a: str, b: str, percent: int = PERCENT):
     """Sizes between which the similarity is possible."""
-    return (F.col(a) * 100 >= F.col(b) * PERCENT) & (F.col(b) * 100 >= F.col(a) * PERCENT)
+    return (F.col(a) * 100 >= F.col(b) * percent) & (F.col(b) * 100 >= F.col(a) * percent)
 
 
-def _reachable(n1: str, w1: str, n2: str, w2: str):
+def _reachable(n1: str, w1: str, n2: str, w2: str, percent: int = PERCENT):
     """Two sets share no more of a class of shingles than the smaller of their numbers of shingles that any two sets share.
 
     Bit p of word t says that class p has more than t of them, so the smaller
@@ -124,12 +124,12 @@ def _reachable(n1: str, w1: str, n2: str, w2: str):
     most = F.least(a[WORDS], b[WORDS])
     for t in range(WORDS):
         most = most + F.bit_count(a[t].bitwiseAND(b[t]))
-    return most * (100 + PERCENT) >= (F.col(n1) + F.col(n2)) * PERCENT
+    return most * (100 + percent) >= (F.col(n1) + F.col(n2)) * percent
 
 
-def _plausible(n1: str, s1: str, n2: str, s2: str):
+def _plausible(n1: str, s1: str, n2: str, s2: str, percent: int = PERCENT):
     """The same by the shared shingles in all, which costs less and comes first."""
-    return F.least(s1, s2) * (100 + PERCENT) >= (F.col(n1) + F.col(n2)) * PERCENT
+    return F.least(s1, s2) * (100 + percent) >= (F.col(n1) + F.col(n2)) * percent
 
 
 def _tally(ids: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
