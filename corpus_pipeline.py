@@ -7,8 +7,8 @@ All but the last return the columns of documents.
 Toxicity and the mixing classifier learn from the labels table; the toxicity
 stage rejects documents at the operator's threshold, near-duplicates keep the
 smallest doc_id of each group by shingles of five words, secrets are replaced in
-the text, mixing keeps a document with the probability of its rate, packing
-returns the place of every piece. Rows without doc_id pass all stages.
+the text, mixing repeats a document as often as its rate says (the fraction by
+chance), packing returns the place of every piece. Rows without doc_id pass all stages.
 """
 
 from __future__ import annotations

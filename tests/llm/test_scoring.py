@@ -56,6 +56,19 @@ def test_mixing_reaches_targets(spark):
         assert math.isclose(s.p_low / (s.p_low + s.p_high), low, abs_tol=0.01)
 
 
+def test_mix_keeps_rates_above_one(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    weighed = mixing.weigh(docs, labels).select("doc_id", "n_tokens", (F.col("rate") * 4).alias("rate")).collect()
+    real = mixing.rates
+    mixing.rates = lambda soft, target: real(soft, target) * 4
+    try:
+        got = {x.doc_id: x["count"] for x in mixing.mix(docs, labels).groupBy("doc_id").count().collect()}
+    finally:
+        mixing.rates = real
+    assert max(got.values()) >= 4 and all(math.floor(w.rate - 1e-9) <= got.get(w.doc_id, 0) <= math.floor(w.rate + 1e-9) + 1 for w in weighed)
+    assert math.isclose(sum(got.get(w.doc_id, 0) * w.n_tokens for w in weighed), sum(w.rate * w.n_tokens for w in weighed), rel_tol=0.03)
+
+
 def test_mixing_classifies(spark):
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
     rows = mixing.weigh(docs, labels.filter("doc_id % 2 = 0")).join(labels.filter("doc_id % 2 = 1"), "doc_id").collect()

@@ -110,7 +110,7 @@ def weigh(docs: DataFrame, labelled: DataFrame, target: dict[str, float] | None
 
 
 def mix(docs: DataFrame, labelled: DataFrame, target: dict[str, float] | None = None) -> DataFrame:
-    """The rows of docs, each with the probability of its rate (1 at most), by a hash of doc_id and text."""
+    """The rows of docs, each as often as its rate says: its whole part, and once more with the probability of the rest, by a hash of doc_id and text."""
     shaped = shape(docs.withColumn("_doc_id", F.col("doc_id").cast("bigint")))
     bins = shaped.select("_doc_id", "n_tokens", "bins").checkpoint()
     labels = labelled.filter("quality in (0, 1) and doc_id is not null").select(F.col("doc_id").cast("bigint").alias("_doc_id"), F.col("quality").alias("label"))
@@ -118,7 +118,8 @@ def mix(docs: DataFrame, labelled: DataFrame, target: dict[str, float] | None =
     soft = lambda rows: rows.withColumn("p_high", p).withColumn("p_low", 1 - F.col("p_high"))
     rate = rates(soft(bins), target or TARGET)
     chance = F.pmod(F.xxhash64("_doc_id", F.coalesce("text", F.lit(""))), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return soft(shaped).filter(chance < rate).select(*docs.columns)
+    times = F.floor(rate) + (chance < rate - F.floor(rate)).cast("int")
+    return soft(shaped).withColumn("_times", times.cast("int")).filter("_times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
 
 
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
