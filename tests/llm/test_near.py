@@ -6,9 +6,10 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from thalweg.llm import _graph, embedding_dedup, fingerprints, minhash_dedup
+from thalweg.llm import _graph, _text, embedding_dedup, fingerprints, minhash_dedup
 
 
 def components(nodes, links):
@@ -63,6 +64,29 @@ def test_minhash_edges(spark):
     assert sorted(((r.doc_id, r.component_id, r.kept) for r in rows), key=str) == [(1, 1, True), (1, 1, True), (2, 1, False), (None, None, True), (None, None, True)]
 
 
+def test_minhash_unlike_texts_of_one_id(spark):
+    """Each row by its own text: a copy goes, an unlike text of the same doc_id stays."""
+    say = lambda w, n=40: " ".join(f"{w}{i}" for i in range(n))
+    a, b = say("a"), say("b")
+    rows = [(0, a), (1, a), (1, b), (2, b + " x"), (3, say("c")), (3, say("d")), (4, say("d") + " y"), (5, say("d"))]
+    got = minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4), 4).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in got) == [(0, 0, True), (1, 0, False), (1, 1, True), (2, 1, False), (3, 3, True), (3, 3, True), (4, 3, False), (5, 3, False)]
+
+
+def test_word_hashes_of_long_words():
+    """Two long words that a polynomial modulo 2^64 can't tell apart, and slices of any size."""
+    thue = "a"
+    for _ in range(10):
+        thue += thue.translate(str.maketrans("ab", "ba"))
+    other = thue.translate(str.maketrans("ab", "ba"))
+    texts = [thue, other, thue + " b " + other, "x " * 3000 + thue]
+    data, offsets = _text.buffers(pa.array(texts))
+    starts, ends, _ = _text.words(data, offsets)
+    got = _text.word_hashes(data, starts, ends)
+    words = [w for t in texts for w in t.split()]
+    assert len(words) == len(got) and len(set(got.tolist())) == len(set(words)) == len(set(zip(words, got.tolist(), strict=True)))
+
+
 def test_minhash_large_group(spark):
     """Copies with few and with many edits of one text: components as by brute force."""
     r = random.Random(8)
@@ -102,7 +126,9 @@ def test_pigeonhole():
         assert set(keys[0]) & set(keys[1])
 
 
-def test_connected(spark):
+@pytest.mark.parametrize("piece", [200_000, 50])
+def test_connected(spark, piece, monkeypatch):
+    monkeypatch.setattr(_graph, "PIECE", piece)  # of the driver: how often the steps between pieces run
     r = random.Random(4)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(400, 460)] + [(500, x) for x in range(501, 560)]
     got = {x.id: x.component for x in _graph.connected(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
@@ -200,6 +226,14 @@ def test_embeddings(spark, monkeypatch, block):
     assert got[1006] == (1, 1006, True) and got[1007] == (1, 1006, False)
 
 
+def test_forest():
+    r = np.random.default_rng(4)
+    for n, m in ((1, 0), (50, 20), (300, 290), (300, 2000)):
+        a, b = r.integers(0, n, m), r.integers(0, n, m)
+        root = components(range(n), list(zip(a.tolist(), b.tolist(), strict=True)))
+        assert _graph.roots(a, b, n).tolist() == [root[i] for i in range(n)]
+
+
 def test_estimate_is_unbiased():
     r = np.random.default_rng(3)
     a, b = (embedding_dedup.unit_rows(r.standard_normal((300, 64))) for _ in range(2))

@@ -122,3 +122,14 @@ def test_settled_neighbours_travel_as_one_run():
     joined = _windows._joined(runs)
     assert list(zip(*(joined[k].tolist() for k in ("doc", "start", "n")), strict=True)) == [(7, 0, 4), (7, 9, 1), (8, 4, 2), (8, 7, 1)]
     assert len(_windows._joined({k: v[:0] for k, v in runs.items()})["n"]) == 0
+
+
+def test_long_rows_in_stretches():
+    """A long row gives the same windows, whatever the length of its stretches."""
+    from thalweg.llm import _windows
+
+    codes = np.random.default_rng(3).integers(0, 3, 4000).astype(np.uint64)
+    bounds = np.array([0, len(codes)])
+    whole, parts = _windows.runs_of(codes, bounds, 40, 12), _windows.runs_of(codes, bounds, 40, 12, 500)
+    each = lambda runs: {s + i: g for s, n, g in zip(runs["start"].tolist(), runs["n"].tolist(), runs["gram"].tolist(), strict=True) for i in range(n)}
+    assert each(whole) == each(parts) and len(each(whole)) == 4000 - 39 == int(parts["n"].sum())

@@ -7,6 +7,7 @@ A null text is an empty text.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +16,8 @@ import pyarrow.compute as pc
 
 #: Bytes of text that are looked at together; a longer document is a piece of its own.
 PIECE_BYTES = 1 << 20
+#: Words of more bytes have their fingerprint from a digest.
+LONG_WORD = 64
 
 #: The bytes that part words: space and \x09-\x0D.
 _INK = np.ones(256, bool)
@@ -110,7 +113,23 @@ def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return span_hash(prefix_hash(BYTE_CODES[data]), starts, ends)
+    """Fingerprints of words, PIECE_BYTES of text at a time.
+
+    A polynomial modulo 2^64 has known collisions between some very long words; those get a digest.
+    """
+    out = np.empty(len(starts), np.uint64)
+    short = np.flatnonzero(ends - starts <= LONG_WORD)
+    at = 0
+    while at < len(short):
+        lo = starts[short[at]]
+        end = int(np.searchsorted(starts[short], lo + PIECE_BYTES))
+        some = short[at:end]
+        prefix = prefix_hash(BYTE_CODES[data[lo : ends[some[-1]]]])
+        out[some] = span_hash(prefix, starts[some] - lo, ends[some] - lo)
+        at = end
+    for i in np.flatnonzero(ends - starts > LONG_WORD).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]], digest_size=8).digest(), "little")
+    return out
 
 
 def row_of(bounds: np.ndarray) -> np.ndarray:

@@ -56,8 +56,19 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return x if done == width else np.minimum(x[: len(x) - (width - done)], x[width - done :])
 
 
-def runs_of(codes: np.ndarray, bounds: np.ndarray, window: int, k: int) -> Runs:
-    """The runs of each row of `codes`: row, start (in the row), n windows, gram, body."""
+def runs_of(codes: np.ndarray, bounds: np.ndarray, window: int, k: int, most: int = 1 << 20) -> Runs:
+    """The runs of each row of `codes`, of a single long row those of stretches of `most` windows: row, start (in the row), n windows, gram, body."""
+    if len(bounds) != 2 or len(codes) < most + window:
+        return _runs_of(codes, bounds, window, k)
+    out = []
+    for at in range(0, len(codes) - window + 1, most):
+        part = codes[at : at + most + window - 1]
+        out.append(_runs_of(part, np.array([0, len(part)]), window, k))
+        out[-1]["start"] += at
+    return concat(out)
+
+
+def _runs_of(codes: np.ndarray, bounds: np.ndarray, window: int, k: int) -> Runs:
     empty = {"row": np.zeros(0, np.int64), "start": np.zeros(0, np.int64), "n": np.zeros(0, np.int64), "gram": np.zeros(0, np.uint64), "body": np.zeros(0, np.uint64)}
     n = len(codes)
     if n < window:

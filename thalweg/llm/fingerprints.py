@@ -68,7 +68,7 @@ def similar(docs: DataFrame, percent: int = 80) -> DataFrame:
     members = rows.join(leaders.select("band", "leader"), "band").checkpoint()
     tried = members.filter("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct().checkpoint()
     wanted = members.select(F.col("id").alias("doc_id")).distinct()
-    sets = shingle_sets(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi"), SHINGLE).dropDuplicates(["id"]).checkpoint()
+    sets = shingle_sets(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi"), SHINGLE).select("id", "n", "prints").dropDuplicates(["id"]).checkpoint()
     edges = confirmed(tried, sets, percent).checkpoint()
 
     # no leader is like them: their bands are searched in full, but for pairs that the bounds rule out

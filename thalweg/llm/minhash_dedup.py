@@ -16,7 +16,11 @@ of copies costs two comparisons a member, and heavily edited copies none.
 
 Defined results: a null text is empty; an empty set is linked with nothing;
 rows without doc_id take no part, have no component and are kept; rows that
-repeat a doc_id count as one document; extra columns are ignored.
+repeat a doc_id are judged each by its own text, so equal ones share a result
+and unlike ones need not; of equally central leaders the largest id leads, of
+equal sets the smallest doc_id stands for all; a text of any length is one set,
+in some 30 times its size of a task's memory; extra columns are ignored; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -40,25 +44,37 @@ CLASSES = 64
 WORDS = 16
 #: Links have PERCENT * union <= 100 * intersection.
 PERCENT = 80
-SKETCH = "doc_id bigint, n bigint, h1 bigint, h2 bigint, signature binary"
+WHOLE = ["h1", "h2", "n"]
+SKETCH = "doc_id bigint, text_id bigint, n bigint, h1 bigint, h2 bigint, signature binary"
+
+
+def _whole_set(prints: np.ndarray, bounds: np.ndarray) -> list[pa.Array]:
+    """Two fingerprints of each whole set."""
+    sums = []
+    for salt in (1, 2):
+        total = np.zeros(len(prints) + 1, np.uint64)
+        np.cumsum(_text.mix(prints + np.uint64(salt)), out=total[1:])
+        sums.append(pa.array((total[bounds[1:]] - total[bounds[:-1]]).astype(np.int64)))
+    return sums
 
 
 def sketches(docs: DataFrame, size: int) -> DataFrame:
-    """Of each document its number of shingles, two fingerprints of the whole set, and the signature."""
+    """Of each document a hash of its text, its number of shingles, two fingerprints of the whole set, and the signature."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, end, data, offsets in _text.pieces(batch.column(1)):
+            for first, end, data, offsets in _text.pieces(batch.column(2)):
                 _, prints, bounds = _minhash.shingles(data, offsets, size, True)
-                sums = []
-                for salt in (1, 2):
-                    total = np.zeros(len(prints) + 1, np.uint64)
-                    np.cumsum(_text.mix(prints + np.uint64(salt)), out=total[1:])
-                    sums.append(pa.array((total[bounds[1:]] - total[bounds[:-1]]).astype(np.int64)))
                 signature = _minhash.signatures(prints, bounds, CHUNKS * WIDTH)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), pa.array(np.diff(bounds)), *sums, pa.array([x.tobytes() for x in signature], pa.binary())], ["doc_id", "n", "h1", "h2", "signature"])
+                own = [batch.column(i).slice(first, end - first) for i in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(np.diff(bounds)), *_whole_set(prints, bounds), pa.array([x.tobytes() for x in signature], pa.binary())], [x.split()[0] for x in SKETCH.split(", ")])
+
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_id().alias("text_id"), "text").mapInArrow(sketch, SKETCH)
+
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(sketch, SKETCH)
+def text_id():
+    """What tells rows of one doc_id with different texts apart."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
 def chunk_keys(signature: np.ndarray) -> np.ndarray:
@@ -84,19 +100,19 @@ def _keys(classes: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().astype(np.int64)), part.column(0).take(pa.array(each)), part.column(1).take(pa.array(each))], ["key", "id", "n"])
 
     # sets of fewer than four shingles reach 0.8 with equal sets only, and those are one class already
-    return classes.filter("n >= 4").select("id", "n", "signature").mapInArrow(enumerate_keys, "key bigint, id bigint, n bigint")
+    return classes.filter("n >= 4").select(F.col("node").alias("id"), "n", "signature").mapInArrow(enumerate_keys, "key bigint, id bigint, n bigint")
 
 
 def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
-    """(id, n, prints): the sorted shingles of each document."""
+    """(id, h1, h2, n, prints): the sorted shingles of each document, and the fingerprints of its set."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, end, data, offsets in _text.pieces(batch.column(1)):
                 _, prints, bounds = _minhash.shingles(data, offsets, size, True)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), pa.array(np.diff(bounds)), _text.lists(bounds, prints.astype(np.int64))], ["id", "n", "prints"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), *_whole_set(prints, bounds), pa.array(np.diff(bounds)), _text.lists(bounds, prints.astype(np.int64))], ["id", *WHOLE, "prints"])
 
-    return docs.mapInArrow(sets, "id bigint, n bigint, prints array<bigint>")
+    return docs.select("doc_id", "text").mapInArrow(sets, "id bigint, h1 bigint, h2 bigint, n bigint, prints array<bigint>")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -200,17 +216,28 @@ def _across(members: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, size: int = 5) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable by links), kept, by shingles of `size` words."""
+    """doc_id, n_shingles, component_id (smallest doc_id reachable by links), kept, text_id, by shingles of `size` words."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     sketch = sketches(docs, size).checkpoint()
-    whole = ["h1", "h2", "n"]
-    classes = sketch.filter("n > 0 and doc_id is not null").groupBy(*whole).agg(F.min("doc_id").alias("id"), F.first("signature").alias("signature"))
+    classes = sketch.filter("n > 0 and doc_id is not null").groupBy(*WHOLE).agg(F.min("doc_id").alias("id"), F.first("signature").alias("signature")).withColumn("node", F.col("id"))
+    # unlike texts of one doc_id may both stand for their classes, which then need names of their own
+    several = classes.groupBy("id").agg(F.count("*").alias("classes")).filter("classes > 1").select("id", F.lit(True).alias("several")).checkpoint()
+    repeated = not several.isEmpty()
+    if repeated:
+        classes = classes.join(several, "id", "left").withColumn("node", F.when(F.col("several"), F.xxhash64(*WHOLE)).otherwise(F.col("id"))).drop("several").checkpoint()
     keys = _keys(classes)
     leaders = keys.groupBy("key").agg(F.min(F.struct("id", "n")).alias("leader"), F.count("*").alias("members")).filter("members > 1")
     members = keys.join(leaders.select("key", "leader"), "key").checkpoint()
 
-    wanted = members.select(F.col("id").alias("doc_id")).distinct()
-    sets = shingle_sets(docs.join(wanted, "doc_id", "left_semi"), size).dropDuplicates(["id"]).checkpoint()
+    wanted = members.select("id").distinct()
+    if repeated:
+        wanted = wanted.join(classes.select(F.col("node").alias("id"), F.col("id").alias("doc_id")), "id").select("doc_id").distinct()
+    else:
+        wanted = wanted.withColumnRenamed("id", "doc_id")
+    sets = shingle_sets(docs.join(wanted, "doc_id", "left_semi"), size)
+    if repeated:
+        sets = sets.drop("id").join(classes.select(*WHOLE, F.col("node").alias("id")), WHOLE)
+    sets = sets.select("id", "n", "prints").dropDuplicates(["id"]).checkpoint()  # rows of one id hold one set
 
     starred = lambda rows: rows.filter(_alike("n", "leader.n")).select(F.least("id", "leader.id").alias("a"), F.greatest("id", "leader.id").alias("b")).filter("a <> b").distinct()
     tried = starred(members).checkpoint()
@@ -230,15 +257,18 @@ def near_duplicates(docs: DataFrame, size: int = 5) -> DataFrame:
     other = rest.select("key", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("shared").alias("shared2"), F.col("words").alias("words2"), F.col("component").alias("component2"))
     pairs = rest.join(other, "key").filter(F.col("component") < F.col("component2")).filter(_alike("n", "n2")).filter(F.when(_plausible("n", "shared", "n2", "shared2"), _reachable("n", "words", "n2", "words2")).otherwise(False))
     pairs = pairs.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct().join(tried.union(again), ["a", "b"], "left_anti")
-    labels = _graph.connected(edges.union(confirmed(pairs, sets)))
+    labels = _graph.connected(edges.union(confirmed(pairs, sets)).checkpoint())
 
     # copies of a class have one row in `classes`; adaptive execution splits a large class here
-    found = classes.select(*whole, "id").join(labels, "id", "left").select(*whole, F.coalesce("component", "id").alias("component"))
-    return sketch.join(found, whole, "left").select(
+    found = classes.select(*WHOLE, "id", F.col("node")).join(labels.withColumnRenamed("id", "node"), "node", "left").select(*WHOLE, "id", F.coalesce("component", "node").alias("component"))
+    if repeated:
+        found = found.join(found.groupBy("component").agg(F.min("id").alias("least")), "component").withColumn("component", F.col("least"))
+    return sketch.join(found.select(*WHOLE, "component"), WHOLE, "left").select(
         "doc_id",
         F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component"))).otherwise(F.col("doc_id")).alias("component_id"),
         F.coalesce((F.col("n") == 0) | (F.col("component") == F.col("doc_id")), F.lit(True)).alias("kept"),
+        "text_id",
     )
 
 
