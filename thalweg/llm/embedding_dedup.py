@@ -12,10 +12,15 @@ follows from the bits so that a pair at the threshold is missed with
 probability MISS at most, and pairs above it with less. A pair counts in the
 first table where it meets. Equal vectors are one class with a weight. A bucket
 of more than BLOCK vectors is split into blocks, and each pair of blocks is a
-task of its own; no pair leaves a task, only sums and the smallest linked id.
+group of its own; no pair leaves a task, only the number of links of each vector
+and a spanning forest of the links (each vector with the smallest id that it
+reaches in the group), which keeps all components. The vectors travel with each
+table: links of a group are counted where both ends are, and to fetch vectors
+for pairs would make a row of every pair of a large group.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite
-components link with nothing; vectors of different lengths do not link; rows
+components link with nothing; equal vectors are links of each other; a vector of
+any length is one row; vectors of different lengths do not link; rows
 equal in vec_id and vector are returned once; rows that repeat a vec_id with
 other components share its component; rows without vec_id take no part and are
 kept; extra columns are ignored.
@@ -72,7 +77,7 @@ def table_keys(unit: np.ndarray, tables: int, bits: int) -> np.ndarray:
     keys = np.zeros((len(unit), tables), np.uint64)
     for b in range(bits):
         keys = keys * np.uint64(2) + signs[:, :, b]
-    return _text.mix(keys + np.uint64(unit.shape[1]) * np.uint64(0x9E3779B97F4A7C15)).astype(np.int64)
+    return _text.mix(keys + np.array([unit.shape[1]], np.uint64) * np.uint64(0x9E3779B97F4A7C15)).astype(np.int64)
 
 
 def codes(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -117,10 +122,10 @@ def _index(classes: DataFrame, tables: int, bits: int) -> DataFrame:
 
 
 def _bucket_links(tables: int, bits: int):
-    """Of one part, whole (table, key, block pair) groups: (id, links, other)."""
+    """Of one part, whole (table, key, block pair) groups: (id, links, other), other being the smallest id that it reaches there."""
 
     def links(table: pa.Table) -> pa.Table:
-        frame = table.to_pandas()
+        frame = table.to_pandas().sort_values("id")  # so that the first place of several has the smallest id
         ids, sums, ends = [], [], []
         for (t, _, low, high), group in frame.groupby(["t", "key", "low", "high"], sort=False):
             if len(group) < 2:
@@ -149,13 +154,10 @@ def _bucket_links(tables: int, bits: int):
                 continue
             vec, weight = group["id"].to_numpy(), group["weight"].to_numpy()
             total = np.bincount(a, weight[b], len(vec)) + np.bincount(b, weight[a], len(vec))
-            least = vec.copy()
-            np.minimum.at(least, a, vec[b])
-            np.minimum.at(least, b, vec[a])
             met = np.flatnonzero(total)
             ids.append(vec[met])
             sums.append(total[met].astype(np.int64))
-            ends.append(least[met])
+            ends.append(vec[_graph.roots(a, b, len(vec))[met]])
         every = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (ids, sums, ends)]
         out = pd.DataFrame(dict(zip(("id", "links", "other"), every, strict=True))).groupby(["id", "other"], as_index=False)["links"].sum()
         return pa.table({k: pa.array(out[k].to_numpy(np.int64), pa.int64()) for k in ("id", "links", "other")})
