@@ -8,6 +8,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from thalweg.llm import _graph, _text, embedding_dedup, fingerprints, minhash_dedup
 
@@ -163,6 +164,21 @@ def test_fingerprint_edges(spark):
     assert len(f(spark.createDataFrame([(5, "x"), (5, "x"), (None, None), (None, "y")], "doc_id bigint, text string")).collect()) == 4
 
 
+def test_fingerprints_of_a_shared_id(spark):
+    """Very many rows of one doc_id or of none: dealt to several ranges, in one order."""
+    r = random.Random(7)
+    docs = [(i, f"text {i} " * r.randint(1, 9)) for i in range(40)] + [(17, f"other {i} words") for i in range(300)] + [(None, f"none {i}") for i in range(300)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(5)
+    ties = {(x.doc_id, x.text): x.h for x in df.select("doc_id", "text", F.xxhash64("text").alias("h")).collect()}
+    order = sorted(docs, key=lambda x: (x[0] is None, -(x[0] or 0), ties[x]))
+    want = []
+    for (d, t), (_, after) in zip(order, order[1:] + order[:1], strict=True):
+        cut = len(t) // 3
+        want.append((str(d), len(t), hashlib.sha256((t[: len(t) - cut] + after[:cut]).encode()).hexdigest()))
+    got = fingerprints.edited_fingerprints(df)
+    assert sorted((str(x.doc_id), x.n_chars, x.edited_sha256) for x in got.collect()) == sorted(want)
+
+
 def test_similar(spark):
     docs = near_corpus(6)
     sets = {d: {s for s in shingle_set(t, 5)} for d, t in docs.items()}

@@ -50,7 +50,7 @@ def test_toxicity_edges(spark):
 def test_mixing_reaches_targets(spark):
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
     for low in (0.03, 0.2, 0.5):
-        out = mixing.weigh(docs, labels, {"low": low, "high": 1 - low})
+        out = mixing.weigh(docs, mixing.by_quality(labels), {"low": low, "high": 1 - low})
         s = out.agg(*[F.sum(F.col("n_tokens") * F.col("rate") * F.col(p)).alias(p) for p in ("p_low", "p_high")], F.min("rate").alias("least"), F.count("*").alias("n")).first()
         assert s.n == docs.count() and s.least >= 0
         assert math.isclose(s.p_low / (s.p_low + s.p_high), low, abs_tol=0.01)
@@ -58,11 +58,11 @@ def test_mixing_reaches_targets(spark):
 
 def test_mix_keeps_rates_above_one(spark):
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
-    weighed = mixing.weigh(docs, labels).select("doc_id", "n_tokens", (F.col("rate") * 4).alias("rate")).collect()
+    weighed = mixing.weigh(docs, mixing.by_quality(labels)).select("doc_id", "n_tokens", (F.col("rate") * 4).alias("rate")).collect()
     real = mixing.rates
     mixing.rates = lambda soft, target: real(soft, target) * 4
     try:
-        got = {x.doc_id: x["count"] for x in mixing.mix(docs, labels).groupBy("doc_id").count().collect()}
+        got = {x.doc_id: x["count"] for x in mixing.mix(docs, mixing.by_quality(labels)).groupBy("doc_id").count().collect()}
     finally:
         mixing.rates = real
     assert max(got.values()) >= 4 and all(math.floor(w.rate - 1e-9) <= got.get(w.doc_id, 0) <= math.floor(w.rate + 1e-9) + 1 for w in weighed)
@@ -71,20 +71,68 @@ def test_mix_keeps_rates_above_one(spark):
 
 def test_mixing_classifies(spark):
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
-    rows = mixing.weigh(docs, labels.filter("doc_id % 2 = 0")).join(labels.filter("doc_id % 2 = 1"), "doc_id").collect()
+    rows = mixing.weigh(docs, mixing.by_quality(labels.filter("doc_id % 2 = 0"))).join(labels.filter("doc_id % 2 = 1"), "doc_id").collect()
     assert np.mean([(r.p_high > 0.5) == (r.quality == 1) for r in rows]) > 0.9
     words = {r.doc_id: len(re.findall(r"[^\x20\x09-\x0D]+", r.text)) for r in docs.collect()}
     assert all(r.n_tokens == words[r.doc_id] for r in rows)
 
 
 def test_mixing_edges(spark):
-    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, bins int, quality int"
-    docs = spark.createDataFrame([(1, None, None, None, None, 1, 1), (2, "", None, None, None, 1, 1), (None, "a b", None, None, None, 1, 1), (3, "a b c", "en", "s", 5, 1, 0), (3, "a b c", "en", "s", 5, 1, 0)], schema)
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, bins int, quality int, n_tokens int, p_high string, _p0 int, rate int"
+    row = lambda d, t: (d, t, None, None, 1, 1, 1, 777, "x", 5, 9)
+    docs = spark.createDataFrame([row(1, None), row(2, ""), row(None, "a b"), row(3, "a b c"), row(3, "a b c")], schema)
     none = spark.createDataFrame([], "doc_id bigint, quality int")
-    rows = mixing.weigh(docs, none).collect()
-    assert len(rows) == 5 and all(r.p_high == 0.5 and r.rate >= 0 for r in rows)
-    assert mixing.weigh(docs.limit(0), none).count() == 0
-    assert mixing.mix(docs.drop("bins"), none).columns == docs.drop("bins").columns
+    rows = mixing.weigh(docs, mixing.by_quality(none)).collect()
+    assert len(rows) == 5 and all(r.p_high == 0.5 and r.rate >= 0 for r in rows) and sorted(r.n_tokens for r in rows) == [0, 0, 2, 3, 3]
+    assert mixing.weigh(docs.limit(0), mixing.by_quality(none)).count() == 0 and mixing.mix(docs.limit(0), mixing.by_quality(none)).count() == 0
+    # a caller's columns come back as they are, whatever their names
+    mixed = mixing.mix(docs, mixing.by_quality(none), {"low": 0.5, "high": 0.5})
+    assert mixed.columns == docs.columns and sorted(map(str, mixed.collect())) == sorted(map(str, docs.collect()))
+
+
+def test_mixing_against_plain_python(spark):
+    """Posteriors and rates of three domains as a plain loop over the documents gives them."""
+    r = random.Random(2)
+    words = {d: [f"{d}{i}" for i in range(40)] for d in "abc"}
+    docs, labels = [], []
+    for i in range(240):
+        d = "abc"[i % 3]
+        other = r.choice("abc")
+        docs.append((i, " ".join(r.choice(words[d] if r.random() < 0.8 else words[other]) for _ in range(r.randint(1, 60)))))
+        if i % 2:
+            labels.append((i, d))
+    target = {"a": 0.6, "b": 0.3, "c": 0.1}
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    model = mixing.Classifier(df, spark.createDataFrame(labels, "doc_id bigint, domain string"), list(target))
+    got = {x.doc_id: x for x in mixing.weigh(df, spark.createDataFrame(labels, "doc_id bigint, domain string"), target).collect()}
+    bins = {x.doc_id: x["_bins"] for x in mixing.shape(df, model.leanings).collect()}
+    soft = {}
+    for i, _ in docs:
+        z = [prior + sum(f[k] for f, k in zip(features, bins[i], strict=True)) for prior, features in model.rates]
+        e = [math.exp(max(x - max(z), -30)) for x in z]
+        soft[i] = np.array(e) / sum(e)
+        assert np.allclose(soft[i], [got[i].p_a, got[i].p_b, got[i].p_c])
+    assert np.mean([int(np.argmax(soft[i])) == i % 3 for i, _ in docs]) > 0.9
+    n = np.array([len(t.split()) for _, t in docs], float)
+    p = np.array([soft[i] for i, _ in docs])
+    share = np.array(list(target.values()))
+    goal = share * (n @ p / share).min()
+    gram = (p * n[:, None]).T @ p
+    gram += np.eye(3) * (1e-9 + 1e-6 * np.trace(gram))
+    rate = np.ones(len(n))
+    for _ in range(mixing.ROUNDS):
+        have = (n * rate) @ p
+        if np.abs(have - goal).max() / (n @ p / share).min() < mixing.TOLERANCE:
+            break
+        rate = np.maximum(0, rate - p @ np.linalg.solve(gram, have - goal))
+    assert np.allclose(rate, [got[i].rate for i, _ in docs], atol=1e-6) and np.allclose((n * rate) @ p, goal, rtol=0.02)
+
+
+def test_mixing_warns(spark):
+    df = spark.createDataFrame([(1, "a b"), (2, "c d")], "doc_id bigint, text string")
+    soft = df.select("doc_id", F.lit(5).alias("_tokens"), F.lit(0.5).alias("_p0"), F.lit(0.5).alias("_p1"))
+    with pytest.warns(UserWarning, match="miss their targets"):
+        mixing.rates(soft, [0.1, 0.9])
 
 
 @pytest.mark.parametrize("seed", range(4))
@@ -120,13 +168,115 @@ def test_pack_documents(spark):
     assert packing.pack_documents(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
 
 
+def brute_pack(rows, groups, group_of):
+    """Bins by a plain best fit: of the open bins of a group with room, the fullest, of those the first opened."""
+    bins = {}
+    for row in sorted(rows, key=lambda x: (-x["piece_tokens"], x["doc_id"] is None, x["doc_id"] or 0, x["text_id"], x["piece"], x["copy"])):
+        bins.setdefault(group_of(row), []).append(row)
+    out = {}
+    for g, members in bins.items():
+        open_bins, left = [], sum(x["piece_tokens"] for x in members)
+        for x in members:
+            n = x["piece_tokens"]
+            left -= n
+            room = [b for b in open_bins if b["size"] - b["used"] >= n]
+            if room:
+                b = min(room, key=lambda b: (b["size"] - b["used"], b["id"]))
+            else:
+                size = min((c for c in packing.CAPACITIES if c >= n), key=lambda c: packing.cost(c, packing.CAPACITIES) / (n + min(c - n, left)))
+                b = {"id": len(open_bins), "size": size, "used": 0}
+                open_bins.append(b)
+            out[x["doc_id"], x["piece"], x["text_id"], x["copy"]] = (b, b["used"])
+            b["used"] += n
+    return sorted((k[0] if k[0] is not None else -1, k[1], at, next(c for c in packing.CAPACITIES if c >= b["used"])) for k, (b, at) in out.items())
+
+
+def test_pack_documents_against_a_plain_packer(spark):
+    """Places and sizes as a plain best fit gives them, however the table is partitioned."""
+    r = random.Random(4)
+    docs = [(i, " ".join(["w"] * min(20000, int(r.lognormvariate(5, 1.6))) + [str(i)])) for i in range(300)] + [(None, "a b"), (None, "a b"), (7, "x y z"), (7, "x y z")]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    hashed = {(x.doc_id, x.text): x.h for x in df.select("doc_id", "text", F.xxhash64("text").alias("h")).collect()}
+    rows, seen = [], {}
+    for d, t in docs:
+        copy = seen[d, t] = seen.get((d, t), -1) + 1
+        n = len(t.split())
+        rows += [{"doc_id": d, "text_id": hashed[d, t], "copy": copy, "piece": i, "piece_tokens": min(8192, n - i * 8192)} for i in range(-(-n // 8192))]
+    want = brute_pack(rows, 1, lambda x: 0)
+    for parts in (1, 5):
+        got = packing.pack_documents(df.repartition(parts)).collect()
+        assert sorted((x.doc_id if x.doc_id is not None else -1, x.piece, x.bin_offset, x.bin_size) for x in got) == want
+        assert len(got) == len(rows)
+
+
+def test_toxicity_against_plain_scoring():
+    """Scores of random texts as a plain search for every entry at every place gives them."""
+    r = random.Random(6)
+    lexicon = {"=" + toxicity.fold("trash"): 5.0, "^" + toxicity.fold("vequ"): 4.0, "=" + toxicity.fold("sore"): 3.5, "^" + toxicity.fold("sorely"): 6.0}
+    matcher = toxicity.Matcher(lexicon)
+    for _ in range(300):
+        text = "".join(r.choice(["trash", "tr4sh", "trash can", "vequille", "TRASH", "sorely", "sore", "sоre", "can", "x", " ", " ", ", ", "-", "\u200b"]) for _ in range(r.randint(0, 25)))
+        folded, total = toxicity.fold(text), 0.0
+        shields = [m.span() for p in toxicity.EXCEPTIONS for m in re.finditer(rf"(?={re.escape(toxicity.fold(p))})", folded)]
+        shields = [(a, a + n) for a, _ in shields for p in toxicity.EXCEPTIONS for n in [len(toxicity.fold(p))] if folded.startswith(toxicity.fold(p), a) and not (a and folded[a - 1].isalnum()) and not folded[a + n : a + n + 1].isalnum()]
+        for at in range(len(folded)):
+            if at and folded[at - 1].isalnum():
+                continue
+            best = (0.0, 0)
+            for term, weight in lexicon.items():
+                end = at + len(term) - 1
+                if folded.startswith(term[1:], at) and (term[0] == "^" or not folded[end : end + 1].isalnum()) and weight > best[0]:
+                    best = (weight, end)
+            if best[0] and not any(a <= at and best[1] <= b for a, b in shields):
+                total += best[0]
+        want = 1 - math.exp(-0.25 * total / (1 + toxicity.LENGTH * math.log1p(len(folded) / 1000))) if total else 0.0
+        assert math.isclose(matcher.score(text), want), text
+
+
+def test_lexicon_entries_give_way():
+    sure = {"^abcd": (10, 3), "^abcde": (9, 1), "=abcdef": (4, 0), "^xyzw": (5, 0), "^xyzwv": (5, 0)}
+    plain = [t for t, (a, b) in sure.items() if not any(u != t and u[1:].startswith(t[1:]) and sure[u][0] >= 0.9 * a and sure[u][1] < b for u in sure)]
+    assert toxicity._pruned(sure) == sorted(plain) == ["=abcdef", "^abcde", "^xyzw", "^xyzwv"]
+
+
 def test_forest_held_out():
-    forest = secret_scan.default_forest()
+    model = secret_scan.Model()
     other = secret_scan.labelled_findings(800, seed=99)
-    p = forest.predict(np.array([secret_scan.features(*f[:5]) for f in other])) >= 0.5
+    p = model.predict([f[:5] for f in other]) >= 0.5
     assert np.mean(p == np.array([f[5] for f in other], bool)) > 0.95
 
 
+def test_forest_on_the_documents(spark):
+    """Findings in real rows, labelled by eye: 40 hexadecimal digits assigned to a token are secrets, long words of the text are none."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+    rows = [(r, texts[r.doc_id][r.start : r.end]) for r in secret_scan.scan(docs).collect()]
+    secret = [r.is_secret for r, v in rows if re.fullmatch("[0-9a-f]{40}|[0-9A-F]{40}", v)]
+    word = [r.is_secret for r, v in rows if re.fullmatch("[A-Za-z]{24,}", v)]
+    assert len(secret) > 100 and all(secret) and len(word) >= 2 and not any(word) and len(secret) + len(word) == len(rows)
+
+
+def test_dictionary(spark):
+    docs = [(i, "Common words recur; CODE12 plain") for i in range(6)] + [(9, "seldom " * 50), (10, None), (11, "")]
+    words = secret_scan.corpus_words(spark.createDataFrame(docs, "doc_id bigint, text string"))
+    assert words == ("code", "common", "plain", "recur", "words")
+    d = secret_scan.Dictionary(words)
+    assert d.covered("xxcommonwords1") == 11 and d.covered("") == 0 and secret_scan.Dictionary(()).covered("common") == 0
+
+
+def test_candidates_against_plain_search(spark):
+    """Of each document the candidates that the expressions find one by one, whatever picked its text."""
+    r, texts = random.Random(9), []
+    for i in range(300):
+        parts = [r.choice(["word", "the token is here", f"password: {'x' * r.randint(3, 9)}", "a" * r.randint(20, 30), f"AKIA{'Q' * r.randint(15, 17)}", "sk_live_" + "b1" * r.randint(6, 12), "key\u00a0= zz", "secret='abc,defghi'"]) for _ in range(r.randint(0, 12))]
+        texts.append((i, r.choice([" ", "\n", "\t\u2003"]).join(parts)))
+    df = spark.createDataFrame(texts, "doc_id bigint, text string").withColumn("source", F.lit("s"))
+    got = {}
+    for x in secret_scan.scan(df, model=secret_scan.model_of(())).collect():
+        got.setdefault(x.doc_id, []).append((x.start, x.end, x.rule))
+    assert {d: sorted(x) for d, x in got.items()} == {d: c for d, t in texts if (c := secret_scan.candidates(t))} and len(got) > 200
+
+
 def test_secrets(spark):
     key = "AKIA" + "Q3Z7K2M9X4B8W6T1"
     docs = [(1, f"é say {key} now", "src0"), (2, "password=changeme or not", "src1"), (3, 'token = "1beb58b8af68854f0e01b4ad40cdbb6ae7f578ae"', None), (4, None, "x"), (5, "", "x"), (6, "clean words only, nothing more", "x"), (7, "sha256 9f86d081884c7d659a2feaa0c55ad015a3bf4f1b2b0b822cd15d6c15b0f00a08", "docs/example.md"), (None, f"{key} {key}", "x")]

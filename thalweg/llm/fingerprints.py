@@ -13,8 +13,10 @@ ranges makes all edits, and the text is shuffled once.
 
 Defined results: a null text is empty and has the fingerprint of no shingles;
 rows without doc_id come after all others; rows that repeat a doc_id are ordered
-by a fingerprint of their text; a single row is its own neighbour; extra columns
-are ignored; an empty table gives an empty result.
+by a hash of their text, and where they are very many dealt to several ranges by
+it; rows equal in both lie in one range; a single row is its own neighbour; a
+text of any length is taken whole, in some 30 times its size of a task's memory;
+extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -120,23 +122,25 @@ def _compared(pairs: list) -> pa.RecordBatch:
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
     """Fingerprints of each text and of its edited text, and how alike they are."""
     spark = docs.sparkSession
-    # rows without doc_id follow all others
-    place = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63)))
-    docs = docs.select(place.alias("place"), F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    tie = F.xxhash64(F.coalesce("text", F.lit("")))
+    doc_id = F.col("doc_id").cast("bigint")
+    # ascending in what follows: descending doc_id, rows without doc_id after all others
+    docs = docs.select(F.bitwise_not(F.coalesce(doc_id, F.lit(-(1 << 63)))).alias("place"), doc_id.alias("doc_id"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("tie"))
     ranges = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     cuts = docs.agg(F.percentile_approx("place", [i / ranges for i in range(1, ranges)], 20 * ranges)).first()[0]
     if cuts is None:
         return docs.select(*(F.lit(None).cast(kind).alias(name) for name, kind in (x.split() for x in SCHEMA.split(", ")))).limit(0)
-    cuts = F.array(*[F.lit(int(c)) for c in sorted(set(cuts))])
-    spread = docs.withColumn("part", F.size(F.filter(cuts, lambda c: c < F.col("place"))))
-    # the first document of a range, in descending order, follows the last of the range above; the very first follows the very last
-    heads = spread.groupBy("part").agg(F.max("place").alias("place")).orderBy("part").collect()  # as many rows as ranges
-    ghosts = [(h["place"], heads[(i + 1) % len(heads)]["part"]) for i, h in enumerate(heads)]
-    ghosts = F.broadcast(spark.createDataFrame(ghosts, "place bigint, above int"))
+    cuts = F.split(F.lit(",".join(str(int(c)) for c in sorted(cuts))), ",").cast("array<bigint>")
+    # a doc_id that many rows share is a cut several times over; its rows go to as many ranges, by tie
+    shares = F.size(F.filter(cuts, lambda c: c == F.col("place")))
+    step = F.least(F.floor((F.col("tie") / F.lit(2.0**64) + 0.5) * shares), shares - 1)
+    spread = docs.withColumn("part", (F.size(F.filter(cuts, lambda c: c < F.col("place"))) + F.greatest(step, F.lit(0))).cast("int"))
+    # the first row of a range follows the last of the range before; the very first follows the very last
+    heads = spread.groupBy("part").agg(F.min(F.struct("place", "tie")).alias("head")).orderBy("part").collect()  # as many rows as ranges
+    ghosts = [(h["head"]["place"], h["head"]["tie"], heads[i - 1]["part"]) for i, h in enumerate(heads)]
+    ghosts = F.broadcast(spark.createDataFrame(ghosts, "place bigint, tie bigint, above int"))
     copies = F.filter(F.array(F.struct("part", F.lit(False).alias("ghost")), F.struct(F.col("above").alias("part"), F.lit(True).alias("ghost"))), lambda x: x["part"].isNotNull())
-    rows = spread.join(ghosts, "place", "left").select("place", "doc_id", "text", F.explode(copies).alias("x")).select(F.col("x.part").alias("part"), "doc_id", "text", F.col("x.ghost").alias("ghost"), "place", tie.alias("tie"))
-    return rows.repartition("part").sortWithinPartitions("part", "ghost", F.desc("place"), "tie").select("part", "doc_id", "text", "ghost").mapInArrow(_compare_neighbours, SCHEMA)
+    rows = spread.join(ghosts, ["place", "tie"], "left").select("place", "tie", "doc_id", "text", F.explode(copies).alias("x")).select("x.part", "doc_id", "text", "x.ghost", "place", "tie")
+    return rows.repartition("part").sortWithinPartitions("part", "ghost", "place", "tie").select("part", "doc_id", "text", "ghost").mapInArrow(_compare_neighbours, SCHEMA)
 
 
 def op8_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

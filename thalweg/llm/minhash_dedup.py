@@ -210,9 +210,9 @@ def shared_counts(sets: DataFrame) -> DataFrame:
 
 def _across(members: DataFrame, labels: DataFrame) -> DataFrame:
     """Members of keys that still hold two components, with their component."""
-    labelled = members.join(labels.select("id", "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    open_keys = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
-    return labelled.join(open_keys.select("key"), "key")
+    labelled = members.join(labels.select("id", "component"), "id", "left").withColumn("component", F.coalesce("component", "id")).checkpoint()
+    open_keys = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key").checkpoint()
+    return labelled.join(open_keys, "key")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5) -> DataFrame:
@@ -226,8 +226,9 @@ def near_duplicates(docs: DataFrame, size: int = 5) -> DataFrame:
     if repeated:
         classes = classes.join(several, "id", "left").withColumn("node", F.when(F.col("several"), F.xxhash64(*WHOLE)).otherwise(F.col("id"))).drop("several").checkpoint()
     keys = _keys(classes)
-    leaders = keys.groupBy("key").agg(F.min(F.struct("id", "n")).alias("leader"), F.count("*").alias("members")).filter("members > 1")
-    members = keys.join(leaders.select("key", "leader"), "key").checkpoint()
+    leaders = keys.groupBy("key").agg(F.min(F.struct("id", "n")).alias("leader"), F.count("*").alias("members")).filter("members > 1").select("key", "leader").checkpoint()
+    # a join of two tables, not of a table with its own sums: adaptive execution can split a key that very many share, here and below
+    members = keys.join(leaders, "key").checkpoint()
 
     wanted = members.select("id").distinct()
     if repeated:
@@ -248,7 +249,7 @@ def near_duplicates(docs: DataFrame, size: int = 5) -> DataFrame:
     rest = _across(members.drop("leader"), labels).checkpoint()
     shared = shared_counts(sets.join(rest.select("id").distinct(), "id", "left_semi"))
     rest = rest.join(shared, "id").filter(F.col("shared") * 100 >= F.col("n") * PERCENT).checkpoint()
-    central = rest.groupBy("key").agg(F.max_by(F.struct("id", "n", "shared", "words", "component"), F.struct(F.col("shared") / F.col("n"), "id")).alias("leader"))
+    central = rest.groupBy("key").agg(F.max_by(F.struct("id", "n", "shared", "words", "component"), F.struct(F.col("shared") / F.col("n"), "id")).alias("leader")).checkpoint()
     again = starred(rest.join(central, "key").filter(F.col("component") != F.col("leader.component")).filter(_plausible("n", "shared", "leader.n", "leader.shared"))).join(tried, ["a", "b"], "left_anti").checkpoint()
     edges = edges.union(confirmed(again, sets)).checkpoint()
     labels = _graph.connected(edges)

@@ -7,9 +7,15 @@ first. A piece that fits no open bin opens the size with the least cost for each
 token that it can still be filled with, and at the end every bin shrinks to the
 smallest permitted size that holds its contents.
 
+Which pieces share a group, and so all bins, depends on the rows alone and not
+on how the table is partitioned: rows equal in doc_id and text are counted, and
+their copies numbered.
+
 Defined results: a document without tokens (null or empty text) has one row
 without a bin; repeated rows are packed each; rows without doc_id are packed;
-extra columns are ignored; an empty table gives an empty result.
+pieces of equal length go in the order of doc_id, a hash of the text, place and
+copy; a text of any length is cut, and only counted here; extra columns are
+ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -57,19 +63,24 @@ def pack(lengths: list[int], capacities: tuple[int, ...] = CAPACITIES) -> tuple[
 def pack_documents(docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES) -> DataFrame:
     """The bin, its size and the offset of every piece of docs (doc_id, text)."""
     most = capacities[-1]
-    tokens = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("bigint").alias("n"))
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text).alias("text_id"), F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("bigint").alias("n"))
+    rows = rows.groupBy("doc_id", "text_id", "n").agg(F.count("*").alias("copies"))
+    # copies in two steps, so that no array grows with their number
+    rows = rows.withColumn("thousand", F.explode(F.sequence(F.lit(0), F.floor((F.col("copies") - 1) / 1000))))
+    rows = rows.withColumn("copy", F.explode(F.sequence(F.col("thousand") * 1000, F.least(F.col("copies") - 1, F.col("thousand") * 1000 + 999)))).drop("thousand", "copies")
     cut = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.col("n") / most).cast("int") - 1)), lambda i: F.struct(i.alias("piece"), (i.cast("bigint") * most).alias("piece_start"), F.least(F.lit(most), F.col("n") - i.cast("bigint") * most).cast("int").alias("piece_tokens")))
-    pieces = tokens.select("doc_id", F.explode(cut).alias("x")).select("doc_id", "x.*").checkpoint()
+    pieces = rows.select("doc_id", "text_id", "copy", F.explode(cut).alias("x")).select("doc_id", "text_id", "copy", "x.*").checkpoint()
     full = pieces.filter("piece_tokens > 0")
     groups = max(1, -(-full.count() // GROUP))
 
     def pack_group(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("piece_tokens", "descending"), ("doc_id", "ascending"), ("piece", "ascending")])
+        table = table.sort_by([("piece_tokens", "descending"), ("doc_id", "ascending"), ("text_id", "ascending"), ("piece", "ascending"), ("copy", "ascending")])
         bins, offsets, sizes = pack(table["piece_tokens"].to_pylist(), capacities)
         group = table["group"][0].as_py()
-        return table.drop_columns("group").append_column("bin_id", pa.array([(group << 32) + b for b in bins], pa.int64())).append_column("bin_size", pa.array([sizes[b] for b in bins], pa.int32())).append_column("bin_offset", pa.array(offsets, pa.int32()))
+        return table.drop_columns(["group", "text_id", "copy"]).append_column("bin_id", pa.array([(group << 32) + b for b in bins], pa.int64())).append_column("bin_size", pa.array([sizes[b] for b in bins], pa.int32())).append_column("bin_offset", pa.array(offsets, pa.int32()))
 
-    group = F.pmod(F.xxhash64("doc_id", "piece", F.monotonically_increasing_id()), F.lit(groups)).cast("bigint")
+    group = F.pmod(F.xxhash64("doc_id", "text_id", "piece", "copy"), F.lit(groups)).cast("bigint")
     packed = full.withColumn("group", group).groupBy("group").applyInArrow(pack_group, SCHEMA)
     empty = pieces.filter("piece_tokens = 0").select("doc_id", "piece", "piece_start", "piece_tokens", *(F.lit(None).cast(t).alias(c) for c, t in (("bin_id", "bigint"), ("bin_size", "int"), ("bin_offset", "int"))))
     return packed.unionByName(empty)

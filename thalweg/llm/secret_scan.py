@@ -3,8 +3,11 @@
 Patterns find candidates in whole texts (a linear-time expression picks the
 texts that have any); a random forest keeps those that look like secrets. Its
 features are the candidate's length, entropy, character transitions, dictionary
-coverage, its path and the words around it. It is trained on labelled findings;
-labelled_findings() makes the ones that are used here.
+coverage, its path and the words around it. The dictionary is the corpus's own:
+words that SHARE of all documents have, counted over all of them; there are at
+most 1 / SHARE times the mean number of distinct words of a document. The forest
+is trained on labelled findings; labelled_findings() makes the ones that are used
+here, with words of the dictionary.
 
 A candidate is the whole secret, however long: a private key runs to its END
 line, or without one to the end of its base64 block. A well-known form inside an
@@ -13,9 +16,11 @@ either side stays one where it is long enough. A private key is judged by its
 BEGIN line. Both engines take the same spaces and ASCII word boundaries.
 
 Defined results: a null or empty text has no findings; a null path is an empty
-one; repeated rows have their findings each; texts without findings give no
-rows in scan() and come back unchanged from redact(); extra columns are kept by
-redact() and ignored by scan().
+one; repeated rows have their findings each, and alike; where two rules match at
+one place the first of PATTERNS counts; a text of any length is searched in one
+piece, in some ten times its size of a task's memory; texts without findings give
+no rows in scan() and come back unchanged from redact(); extra columns are kept
+by redact() and ignored by scan(); an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,6 +36,7 @@ from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -56,6 +62,9 @@ HARMLESS = ("sha256", "sha1", "md5", "commit", "checksum", "digest", "uuid", "id
 PLACEHOLDERS = ("example", "changeme", "change", "your", "password", "secret", "token", "sample", "dummy", "placeholder", "test", "foo", "bar", "xxxx", "1234", "abcd", "none", "null", "true", "false", "insert", "here", "redacted", "user", "admin", "config", "value", "string", "name", "default")
 PATH_MARKS = ("test", "example", "sample", "doc", "mock", "fixture")
 
+#: Share of the documents, and number of them, that a word of the dictionary is in.
+SHARE, LEAST_DOCS = 1e-3, 5
+
 LEAST = {"assigned": 6, "opaque": 24}  # as in their patterns
 
 _KNOWN = re.compile("|".join(f"(?P<{k}>{v})" for k, v in PATTERNS.items() if k not in LEAST), re.ASCII)
@@ -74,7 +83,35 @@ def _kind(c: str) -> int:
     return 0 if c.isdigit() else 1 if c.islower() else 2 if c.isupper() else 3
 
 
-def features(value: str, rule: str, path: str, before: str, after: str) -> list[float]:
+def corpus_words(docs: DataFrame, share: float = SHARE) -> tuple[str, ...]:
+    """The words of four letters and more that at least `share` of the texts have, over all of docs."""
+    n = docs.filter("text is not null").count()
+    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), 0))).alias("word"))
+    often = words.groupBy("word").agg(F.count("*").alias("n")).filter(F.col("n") >= max(LEAST_DOCS, share * n))
+    return tuple(sorted(r["word"] for r in often.select("word").collect()))
+
+
+class Dictionary:
+    """Words to be found anywhere in a value."""
+
+    def __init__(self, words: tuple[str, ...]) -> None:
+        self.automaton = ahocorasick.Automaton()
+        for w in words:
+            self.automaton.add_word(w, len(w))
+        if words:
+            self.automaton.make_automaton()
+
+    def covered(self, lowered: str) -> int:
+        """Letters of the text that are in some word."""
+        until = covered = 0
+        spans = sorted((last + 1 - n, last + 1) for last, n in self.automaton.iter(lowered)) if len(self.automaton) else []
+        for start, end in spans:
+            covered += max(0, end - max(start, until))
+            until = max(until, end)
+        return covered
+
+
+def features(value: str, rule: str, path: str, before: str, after: str, dictionary: Dictionary) -> list[float]:
     n = max(len(value), 1)
     count = Counter(value)
     kinds = [_kind(c) for c in value]
@@ -99,6 +136,7 @@ def features(value: str, rule: str, path: str, before: str, after: str) -> list[
         kinds.count(3) / n,
         sum(c in VOWELS for c in letters) / max(len(letters), 1),
         sum(covered) / n,
+        dictionary.covered(lowered) / n,
         max(Counter(re.split(r"[-_/+.]", value)).values()),
         float(value.count("-") + value.count("/") + value.count("_")),
         float(any(m in path.lower() for m in PATH_MARKS)),
@@ -108,12 +146,12 @@ def features(value: str, rule: str, path: str, before: str, after: str) -> list[
     ]
 
 
-def labelled_findings(n: int = 3000, seed: int = 7) -> list[tuple[str, str, str, str, str, int]]:
-    """(value, rule, path, before, after, label): secrets and what is mistaken for them, half and half."""
+def labelled_findings(n: int = 3000, seed: int = 7, words: tuple[str, ...] = ()) -> list[tuple[str, str, str, str, str, int]]:
+    """(value, rule, path, before, after, label): secrets and what is mistaken for them, half and half; of the dictionary's words where there are many."""
     r = random.Random(seed)
     pick = lambda alphabet, size: "".join(r.choice(alphabet) for _ in range(size))
     syllable = lambda: r.choice("bcdfghklmnprstvw") + r.choice("aeiou") + r.choice(["", "n", "r", "s", "t", "nd"])
-    word = lambda: "".join(syllable() for _ in range(r.randint(1, 4)))
+    word = lambda: r.choice(words) if len(words) >= 100 and r.random() < 0.7 else "".join(syllable() for _ in range(r.randint(1, 4)))
     said = lambda: " ".join(word() for _ in range(r.randint(0, 6)))
     alnum, hexa = string.ascii_letters + string.digits, "0123456789abcdef"
     out = []
@@ -149,6 +187,7 @@ def labelled_findings(n: int = 3000, seed: int = 7) -> list[tuple[str, str, str,
                     ("opaque", "".join(word() for _ in range(12))[: r.randint(24, 60)].ljust(24, "e")),
                     ("opaque", "-".join(word() for _ in range(7)).ljust(24, "a")),
                     ("opaque", "/".join(word() for _ in range(7)).ljust(24, "a")),
+                    ("opaque", "".join(word() for _ in range(24)).capitalize()[: r.randint(24, 40)]),
                     ("opaque", "-" * r.randint(24, 60)),
                     ("opaque", "_" * r.randint(24, 60)),
                     ("opaque", str(uuid.UUID(int=r.getrandbits(128)))),
@@ -214,13 +253,30 @@ class Forest:
         return total / len(self.trees)
 
 
-def train(findings: list[tuple[str, str, str, str, str, int]]) -> Forest:
-    return Forest(np.array([features(*f[:5]) for f in findings]), np.array([f[5] for f in findings], float))
+class Model:
+    """A dictionary and the forest that was trained with it."""
+
+    def __init__(self, words: tuple[str, ...] = (), findings: list[tuple[str, str, str, str, str, int]] | None = None) -> None:
+        self.words = words
+        findings = labelled_findings(words=words) if findings is None else findings
+        self.forest = Forest(self.table([f[:5] for f in findings]), np.array([f[5] for f in findings], float))
+
+    def table(self, findings: list[tuple[str, str, str, str, str]]) -> np.ndarray:
+        dictionary = Dictionary(self.words)
+        return np.array([features(*f, dictionary) for f in findings])
+
+    def predict(self, findings: list[tuple[str, str, str, str, str]]) -> np.ndarray:
+        return self.forest.predict(self.table(findings))
+
+
+@lru_cache(maxsize=4)
+def model_of(words: tuple[str, ...]) -> Model:
+    return Model(words)
 
 
-@lru_cache(maxsize=1)
-def default_forest() -> Forest:
-    return train(labelled_findings())
+def fit(docs: DataFrame) -> Model:
+    """The model with the dictionary of docs."""
+    return model_of(corpus_words(docs))
 
 
 def _key_end(text: str, at: int) -> int:
@@ -258,7 +314,7 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
     return sorted(out)
 
 
-def find(texts: pa.Array, paths: list, forest: Forest) -> Iterator[tuple[int, list[tuple[int, int, str, float]]]]:
+def find(texts: pa.Array, paths: list, model: Model) -> Iterator[tuple[int, list[tuple[int, int, str, float]]]]:
     """(row, its findings with their probability) for the rows that have any."""
     rows, places, x = [], [], []
     for i in np.flatnonzero(pc.fill_null(pc.match_substring_regex(texts, _PRESENT), False).to_numpy(zero_copy_only=False)).tolist():
@@ -268,10 +324,10 @@ def find(texts: pa.Array, paths: list, forest: Forest) -> Iterator[tuple[int, li
             places.append((start, end, rule))
             if rule == "private_key":
                 end = _KEY_LINE.match(text, start).end()
-            x.append(features(text[start:end], rule, paths[i] or "", text[max(0, start - 40) : start], text[end : end + 40]))
+            x.append((text[start:end], rule, paths[i] or "", text[max(0, start - 40) : start], text[end : end + 40]))
     if rows:
         by_row: dict[int, list] = {}
-        for i, place, p in zip(rows, places, forest.predict(np.array(x)).tolist(), strict=True):
+        for i, place, p in zip(rows, places, model.predict(x).tolist(), strict=True):
             by_row.setdefault(i, []).append((*place, round(p, 6)))
         yield from by_row.items()
 
@@ -279,15 +335,15 @@ def find(texts: pa.Array, paths: list, forest: Forest) -> Iterator[tuple[int, li
 FINDINGS = "doc_id bigint, start int, end int, rule string, probability double, is_secret boolean, value_sha256 string"
 
 
-def scan(docs: DataFrame, path: str = "source", forest: Forest | None = None, threshold: float = 0.5) -> DataFrame:
-    """Every candidate of docs (doc_id, text, path): where it is, the forest's probability and its verdict."""
-    forest = forest or default_forest()
+def scan(docs: DataFrame, path: str = "source", model: Model | None = None, threshold: float = 0.5) -> DataFrame:
+    """Every candidate of docs (doc_id, text, path): where it is, the forest's probability and its verdict; by default with the dictionary of docs."""
+    model = model or fit(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1)
             out = []
-            for i, found in find(texts, batch.column(2).to_pylist(), forest):
+            for i, found in find(texts, batch.column(2).to_pylist(), model):
                 text = texts[i].as_py()
                 out += [(ids[i], a, b, rule, p, p >= threshold, hashlib.sha256(text[a:b].encode()).hexdigest()) for a, b, rule, p in found]
             names = [x.split()[0] for x in FINDINGS.split(", ")]
@@ -296,15 +352,15 @@ def scan(docs: DataFrame, path: str = "source", forest: Forest | None = None, th
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.col(path).cast("string").alias("path")).mapInArrow(run, FINDINGS)
 
 
-def redact(docs: DataFrame, path: str = "source", forest: Forest | None = None, threshold: float = 0.5) -> DataFrame:
-    """docs with each confirmed secret replaced by its rule's name in brackets."""
-    forest = forest or default_forest()
+def redact(docs: DataFrame, path: str = "source", model: Model | None = None, threshold: float = 0.5) -> DataFrame:
+    """docs with each confirmed secret replaced by its rule's name in brackets; by default with the dictionary of docs."""
+    model = model or fit(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text")
             changed = {}
-            for i, found in find(texts, batch.column(path).to_pylist(), forest):
+            for i, found in find(texts, batch.column(path).to_pylist(), model):
                 text, done, parts = texts[i].as_py(), 0, []
                 for a, b, rule, p in found:
                     if p >= threshold:

@@ -9,11 +9,21 @@ score between 0 and 1.
 
 learn_lexicon() takes entries and weights (smoothed log-odds) from labelled
 rows, MAX_TOXIC and MAX_CLEAN of them at most, in the order of a hash. That
-bound is the only one; every text is scored, whole.
+bound is the only one: terms are counted and tested in Spark, and all that pass
+are entries; they are at most as many as MAX_TOXIC texts hold, MIN_DOCS times
+each. Every text is scored, whole.
+
+One sure entry makes a text of common length toxic; in texts of some two hundred
+thousand characters, where a match by chance is likelier, it takes a heavier
+entry or two of them.
 
 Defined results: a null or empty text scores 0; without toxic labels the lexicon
 is empty and every score is 0; a doc_id labelled more than once is toxic if one
-of its labels says so; repeated rows are scored each; extra columns are ignored.
+of its labels says so; repeated rows are scored each, and alike; of entries that
+start at one place with equal weight the first met counts, which changes no
+score; a text of any length is scored in one piece, in some five times its size
+of a task's memory; other columns are kept by score(), whatever their names, but
+for `toxicity`, which becomes the score; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,6 +31,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import ahocorasick
@@ -33,12 +44,12 @@ from . import _minhash, _text
 
 #: Labelled rows that the lexicon is learned from, at most.
 MAX_TOXIC, MAX_CLEAN = 3000, 27000
-#: Entries of a lexicon, at most.
-MAX_ENTRIES = 5000
 MIN_DOCS = 3
 #: Share of toxic texts among the texts that an entry is in.
 MIN_PRECISION = 0.85
 THRESHOLD = 0.3
+#: How much the logarithm of a text's length takes from its weights.
+LENGTH = 0.3
 
 # Look-alikes of Latin letters, and digits and signs that stand for letters.
 CYRILLIC = dict(zip("авеёкмнорстухіїјѕһԁԛԝ", "abeekmhopctyxiijshdqw", strict=True))
@@ -107,7 +118,7 @@ class Matcher:
                     best[start] = (weight, end)
         total = sum(w for s, (w, e) in best.items() if not any(a <= s and e <= b for a, b in shields))
         # a long text needs more than a short one, by the logarithm of its length
-        return 1 - math.exp(-0.25 * total / (1 + math.log1p(len(folded) / 1000) / 10)) if total else 0.0
+        return 1 - math.exp(-0.25 * total / (1 + LENGTH * math.log1p(len(folded) / 1000))) if total else 0.0
 
 
 def learn_lexicon(docs: DataFrame, labels: DataFrame) -> dict[str, float]:
@@ -121,35 +132,46 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame) -> dict[str, float]:
     if not toxic:
         return {}
 
-    def emit(wanted: set[str] | None):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for first, end, data, offsets in _text.pieces(batch.column(0)):
-                    _, prints, bounds = _minhash.shingles(data, offsets, 5, True)
-                    least = [int(prints[x:y].min() >> np.uint64(1)) if y > x else 0 for x, y in zip(bounds, bounds[1:], strict=False)]
-                    found = [terms(fold(text)) for text in batch.column(0).slice(first, end - first).to_pylist()]
-                    yield pa.RecordBatch.from_arrays([pa.array(least, pa.int64()), pa.array([sorted(x if wanted is None else x & wanted) for x in found], pa.list_(pa.string()))], ["origin", "terms"])
-
-        return run
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, end, data, offsets in _text.pieces(batch.column(0)):
+                _, prints, bounds = _minhash.shingles(data, offsets, 5, True)
+                least = [int(prints[x:y].min() >> np.uint64(1)) if y > x else 0 for x, y in zip(bounds, bounds[1:], strict=False)]
+                found = [terms(fold(text)) for text in batch.column(0).slice(first, end - first).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(least, pa.int64()), pa.array([sorted(x) for x in found], pa.list_(pa.string()))], ["origin", "terms"])
 
-    def counted(kind: int, wanted: set[str] | None) -> DataFrame:
+    def counted(kind: int) -> DataFrame:
         # near copies mostly share their least shingle, and so count as one text
-        found = rows.filter(F.col("toxic") == kind).select("text").mapInArrow(emit(wanted), "origin bigint, terms array<string>")
+        found = rows.filter(F.col("toxic") == kind).select("text").mapInArrow(emit, "origin bigint, terms array<string>")
         return found.select("origin", F.explode("terms").alias("term")).distinct().groupBy("term").agg(F.count("*").alias("n"))
 
-    # terms that are frequent enough in toxic texts; the most frequent ones are words of the language, so keep plenty
-    often = {r["term"]: r["n"] for r in counted(1, None).filter(F.col("n") >= MIN_DOCS).orderBy(F.desc("n"), "term").limit(20 * MAX_ENTRIES).collect()}
-    seldom = {r["term"]: r["n"] for r in counted(0, set(often)).collect()} if clean else {}
-    prior, sure = toxic / (toxic + clean), {}
-    for term, a in often.items():
-        b = seldom.get(term, 0)
-        # so many toxic texts by chance: one such term in twenty lexicons is expected
-        if a >= MIN_PRECISION * (a + b) and a * math.log(prior * (a + b) / a) + (a - prior * (a + b)) < -math.log(20 * len(often)):
-            sure[term] = a
-    # a beginning gives way to a longer entry that says nearly as much and errs less
-    kept = [t for t, a in sure.items() if not any(u != t and u[1:].startswith(t[1:]) and sure[u] >= 0.9 * a and seldom.get(u, 0) < seldom.get(t, 0) for u in sure)]
-    best = sorted(kept, key=lambda t: (-sure[t], t))[:MAX_ENTRIES]
-    return {t: round(math.log((sure[t] + 0.5) / (toxic + 1)) - math.log((seldom.get(t, 0) + 0.5) / (clean + 1)), 6) for t in best}
+    often = counted(1).filter(F.col("n") >= MIN_DOCS).select("term", F.col("n").alias("a")).checkpoint()
+    if clean:
+        both = often.join(counted(0).select("term", F.col("n").alias("b")), "term", "left").select("term", "a", F.coalesce("b", F.lit(0)).alias("b"))
+    else:
+        both = often.withColumn("b", F.lit(0))
+    prior = toxic / (toxic + clean)
+    expected = (F.col("a") + F.col("b")) * prior
+    # so many toxic texts by chance: one such term in twenty lexicons is expected
+    chance = F.col("a") * F.log(expected / F.col("a")) + (F.col("a") - expected)
+    passed = both.filter((F.col("a") >= MIN_PRECISION * (F.col("a") + F.col("b"))) & (chance < -math.log(20 * max(often.count(), 1))))
+    sure = {r["term"]: (r["a"], r["b"]) for r in passed.collect()}
+    return {t: round(math.log((sure[t][0] + 0.5) / (toxic + 1)) - math.log((sure[t][1] + 0.5) / (clean + 1)), 6) for t in _pruned(sure)}
+
+
+def _pruned(sure: dict[str, tuple[int, int]]) -> list[str]:
+    """Entries {term: (toxic texts, clean texts)} without the beginnings that give way to a longer entry which says nearly as much and errs less."""
+    by_text = sorted((t[1:], t) for t in sure)
+    kept = []
+    for t, (a, b) in sure.items():
+        rival = False
+        at = bisect_left(by_text, (t[1:], ""))
+        while not rival and at < len(by_text) and by_text[at][0].startswith(t[1:]):
+            u = by_text[at][1]
+            rival = u != t and sure[u][0] >= 0.9 * a and sure[u][1] < b
+            at += 1
+        kept += [] if rival else [t]
+    return sorted(kept)
 
 
 def score(docs: DataFrame, lexicon: dict[str, float], exceptions: tuple[str, ...] = EXCEPTIONS) -> DataFrame:
