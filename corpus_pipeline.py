@@ -6,7 +6,8 @@ All but the last return the columns of documents.
 
 Toxicity and the mixing classifier learn from the labels table; the toxicity
 stage rejects documents at the operator's threshold, near-duplicates keep the
-smallest doc_id of each group by shingles of five words, secrets are replaced in
+smallest doc_id of each group by shingles of five words (rows that repeat doc_id
+and text stay once, unlike texts of one doc_id are judged each by itself), secrets are replaced in
 the text, mixing repeats a document as often as its rate says (the fraction by
 chance), packing returns the place of every piece. Rows without doc_id pass all stages.
 """
@@ -34,11 +35,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    docs = docs.select(*COLUMNS)
-    gone = minhash_dedup.near_duplicates(docs, 5).filter("not kept").select("doc_id")
-    # repeated rows of a doc_id are one document
-    once = docs.filter("doc_id is not null").join(gone, "doc_id", "left_anti").select(*COLUMNS).dropDuplicates(["doc_id"])
-    return once.unionByName(docs.filter("doc_id is null"))
+    docs = docs.select(*COLUMNS).withColumn("text_id", minhash_dedup.text_id())
+    gone = minhash_dedup.near_duplicates(docs, 5).filter("not kept").select("doc_id", "text_id").distinct()
+    # repeated rows of a doc_id are one document, unlike texts of it are documents of their own
+    once = docs.filter("doc_id is not null").join(gone, ["doc_id", "text_id"], "left_anti").groupBy("doc_id", "text_id").agg(F.min(F.struct(*COLUMNS[1:])).alias("x")).select("doc_id", "x.*")
+    return once.unionByName(docs.filter("doc_id is null").select(*COLUMNS))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +47,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix(docs.select(*COLUMNS), _labels(spark, sf_dir))
+    return mixing.mix(docs.select(*COLUMNS), mixing.by_quality(_labels(spark, sf_dir)))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
