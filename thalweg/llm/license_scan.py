@@ -16,8 +16,10 @@ else the table holds; a word of no template weighs as much as one of a single
 template.
 
 Defined results: null and empty texts state nothing; a null path is the top
-directory; ties go to the first licence by name; repeated rows get a row each;
-extra columns are ignored; an empty table gives an empty result.
+directory; ties go to the first licence by name; repeated rows get a row each,
+and alike; a text of any length is split into its lines and words in one row;
+extra columns, whatever their names, are ignored; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
