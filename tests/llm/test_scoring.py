@@ -105,7 +105,7 @@ def test_mixing_against_plain_python(spark):
     df = spark.createDataFrame(docs, "doc_id bigint, text string")
     model = mixing.Classifier(df, spark.createDataFrame(labels, "doc_id bigint, domain string"), list(target))
     got = {x.doc_id: x for x in mixing.weigh(df, spark.createDataFrame(labels, "doc_id bigint, domain string"), target).collect()}
-    bins = {x.doc_id: x["_bins"] for x in mixing.shape(df, model.leanings).collect()}
+    bins = {x.doc_id: x["_bins"] for x in mixing.binned(mixing.features(df), model.leanings).collect()}
     soft = {}
     for i, _ in docs:
         z = [prior + sum(f[k] for f, k in zip(features, bins[i], strict=True)) for prior, features in model.rates]

@@ -1,10 +1,11 @@
 """Operator 2: mixing sources to target weights, in DataFrame operations alone.
 
-A naive Bayes classifier, counted over all labelled rows, gives each document a
-posterior for each domain. Its features are binned: the shape of the text, and
-how its distinct words lean to each domain. The words' leanings are counted on
-one half of the labelled rows and the bins of the others on the other half, so
-that words which occur once don't speak for themselves.
+A naive Bayes classifier, fitted on MAX_LABELS labelled rows at most in the order
+of a hash, gives each document a posterior for each domain. Its features are
+binned: the shape of the text, and how its distinct words lean to each domain.
+The words' leanings are counted on one half of those rows and the bins on the
+other half, so that words which occur once don't speak for themselves. The rows
+are so few that they are broadcast, and no text is shuffled.
 
 Projected-gradient least squares then finds document rates, none negative, whose
 expected domain token totals match targets: every round is one sum over the
@@ -33,12 +34,13 @@ from pyspark.sql import functions as F
 
 #: Shares of the expected tokens that the domains low and high (quality 0 and 1) are to have.
 TARGET = {"low": 0.03, "high": 0.97}
+#: Labelled rows that the classifier is fitted on, at most.
+MAX_LABELS = 20_000
 BINS = 16
 #: Classes of words, by a hash.
 WORDS = 4096
 ROUNDS = 30
 TOLERANCE = 1e-4
-SHAPES = 4
 
 
 def _table(numbers: list[float]) -> Column:
@@ -46,37 +48,35 @@ def _table(numbers: list[float]) -> Column:
     return F.split(F.lit(",".join(map(repr, numbers))), ",").cast("array<double>")
 
 
-def _tokens(docs: DataFrame) -> DataFrame:
-    """docs with their words (_words) and the numbers of their distinct words' classes (_kinds)."""
+def features(docs: DataFrame) -> DataFrame:
+    """docs with _tokens (words), _kinds (the classes of its distinct words) and _shape (numbers about its form, in bins)."""
     text = F.coalesce("text", F.lit(""))
     docs = docs.withColumn("_words", F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != ""))
-    return docs.withColumn("_kinds", F.transform(F.array_distinct("_words"), lambda w: F.pmod(F.xxhash64(w), F.lit(WORDS)).cast("int")))
-
-
-def _mean_leaning(table: Column) -> Column:
-    return F.aggregate("_kinds", F.lit(0.0), lambda total, k: total + F.element_at(table, k + 1)) / F.greatest(F.size("_kinds"), F.lit(1))
-
-
-def shape(docs: DataFrame, leanings: list[list[float]] | None = None) -> DataFrame:
-    """docs with _tokens (words) and _bins, the place of its text on each feature; leanings are of each class of words, for each domain but the first."""
-    docs = _tokens(docs)
-    text = F.coalesce("text", F.lit(""))
+    docs = docs.withColumn("_kinds", F.transform(F.array_distinct("_words"), lambda w: F.pmod(F.xxhash64(w), F.lit(WORDS)).cast("int")))
     n_tokens = F.size("_words").cast("bigint")
     n = F.greatest(n_tokens, F.lit(1)).cast("double")
     chars = F.greatest(F.length(text), F.lit(1)).cast("double")
     letters = F.regexp_count(text, F.lit(r"[%&*#$|@^~=<>_\[\]{}\\/+]"))
     # distinct words against what their number lets expect
     variety = F.log(F.greatest(F.size("_kinds"), F.lit(1)).cast("double")) / F.greatest(F.log(n + 1), F.lit(0.1))
-    scaled = [F.lit(40.0) * letters / chars, F.lit(BINS) * F.greatest(F.lit(0.0), (variety - 0.5) * 2), chars / n, F.log2(n + 1)]
-    for w in leanings or []:
-        scaled.append(F.lit(BINS / 2) + _mean_leaning(_table(w)) * (BINS / 4))
-    bins = F.array(*[F.greatest(F.lit(0), F.least(F.lit(BINS - 1), F.floor(x))).cast("int") for x in scaled])
-    return docs.withColumn("_tokens", n_tokens).withColumn("_bins", bins).drop("_words", "_kinds")
+    scaled = F.array(F.lit(40.0) * letters / chars, F.lit(BINS) * F.greatest(F.lit(0.0), (variety - 0.5) * 2), chars / n, F.log2(n + 1))
+    return docs.withColumn("_tokens", n_tokens).withColumn("_shape", scaled).drop("_words")
+
+
+def _mean_leaning(table: Column) -> Column:
+    return F.aggregate("_kinds", F.lit(0.0), lambda total, k: total + F.element_at(table, k + 1)) / F.greatest(F.size("_kinds"), F.lit(1))
+
+
+def binned(rows: DataFrame, leanings: list[list[float]]) -> DataFrame:
+    """Rows of features() with _bins, the place on each feature; leanings are of each class of words, for each domain but the first."""
+    lean = F.array(*[F.lit(BINS / 2) + _mean_leaning(_table(w)) * (BINS / 4) for w in leanings]).cast("array<double>")
+    place = lambda x: F.greatest(F.lit(0), F.least(F.lit(BINS - 1), F.floor(x))).cast("int")
+    return rows.withColumn("_bins", F.transform(F.concat("_shape", lean), place)).drop("_shape", "_kinds")
 
 
-def word_leanings(labelled: DataFrame, domains: list[str]) -> list[list[float]]:
-    """Of rows (text, domain), the log-odds of each class of words, for each domain but the first against the others."""
-    found = _tokens(labelled).select("domain", F.explode("_kinds").alias("kind")).groupBy("domain", "kind").agg(F.count("*").alias("n")).collect()  # domains x WORDS rows at most
+def word_leanings(rows: DataFrame, domains: list[str]) -> list[list[float]]:
+    """Of rows (_kinds, domain), the log-odds of each class of words, for each domain but the first against the others."""
+    found = rows.select("domain", F.explode("_kinds").alias("kind")).groupBy("domain", "kind").agg(F.count("*").alias("n")).collect()  # domains x WORDS rows at most
     n = {(r["domain"], r["kind"]): r["n"] for r in found}
     total = {d: sum(n.get((d, k), 0) for k in range(WORDS)) for d in domains}
     out = []
@@ -114,13 +114,13 @@ def posteriors(rates: list[tuple[float, list[list[float]]]]) -> list[Column]:
 
 
 class Classifier:
-    """Learned from docs (doc_id, text) with labels (doc_id, domain); soft() adds _tokens and a posterior p_<domain> for each domain."""
+    """Learned from docs (doc_id, text) with labels (doc_id, domain); soft() adds _tokens and a posterior _p<i> for each domain."""
 
     def __init__(self, docs: DataFrame, labels: DataFrame, domains: list[str]) -> None:
-        self.domains = domains
+        self.domains, self.leanings, self.rates = domains, [], []
         known = labels.filter(F.col("domain").isin(domains) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id"), "domain")
-        rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(known, "doc_id").checkpoint()
-        self.leanings, self.rates = None, []
+        known = F.broadcast(known.orderBy(F.xxhash64("doc_id"), "doc_id", "domain").limit(MAX_LABELS))
+        rows = features(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(known, "doc_id")).drop("text").checkpoint()
         if rows.select("domain").distinct().count() < 2:
             return
         half = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2
@@ -129,12 +129,12 @@ class Classifier:
             second = rows  # too few labels for halves: the shape alone
         else:
             self.leanings = word_leanings(first, domains)
-        self.rates = log_rates(shape(second, self.leanings), domains)
+        self.rates = log_rates(binned(second, self.leanings), domains)
 
     def soft(self, docs: DataFrame) -> DataFrame:
-        docs = shape(docs, self.leanings)
+        rows = binned(features(docs), self.leanings)
         shares = posteriors(self.rates) if self.rates else [F.lit(1.0 / len(self.domains))] * len(self.domains)
-        return docs.withColumns({f"_p{i}": p for i, p in enumerate(shares)}).drop("_bins")
+        return rows.withColumns({f"_p{i}": p for i, p in enumerate(shares)}).drop("_bins")
 
 
 def _solved(a: list[list[float]], b: list[float]) -> list[float]:
