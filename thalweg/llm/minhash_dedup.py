@@ -95,12 +95,12 @@ def _keys(classes: DataFrame) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 5000):
                 part = batch.slice(at, 5000)
-                keys = chunk_keys(np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint16).reshape(part.num_rows, -1))
+                keys = chunk_keys(np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint16).reshape(part.num_rows, -1))
                 each = np.repeat(np.arange(part.num_rows), keys.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().astype(np.int64)), part.column(0).take(pa.array(each)), part.column(1).take(pa.array(each))], ["key", "id", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().astype(np.int64)), part.column(0).take(pa.array(each))], ["key", "id"])
 
     # sets of fewer than four shingles reach 0.8 with equal sets only, and those are one class already
-    return classes.filter("n >= 4").select(F.col("node").alias("id"), "n", "signature").mapInArrow(enumerate_keys, "key bigint, id bigint, n bigint")
+    return classes.filter("n >= 4").select(F.col("node").alias("id"), "signature").mapInArrow(enumerate_keys, "key bigint, id bigint")
 
 
 def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
@@ -119,7 +119,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> Data
     """Of pairs (a, b), those whose full sets reach the similarity."""
     left = sets.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("prints").alias("prints_a"))
     right = sets.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("prints").alias("prints_b"))
-    both = pairs.select("a", "b").join(left, "a").join(right, "b")
+    both = pairs.select("a", "b").join(left, "a").join(right, "b").filter(_alike("n_a", "n_b", percent))
     shared = F.size(F.array_intersect("prints_a", "prints_b"))
     return both.select("a", "b", (F.col("n_a") + F.col("n_b")).alias("n"), shared.alias("shared")).filter(F.col("shared") * 100 >= (F.col("n") - F.col("shared")) * percent).select("a", "b")
 
@@ -210,7 +210,7 @@ def shared_counts(sets: DataFrame) -> DataFrame:
 
 def _across(members: DataFrame, labels: DataFrame) -> DataFrame:
     """Members of keys that still hold two components, with their component."""
-    labelled = members.join(labels.select("id", "component"), "id", "left").withColumn("component", F.coalesce("component", "id")).checkpoint()
+    labelled = members.join(labels.select("id", "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     open_keys = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key").checkpoint()
     return labelled.join(open_keys, "key")
 
@@ -220,37 +220,36 @@ def near_duplicates(docs: DataFrame, size: int = 5) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     sketch = sketches(docs, size).checkpoint()
     classes = sketch.filter("n > 0 and doc_id is not null").groupBy(*WHOLE).agg(F.min("doc_id").alias("id"), F.first("signature").alias("signature")).withColumn("node", F.col("id"))
-    # unlike texts of one doc_id may both stand for their classes, which then need names of their own
-    several = classes.groupBy("id").agg(F.count("*").alias("classes")).filter("classes > 1").select("id", F.lit(True).alias("several")).checkpoint()
-    repeated = not several.isEmpty()
+    repeated = not sketch.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows")).filter("rows > 1").isEmpty()
     if repeated:
+        # unlike texts of one doc_id may both stand for their classes, which then need names of their own
+        several = classes.groupBy("id").agg(F.count("*").alias("classes")).filter("classes > 1").select("id", F.lit(True).alias("several"))
         classes = classes.join(several, "id", "left").withColumn("node", F.when(F.col("several"), F.xxhash64(*WHOLE)).otherwise(F.col("id"))).drop("several").checkpoint()
     keys = _keys(classes)
-    leaders = keys.groupBy("key").agg(F.min(F.struct("id", "n")).alias("leader"), F.count("*").alias("members")).filter("members > 1").select("key", "leader").checkpoint()
+    leaders = keys.groupBy("key").agg(F.min("id").alias("leader"), F.count("*").alias("members")).filter("members > 1").select("key", "leader").checkpoint()
     # a join of two tables, not of a table with its own sums: adaptive execution can split a key that very many share, here and below
     members = keys.join(leaders, "key").checkpoint()
 
     wanted = members.select("id").distinct()
     if repeated:
         wanted = wanted.join(classes.select(F.col("node").alias("id"), F.col("id").alias("doc_id")), "id").select("doc_id").distinct()
+        sets = shingle_sets(docs.join(wanted, "doc_id", "left_semi"), size).drop("id").join(classes.select(*WHOLE, F.col("node").alias("id")), WHOLE).dropDuplicates(["id"])  # rows of one id hold one set
     else:
-        wanted = wanted.withColumnRenamed("id", "doc_id")
-    sets = shingle_sets(docs.join(wanted, "doc_id", "left_semi"), size)
-    if repeated:
-        sets = sets.drop("id").join(classes.select(*WHOLE, F.col("node").alias("id")), WHOLE)
-    sets = sets.select("id", "n", "prints").dropDuplicates(["id"]).checkpoint()  # rows of one id hold one set
+        sets = shingle_sets(docs.join(wanted.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi"), size)
+    sets = sets.select("id", "n", "prints").checkpoint()
 
-    starred = lambda rows: rows.filter(_alike("n", "leader.n")).select(F.least("id", "leader.id").alias("a"), F.greatest("id", "leader.id").alias("b")).filter("a <> b").distinct()
-    tried = starred(members).checkpoint()
+    starred = lambda rows, leader: rows.select(F.least("id", leader).alias("a"), F.greatest("id", leader).alias("b")).filter("a <> b").distinct()
+    tried = starred(members, "leader").checkpoint()
     edges = confirmed(tried, sets).checkpoint()
     labels = _graph.connected(edges)
 
     # what is still apart: who has too few shared shingles for any partner drops out of the comparison by the bound
     rest = _across(members.drop("leader"), labels).checkpoint()
-    shared = shared_counts(sets.join(rest.select("id").distinct(), "id", "left_semi"))
+    shared = shared_counts(sets.join(rest.select("id").distinct(), "id", "left_semi")).join(sets.select("id", "n"), "id")
     rest = rest.join(shared, "id").filter(F.col("shared") * 100 >= F.col("n") * PERCENT).checkpoint()
     central = rest.groupBy("key").agg(F.max_by(F.struct("id", "n", "shared", "words", "component"), F.struct(F.col("shared") / F.col("n"), "id")).alias("leader")).checkpoint()
-    again = starred(rest.join(central, "key").filter(F.col("component") != F.col("leader.component")).filter(_plausible("n", "shared", "leader.n", "leader.shared"))).join(tried, ["a", "b"], "left_anti").checkpoint()
+    met = rest.join(central, "key").filter(F.col("component") != F.col("leader.component")).filter(_alike("n", "leader.n") & _plausible("n", "shared", "leader.n", "leader.shared"))
+    again = starred(met, "leader.id").join(tried, ["a", "b"], "left_anti").checkpoint()
     edges = edges.union(confirmed(again, sets)).checkpoint()
     labels = _graph.connected(edges)
 
