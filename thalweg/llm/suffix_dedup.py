@@ -29,6 +29,8 @@ from . import _text, _windows
 
 WINDOW = 100
 GRAM = 32
+#: Batches in which the windows of a slice of open runs enter their family.
+BATCHES = 4
 SCHEMA = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
 
 
@@ -77,8 +79,8 @@ def _cut(data, offsets, rows, start, n) -> list[bytes]:
 
 
 def _compare(table: pa.Table) -> pa.Table:
-    """Of windows in open runs, those with an earlier equal: a sort of their fingerprints, in slices of whole grams."""
-    docs, places = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    """Of windows in open runs, those with an earlier equal: single windows enter a family of their own, document by document."""
+    found = [{"doc": np.zeros(0, np.int64), "start": np.zeros(0, np.int64)}]
     gram = table["gram"].to_numpy()
     at = 0
     while at < len(gram):
@@ -95,11 +97,13 @@ def _compare(table: pa.Table) -> pa.Table:
         lo = offsets[row] + off
         prints = _text.span_hash(prefix, lo, lo + WINDOW)
         doc, place = part["doc_id"].to_numpy()[row], part["start"].to_numpy().astype(np.int64)[row] + off
-        order = np.lexsort((place, doc, prints))
-        later = order[1:][np.diff(prints[order]) == 0]
-        docs.append(doc[later])
-        places.append(place[later])
-    return _windows.spans_table(np.concatenate(docs), np.concatenate(places))
+        ones = np.ones(len(row), np.int32)
+        windows = {"gram": prints, "body": _text.mix(prints), "doc": doc, "start": place, "n": ones, "copies": ones}
+        family, order = SuffixLevels(), np.argsort(doc, kind="stable")
+        for batch in np.array_split(order, BATCHES):
+            found += family.add({k: v[batch] for k, v in windows.items()})
+        found += family.finish()[1]
+    return _windows.spans_table(*(np.concatenate([x[k] for x in found]) for k in ("doc", "start")))
 
 
 def _finish(doc_id, data, start, n, schema_only=False):
