@@ -48,6 +48,12 @@ def _table(numbers: list[float]) -> Column:
     return F.split(F.lit(",".join(map(repr, numbers))), ",").cast("array<double>")
 
 
+def _once(rows: DataFrame, *names: str) -> DataFrame:
+    """rows with those columns worked out once: what uses them, filters too, is not merged with their expressions."""
+    kept = [c for c in rows.columns if c not in names]
+    return rows.select(*kept, F.explode(F.array(F.struct(*names))).alias("_x")).select(*kept, "_x.*")
+
+
 def features(docs: DataFrame) -> DataFrame:
     """docs with _tokens (words), _kinds (the classes of its distinct words) and _shape (numbers about its form, in bins)."""
     text = F.coalesce("text", F.lit(""))
@@ -71,7 +77,7 @@ def binned(rows: DataFrame, leanings: list[list[float]]) -> DataFrame:
     """Rows of features() with _bins, the place on each feature; leanings are of each class of words, for each domain but the first."""
     lean = F.array(*[F.lit(BINS / 2) + _mean_leaning(_table(w)) * (BINS / 4) for w in leanings]).cast("array<double>")
     place = lambda x: F.greatest(F.lit(0), F.least(F.lit(BINS - 1), F.floor(x))).cast("int")
-    return rows.withColumn("_bins", F.transform(F.concat("_shape", lean), place)).drop("_shape", "_kinds")
+    return _once(rows.withColumn("_bins", F.transform(F.concat("_shape", lean), place)).drop("_shape", "_kinds"), "_tokens", "_bins")
 
 
 def word_leanings(rows: DataFrame, domains: list[str]) -> list[list[float]]:
@@ -134,7 +140,7 @@ class Classifier:
     def soft(self, docs: DataFrame) -> DataFrame:
         rows = binned(features(docs), self.leanings)
         shares = posteriors(self.rates) if self.rates else [F.lit(1.0 / len(self.domains))] * len(self.domains)
-        return rows.withColumns({f"_p{i}": p for i, p in enumerate(shares)}).drop("_bins")
+        return _once(rows.withColumns({f"_p{i}": p for i, p in enumerate(shares)}).drop("_bins"), *[f"_p{i}" for i in range(len(shares))])
 
 
 def _solved(a: list[list[float]], b: list[float]) -> list[float]:
@@ -210,7 +216,7 @@ def mix(docs: DataFrame, labels: DataFrame, target: dict[str, float] | None = No
     rate = rates(soft, list(target.values()))
     chance = F.pmod(F.xxhash64("_doc_id", F.coalesce("text", F.lit(""))), F.lit(1 << 30)) / F.lit(float(1 << 30))
     times = F.floor(rate) + (chance < rate - F.floor(rate)).cast("int")
-    out = model.soft(packed).withColumn("_times", times.cast("int")).filter("_times > 0")
+    out = _once(model.soft(packed).withColumn("_times", times.cast("int")), "_times").filter("_times > 0")
     return out.select("_row", F.explode(F.sequence(F.lit(1), F.col("_times")))).select("_row.*")
 
 
