@@ -78,6 +78,46 @@ def pixel_kind(v: Column, nodata: float = NODATA) -> Column:
     return F.when(v.isNull() | F.isnan(v), "nan").when(v == nodata, "nodata").when(v < 0, "negative").when(v > 0, "positive").otherwise("zero")
 
 
+#: Upper bounds of the status tiers by coverage, in per cent; the last tier has none.
+READY_TIERS = (("unusable", 10.0), ("sparse", 80.0), ("good", None))
+KRIGED_TIERS = (("empty", 1.0), ("mostly_empty", 10.0), ("partial", 80.0), ("good", None))
+OVERLAP_TIERS = (("very_low", 10.0), ("low", 50.0), ("moderate", 95.0), ("full", None))
+BOX_TIERS = (("sparse", 50.0), ("partial", 90.0), ("dense", None))
+
+
+def coverage_tier(pct: Column, tiers: tuple) -> Column:
+    """P23; nothing at all is in the lowest tier."""
+    out = F.when(pct.isNull(), tiers[0][0])
+    for name, below in tiers[:-1]:
+        out = out.when(pct < below, name)
+    return out.otherwise(tiers[-1][0])
+
+
+def significance(p: Column, level: float = 0.05) -> Column:
+    """P26."""
+    return F.when(p < level, "significant").when(p.isNotNull(), "not significant")
+
+
+def band(mean: Column, std: Column, k: float = 1.96) -> tuple[Column, Column]:
+    """Mean - k std and mean + k std."""
+    return mean - k * std, mean + k * std
+
+
+def stamp(t: Column | None = None) -> Column:
+    """P35."""
+    return F.date_format(F.current_timestamp() if t is None else t, "yyyy-MM-dd HH:mm:ss")
+
+
+def zero_missing(v: Column) -> Column:
+    """F6, for rasters that mark missing as 0."""
+    return F.nullif(v, F.lit(0.0))
+
+
+def implausible_mean(mean: Column, low: float = 0.0, high: float = 500.0) -> Column:
+    """F16."""
+    return (mean < low) | (mean > high)
+
+
 def coverage_status(pct: Column, low: float = 10.0, high: float = 80.0) -> Column:
     """P23."""
     return F.when(pct < low, "low").when(pct < high, "partial").otherwise("good")

@@ -33,3 +33,33 @@ def parse_work_list(lines: DataFrame) -> DataFrame:
 def work_list_lines(tiles: DataFrame) -> DataFrame:
     """Tiles (tile_num, dsm_pct, dtm_pct, image_file, mask_file) to (tile_num, block) lines of text."""
     return tiles.select("tile_num", F.format_string("Tile %d: DSM %.1f%%, DTM %.1f%%\n  Image: %s\n  Mask:  %s\n", "tile_num", "dsm_pct", "dtm_pct", "image_file", "mask_file").alias("block"))
+
+
+def basename(path: Column) -> Column:
+    """P31."""
+    return F.substring_index(path, "/", -1)
+
+
+def stem(path: Column) -> Column:
+    """The name without its last suffix."""
+    return F.regexp_replace(basename(path), r"(?<=.)\.[^.]*$", "")
+
+
+def renamed(path: Column, mark: str, suffix: str = ".tif") -> Column:
+    """The path of a result beside its input: <stem><mark><suffix>."""
+    return F.concat(F.regexp_replace(path, r"[^/]*$", ""), stem(path), F.lit(mark + suffix))
+
+
+def long_form(wide: DataFrame, keys: list[str], methods: tuple[str, ...], measures: tuple[str, ...]) -> DataFrame:
+    """Columns <method>_<measure> as rows (keys, method, measures); methods without columns give none."""
+    there = [m for m in methods if any(f"{m}_{x}" in wide.columns for x in measures)]
+    if not there:
+        raise ValueError(f"no columns of {methods}")
+    cell = lambda m, x: F.col(f"{m}_{x}") if f"{m}_{x}" in wide.columns else F.lit(None)
+    rows = F.array(*[F.struct(F.lit(m).alias("method"), *[cell(m, x).alias(x) for x in measures]) for m in there])
+    return wide.select(*keys, F.explode(rows).alias("x")).select(*keys, "x.*")
+
+
+def found_methods(columns: list[str], measure: str = "depth_mean") -> list[str]:
+    """The methods that have a column of the measure."""
+    return [c.removesuffix(f"_{measure}") for c in columns if c.endswith(f"_{measure}")]

@@ -8,6 +8,7 @@ from collections.abc import Callable
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.grid import taper
@@ -65,30 +66,62 @@ def resize_linear(px: DataFrame, axis: str, n_in: int, n_out: int) -> DataFrame:
 
 
 def resize(px: DataFrame, shape: tuple[int, int], target: tuple[int, int], method: str = "bilinear") -> DataFrame:
-    """Bilinear or bicubic (W3); gaps are filled, resized and masked again."""
-    steps: dict[str, Callable] = {"bilinear": resize_linear, "bicubic": resize_cubic}
+    """Bilinear, bicubic (W3) or spline (G8); gaps are filled, resized and masked again."""
+    steps: dict[str, Callable] = {"bilinear": resize_linear, "bicubic": resize_cubic, "spline": resize_cubic}
     if method not in steps:
         raise ValueError(f"method {method!r} is none of {sorted(steps)}")
     step = steps[method]
     mean = F.broadcast(px.agg(F.avg("v").alias("mean")))
-    full = px.crossJoin(mean).select("r", "c", F.coalesce("v", "mean").alias("v"))
+    filled = fill_gaps(px) if method == "spline" else px
+    full = filled.crossJoin(mean).select("r", "c", F.coalesce("v", "mean").alias("v"))
     gaps = px.select("r", "c", F.col("v").isNull().cast("double").alias("v"))
     values = step(step(full, "r", shape[0], target[0]), "c", shape[1], target[1])
     masks = resize_linear(resize_linear(gaps, "r", shape[0], target[0]), "c", shape[1], target[1])
     return values.join(masks.select("r", "c", F.col("v").alias("gap")), ["r", "c"]).select("r", "c", F.when(F.col("gap") <= 0.5, F.col("v")).alias("v"))
 
 
+def fill_gaps(px: DataFrame) -> DataFrame:
+    """Missing pixels by linear interpolation between the nearest valid ones of their row and of their column.
+
+    Both weigh by the inverse of the distance between their ends; without valid
+    ends on both sides a line gives nothing. Windows hold one line of the raster.
+    """
+    value, out = F.col("v"), px
+    for line, at in (("r", "c"), ("c", "r")):
+        order = W.partitionBy(line).orderBy(at)
+        known = F.when(value.isNotNull(), F.struct(F.col(at).alias("p"), value.alias("v")))
+        out = out.withColumn(f"_{at}0", F.last(known, ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, -1))).withColumn(f"_{at}1", F.first(known, ignorenulls=True).over(order.rowsBetween(1, W.unboundedFollowing)))
+    sums, weights = F.lit(0.0), F.lit(0.0)
+    for at in ("r", "c"):
+        a, b = F.col(f"_{at}0"), F.col(f"_{at}1")
+        span = b["p"] - a["p"]
+        there = a.isNotNull() & b.isNotNull()
+        line = a["v"] + (b["v"] - a["v"]) * (F.col(at) - a["p"]) / span
+        sums = sums + F.when(there, line / span).otherwise(0.0)
+        weights = weights + F.when(there, 1.0 / span).otherwise(0.0)
+    return out.select("r", "c", F.coalesce("v", F.try_divide(sums, weights)).alias("v"))
+
+
+#: The pole of the cubic B-spline's filter, and terms beyond which its powers vanish in double precision.
+POLE, TERMS = math.sqrt(3) - 2, 30
+
+
+def spline_weights(values: np.ndarray) -> np.ndarray:
+    """Weights of the cubic B-spline through `values`, mirrored at the ends.
+
+    The inverse of the band (1, 4, 1) / 6 is a sum of powers of POLE, so a short convolution gives it in linear time.
+    """
+    terms = POLE ** np.abs(np.arange(-TERMS, TERMS + 1)) * (-6 * POLE / (1 - POLE**2))
+    return np.convolve(np.pad(values, TERMS, mode="reflect"), terms, mode="valid")
+
+
 def spline_row(values: np.ndarray, n_out: int) -> np.ndarray:
     """A cubic B-spline through `values` (mirrored at the ends), read at n_out places, corners aligned."""
     n = len(values)
     if n == 1:
         return np.repeat(values, n_out)
-    system = np.zeros((n, n))
-    at = np.arange(n)
-    mirror = lambda i: np.abs((i + n - 1) % (2 * n - 2) - (n - 1)) if n > 1 else i
-    for k, w in ((-1, 1 / 6), (0, 4 / 6), (1, 1 / 6)):
-        np.add.at(system, (at, mirror(at + k)), w)
-    weights = np.linalg.solve(system, values)
+    mirror = lambda i: np.abs((i + n - 1) % (2 * n - 2) - (n - 1))
+    weights = spline_weights(values)
     p = np.arange(n_out) * ((n - 1) / max(n_out - 1, 1))
     low = np.minimum(np.floor(p).astype(int), n - 2)
     t = p - low

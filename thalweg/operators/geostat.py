@@ -72,12 +72,18 @@ def variogram_within(points: DataFrame, lags: int, reach: float) -> DataFrame:
 
 
 def fit_variogram(points: DataFrame, model: str = "spherical", n: int = 3000, lags: int = 20) -> Variogram:
-    """G1: least squares over ranges on the lag table, which has `lags` rows; each lag weighs as its pairs, less with distance."""
-    some = sample(points, n)
-    box = some.agg(F.max("x") - F.min("x"), F.max("y") - F.min("y")).first()
-    reach = math.hypot(box[0], box[1]) / 2 or 1.0
-    rows = variogram_bins(some, lags, reach).orderBy("lag_bin").collect()
-    h, g, w = (np.array([r[k] for r in rows], float) for k in ("lag", "semivariance", "n_pairs"))
+    """G1: least squares over ranges on the lag table of a sample of n points; each lag weighs as its pairs, less with distance."""
+    rows = sample(points, n).select("x", "y", "z").collect()  # n rows at most
+    x, y, z = (np.array([r[k] for r in rows], float) for k in ("x", "y", "z"))
+    reach = (math.hypot(np.ptp(x), np.ptp(y)) / 2 if len(x) else 0.0) or 1.0
+    i, j = np.triu_indices(len(x), 1)
+    h, g = np.hypot(x[i] - x[j], y[i] - y[j]), 0.5 * (z[i] - z[j]) ** 2
+    near = (h > 0) & (h < reach)
+    h, g = h[near], g[near]
+    lag = np.floor(h / (reach / lags)).astype(int)
+    w = np.bincount(lag, minlength=lags).astype(float)
+    some = w > 0
+    h, g, w = (np.bincount(lag, v, lags)[some] / w[some] if v is not None else w[some] for v in (h, g, None))
     if not len(h):
         return Variogram(model, 0.0, reach, 0.0)
     w = np.sqrt(w / (1 + h / reach))
@@ -115,12 +121,15 @@ def krige_blocks(blocks: DataFrame, points: DataFrame, model: Variogram, radius:
 
     Neighbours meet their block by bucketed joins; a block is one small group.
     """
-    return _solved(nearest(neighbours(blocks.select("block", "cx", "cy", "x0", "y0", "w", "h", "step"), points, radius), most), model)
+    blocks = blocks.select("block", "cx", "cy", "x0", "y0", "w", "h", "step")
+    near = nearest(neighbours(blocks, points, radius), most).select("block", "id", "x", "y", "z")
+    return _solved(blocks.join(near, "block", "left"), model)  # blocks without points keep their places
 
 
 def _solved(near: DataFrame, model: Variogram) -> DataFrame:
     def solve(frame: pd.DataFrame) -> pd.DataFrame:
         b = frame.iloc[0]
+        frame = frame[frame.z.notna()].sort_values("id")
         gx, gy = np.meshgrid(b.x0 + np.arange(int(b.w)) * b.step, b.y0 + np.arange(int(b.h)) * b.step)
         value, variance = solve_block(frame.x.to_numpy(), frame.y.to_numpy(), frame.z.to_numpy(), gx.ravel(), gy.ravel(), model)
         return pd.DataFrame({"block": b.block, "x": gx.ravel(), "y": gy.ravel(), "prediction": value, "variance": variance, "n_points": len(frame)})
@@ -129,11 +138,11 @@ def _solved(near: DataFrame, model: Variogram) -> DataFrame:
 
 
 def krige_scene(points: DataFrame, model: Variogram, height: int, width: int, size: int = 512, halo: int = 32, radius: float | None = None, most: int = 36) -> DataFrame:
-    """Square blocks with a halo on all sides, kriged and blended; pixels (r, c, v) at x = c, y = r.
+    """Square blocks with a halo on all sides, kriged and blended; (r, c, v, variance, n_blocks) at x = c, y = r.
 
     A block takes the `most` points nearest to its centre within radius plus half
-    its diagonal; without a radius it is that of point_density(). Pixels of blocks
-    with fewer than four points are not returned.
+    its diagonal; without a radius it is that of point_density(). Pixels that only
+    blocks with fewer than four points hold have neither value nor variance.
     """
     spark = points.sparkSession
     if radius is None:
@@ -161,11 +170,14 @@ def krige_scene(points: DataFrame, model: Variogram, height: int, width: int, si
     span = size + 2 * halo - 1
     near = neighbours(placed, points, radius + math.hypot(min(span, width), min(span, height)) / 2)
     half = F.sqrt((F.col("w") - 1) * (F.col("w") - 1) + (F.col("h") - 1) * (F.col("h") - 1)) / 2
-    out = _solved(nearest(near.filter(F.col("dist") <= radius + half), most), model).join(F.broadcast(blocks), "block")  # one row a block
+    some = nearest(near.filter(F.col("dist") <= radius + half), most).select("block", "id", "x", "y", "z")
+    # a left join, so that blocks without any point stay
+    out = _solved(placed.join(some, "block", "left"), model).join(F.broadcast(blocks), "block")  # one row a block
     r, c = F.col("y").cast("bigint"), F.col("x").cast("bigint")
     w = F.least(taper(r, F.col("low"), F.col("high"), halo), taper(c, F.col("left"), F.col("right"), halo))
-    parts = out.filter(~F.isnan("prediction")).select(r.alias("r"), c.alias("c"), w.alias("w"), (w * F.col("prediction")).alias("wv"))
-    return parts.groupBy("r", "c").agg((F.sum("wv") / F.sum("w")).alias("v"), F.count("*").alias("n_blocks"))
+    w = F.when(F.col("prediction").isNotNull() & ~F.isnan("prediction"), w)
+    parts = out.select(r.alias("r"), c.alias("c"), w.alias("w"), (w * F.col("prediction")).alias("wv"), (w * F.col("variance")).alias("ws"))
+    return parts.groupBy("r", "c").agg(F.try_divide(F.sum("wv"), F.sum("w")).alias("v"), F.try_divide(F.sum("ws"), F.sum("w")).alias("variance"), F.count("w").alias("n_blocks"))
 
 
 def point_density(points: DataFrame, area: Column | None = None) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.grid import sliding_tiles
+from ..functions.names import tile_number
 
 
 def coregister(a: DataFrame, b: DataFrame, names: tuple[str, str] = ("a", "b")) -> DataFrame:
@@ -14,6 +15,11 @@ def coregister(a: DataFrame, b: DataFrame, names: tuple[str, str] = ("a", "b"))
     return a.select("r", "c", F.col("v").alias(names[0])).join(b.select("r", "c", F.col("v").alias(names[1])), ["r", "c"])
 
 
+def gather(px: DataFrame, mask: DataFrame, keys: tuple[str, ...] = ("r", "c")) -> DataFrame:
+    """A raster's pixels at the places of a mask."""
+    return px.join(mask.select(*keys).distinct(), list(keys), "left_semi")
+
+
 def align_report(a: DataFrame, b: DataFrame) -> DataFrame:
     """Pixels kept, and removed from either raster, by one pass over both."""
     marks = a.select("r", "c", F.lit(1).alias("in_a"), F.lit(0).alias("in_b")).unionByName(b.select("r", "c", F.lit(0).alias("in_a"), F.lit(1).alias("in_b")))
@@ -83,6 +89,11 @@ def file_pairs(images: DataFrame, masks: DataFrame) -> DataFrame:
     return one(images, "image").join(one(masks, "mask"), "tile_num")
 
 
+def tiles_with_masks(tiles: DataFrame, files: DataFrame) -> DataFrame:
+    """Tiles (tile_num) for which some mask file (file) has that number."""
+    return tiles.join(files.select(tile_number(F.col("file")).alias("tile_num")), "tile_num", "left_semi")
+
+
 def missing(wanted: DataFrame, there: DataFrame, on: str) -> DataFrame:
     """J16."""
     return wanted.join(there, on, "left_anti")

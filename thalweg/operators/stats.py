@@ -139,13 +139,18 @@ def block_mean(px: DataFrame, height: int, width: int, k: int) -> DataFrame:
     return keep.groupBy(F.floor(F.col("r") / k).alias("block_row"), F.floor(F.col("c") / k).alias("block_col")).agg(tidy(F.avg("v")).alias("mean"), F.count("v").alias("n"))
 
 
+def proportional_index(x: Column, size: int, target: int) -> Column:
+    """Source x of `size` belongs to the last of `target` places whose int(i * scale) is not above it."""
+    scale = size / target
+    i = F.floor(x / scale)
+    i = F.when(F.floor((i + 1) * F.lit(scale)) <= x, i + 1).otherwise(i)
+    i = F.when(F.floor(i * F.lit(scale)) > x, i - 1).otherwise(i)
+    return F.least(i, F.lit(target - 1)).cast("bigint")
+
+
 def proportional_blocks(px: DataFrame, height: int, target: int) -> DataFrame:
-    """Source row r belongs to the last target whose int(i * scale) is not above it."""
-    scale = height / target
-    i = F.floor(F.col("r") / scale)
-    i = F.when(F.floor((i + 1) * F.lit(scale)) <= F.col("r"), i + 1).otherwise(i)
-    i = F.when(F.floor(i * F.lit(scale)) > F.col("r"), i - 1).otherwise(i)
-    return px.groupBy(F.least(i, F.lit(target - 1)).cast("bigint").alias("target_row"), "c").agg(tidy(F.avg("v")).alias("mean"), F.count("*").alias("n"))
+    """A8 along rows."""
+    return px.groupBy(proportional_index(F.col("r"), height, target).alias("target_row"), "c").agg(tidy(F.avg("v")).alias("mean"), F.count("*").alias("n"))
 
 
 def valid_bbox(px: DataFrame) -> DataFrame:

@@ -87,6 +87,20 @@ SYSTEMS = {
 }
 
 
+#: Codes of systems in degrees that may be met.
+GEOGRAPHIC = ("EPSG:4326", "EPSG:4258", "EPSG:4173", "EPSG:4979")
+
+
+def to_epsg(crs: str | None) -> int | None:
+    """G7."""
+    return int(crs[5:]) if crs and crs.upper().startswith("EPSG:") and crs[5:].isdigit() else None
+
+
+def is_geographic(crs: str | None) -> bool:
+    """G7."""
+    return bool(crs) and crs.upper() in GEOGRAPHIC
+
+
 def transform(x: Column, y: Column, source: str, target: str) -> tuple[Column, Column]:
     """Coordinates from one system to the other; both datums agree to a metre and count as one."""
     return (x, y) if source == target else SYSTEMS[target].forward(*SYSTEMS[source].inverse(x, y))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import algebra as A
 from ..functions import grid as G
 from ..functions import names
-from ..operators import focal, geostat, joins, stats, validate, vision, warp
+from ..operators import composites, focal, geostat, joins, stats, validate, vision, warp
 from ..sources import files as sources
 from . import bindings as B
 
@@ -32,7 +32,7 @@ def R(x: str, n: int = 6) -> str:
     return f"round(CAST({x} AS DOUBLE) + CAST(1e-11 AS DOUBLE), {n}) + CAST(0 AS DOUBLE)"
 
 
-# --- tile depth -----------------------------------------------------------------------------------
+# tile depth
 
 
 def depth_sql(per_tile: int, ceiling: int) -> str:
@@ -154,7 +154,7 @@ def coverage_status(spark, d):
     return _depths(spark, d).groupBy("method", A.coverage_status(F.col("coverage_pct")).alias("status")).agg(F.count("*").alias("tiles"))
 
 
-# --- pixel algebra and statistics ------------------------------------------------------------------
+# pixel algebra and statistics
 
 ENCODED = B.grid_sql(100) + ", enc AS (SELECT r, c, coalesce(v, -9999) AS raw FROM dsm)"
 
@@ -190,13 +190,10 @@ def ndsm(spark, d):
     return B.pair(spark, d, 100).agg(F.count(h).alias("n"), A.tidy(F.avg(h)).alias("mean"), A.tidy(F.max(h)).alias("max_height"), F.count_if(F.col("dsm") < F.col("dtm")).alias("clamped"), A.tidy(F.avg(A.clipped(h, 0.0, 50.0))).alias("mean_clipped"))
 
 
-@query(f"""WITH {B.grid_sql(100)}, f AS (SELECT dsm, dtm, CASE WHEN dsm < dtm THEN dtm ELSE dsm END AS fixed FROM pair), g AS (SELECT *, CASE WHEN fixed - dtm <= 50 THEN fixed END AS cleaned FROM f)
+@query(f"""WITH {B.grid_sql(100)}, f AS (SELECT dsm, dtm, CASE WHEN dsm < dtm THEN dtm ELSE dsm END AS fixed FROM pair), g AS (SELECT *, CASE WHEN dtm IS NULL OR fixed - dtm <= 50 THEN fixed END AS cleaned FROM f)
   SELECT count(*) FILTER (dsm - dtm < CAST(-0.1 AS DOUBLE)) AS violations_before, count(*) FILTER (cleaned - dtm < CAST(-0.1 AS DOUBLE)) AS violations_after, count(*) FILTER (dsm - dtm > 50) AS tall_before, count(*) FILTER (cleaned - dtm > 50) AS tall_after, count(cleaned) AS n, {R('avg(cleaned)')} AS mean FROM g""")
 def clean(spark, d):
-    t = B.pair(spark, d, 100).withColumn("fixed", A.repaired(F.col("dsm"), F.col("dtm")))
-    t = t.withColumn("cleaned", F.when(F.col("fixed") - F.col("dtm") <= 50, F.col("fixed")))
-    before, after = F.col("dsm") - F.col("dtm"), F.col("cleaned") - F.col("dtm")
-    return t.agg(F.count_if(before < -0.1).alias("violations_before"), F.count_if(after < -0.1).alias("violations_after"), F.count_if(before > 50).alias("tall_before"), F.count_if(after > 50).alias("tall_after"), F.count("cleaned").alias("n"), A.tidy(F.avg("cleaned")).alias("mean"))
+    return composites.clean(B.raster(spark, d, 100, "dsm"), B.raster(spark, d, 100, "dtm"))[1]
 
 
 @query(f"""WITH {B.grid_sql(100)}, k AS (SELECT (CASE WHEN h >= 0 THEN 1 ELSE 0 END + CASE WHEN h >= 2 THEN 1 ELSE 0 END + CASE WHEN h >= 5 THEN 1 ELSE 0 END + CASE WHEN h >= 10 THEN 1 ELSE 0 END + CASE WHEN h >= 15 THEN 1 ELSE 0 END + CASE WHEN h >= 100 THEN 1 ELSE 0 END) AS height_class, h FROM (SELECT dsm - dtm AS h FROM pair) WHERE h IS NOT NULL)
@@ -227,6 +224,7 @@ def iqr_outliers(spark, d):
     return stats.iqr_outliers(B.pair(spark, d, 100).select(F.pow((F.col("dsm") - F.col("dtm")) / 10, F.lit(3.0)).alias("v")), "v")
 
 
+# The levels that are reported.
 PCTS = (0, 1, 5, 25, 50, 75, 95, 99, 100)
 
 
@@ -260,7 +258,7 @@ def vs_reference(spark, d):
     return joins.against_reference(B.methods3(spark, d), "mean").groupBy("method").agg(*stats.error_metrics(F.col("v") - F.col("ref")))
 
 
-# --- shapes and grids --------------------------------------------------------------------------------
+# shapes and grids
 
 
 @query(f"WITH {B.grid_sql(10)}, a AS (SELECT r, c FROM dsm WHERE c < 30), b AS (SELECT r, c FROM dtm WHERE r >= 2), j AS (SELECT a.r IS NOT NULL AS x, b.r IS NOT NULL AS y FROM a FULL JOIN b USING (r, c)) SELECT count(*) FILTER (x AND y) AS kept, count(*) FILTER (NOT y) AS removed_a, count(*) FILTER (NOT x) AS removed_b FROM j")
@@ -350,18 +348,9 @@ def river_width(spark, d):
     return stats.river_width(t, 5.0)
 
 
-# --- focal ---------------------------------------------------------------------------------------------
+# focal
 
 
-@query(f"""WITH {B.grid_sql(10)}, q AS (SELECT vec_id AS r, unnest(embedding) AS e, generate_subscripts(embedding,1)-1 AS pos FROM embeddings), f AS (SELECT dsm, dtm, CASE WHEN dsm - dtm IS NOT NULL THEN least(50, greatest(0, dsm - dtm)) END AS h, dsm - avg(dsm) OVER (PARTITION BY CAST(floor(r/8) AS BIGINT), CAST(floor(c/8) AS BIGINT)) AS detail FROM pair),
-  g AS (SELECT exp(-h/2) AS alpha, dtm + exp(-h/2)*detail AS fused FROM f) SELECT count(fused) AS n, {R('avg(alpha)')} AS mean_alpha, {R('avg(fused)')} AS mean, {R('stddev_pop(fused)')} AS std, {R('min(fused)')} AS low, {R('max(fused)')} AS high FROM g""")
-def fusion(spark, d):
-    """With the detail against 8 x 8 block means; the blocks' means are joined back, one row a block."""
-    t = B.pair(spark, d, 10).withColumn("br", F.floor(F.col("r") / 8)).withColumn("bc", F.floor(F.col("c") / 8))
-    t = t.join(t.groupBy("br", "bc").agg(F.avg("dsm").alias("base")), ["br", "bc"])
-    alpha = A.canopy_weight(A.clipped(F.col("dsm") - F.col("dtm"), 0.0, 50.0))
-    f = t.select(alpha.alias("alpha"), A.fused(F.col("dtm"), F.col("dsm") - F.col("base"), alpha).alias("fused"))
-    return f.agg(F.count("fused").alias("n"), A.tidy(F.avg("alpha")).alias("mean_alpha"), A.tidy(F.avg("fused")).alias("mean"), A.tidy(F.stddev_pop("fused")).alias("std"), A.tidy(F.min("fused")).alias("low"), A.tidy(F.max("fused")).alias("high"))
 
 
 @query(f"""WITH {B.grid_sql(10)}, m AS (SELECT avg(v) AS m, max(r)+1 AS h FROM dsm), f AS (SELECT r, c, coalesce(v, m) AS v FROM dsm, m), kk AS (SELECT i AS k, exp(-CAST(i*i AS DOUBLE)/8) AS w FROM range(-8, 9) x(i)), kn AS (SELECT k, w/(SELECT sum(w) FROM kk) AS w FROM kk),
@@ -391,7 +380,7 @@ def taper_blend(spark, d):
     return focal.taper_blend(parts, "r", 4).select("r", "c", A.tidy(F.col("v")).alias("v"), "n_blocks")
 
 
-# --- geostatistics, vision, warp -----------------------------------------------------------------------
+# geostatistics, vision, warp
 
 CENTRES = "SELECT i AS block, CAST(16 AS DOUBLE) AS cx, CAST(i*32+16 AS DOUBLE) AS cy FROM range(100000) x(i) WHERE i*32 <= (SELECT max(vec_id) FROM embeddings)"
 
@@ -464,7 +453,7 @@ def mosaic_first(spark, d):
     return joins.mosaic_first(t).select("r", "c", A.tidy(F.col("v")).alias("v"), "file_rank")
 
 
-# --- names, lists, gauges --------------------------------------------------------------------------------
+# names, lists, gauges
 
 TILE_NUM = "CAST(coalesce(nullif(regexp_extract(file, '(?i)patch[_-](\\d+)', 1), ''), nullif(regexp_extract(file, '(?i)tile[_-](\\d+)', 1), ''), nullif(regexp_extract(file, '(?i)_(\\d+)\\.[a-z]+$', 1), '')) AS INTEGER)"
 
@@ -507,6 +496,8 @@ def gauge_daily(spark, d):
 
 @query("SELECT least(3000, count(*)) AS n, TRUE AS inside FROM lineitem")
 def sample_cardinality(spark, d):
-    t = spark.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_extendedprice")
-    s = t.orderBy(F.xxhash64("l_orderkey", "l_linenumber", "l_extendedprice", F.lit(42))).limit(3000)
-    return s.agg(F.count("*").alias("n"), F.bool_and(F.col("l_extendedprice").isNotNull()).alias("inside"))
+    keys = ["l_orderkey", "l_linenumber", "l_extendedprice"]
+    t = spark.read.parquet(f"{d}/lineitem.parquet").select(*keys)
+    s = t.orderBy(F.xxhash64(*keys, F.lit(42)), *keys).limit(3000)
+    # every sampled row is one of the table
+    return s.join(t.distinct().withColumn("there", F.lit(True)), keys, "left").agg(F.count("*").alias("n"), F.bool_and(F.coalesce("there", F.lit(False))).alias("inside"))

@@ -8,3 +8,4 @@ RASTER_PIXEL = "raster_id string, band int, row int, col int, value float"
 WORK_LIST = "tile_num int, dsm_pct double, dtm_pct double, image_file string, mask_file string"
 GAUGE = "date date, level_min double, level_max double"
 POINT = "id bigint, x double, y double, z double"
+TILE_DEPTH = "tile bigint, method string, rank int, status string, water_pixels bigint, valid_pixels bigint, coverage_pct double, depth_mean double, depth_median double, depth_std double, depth_min double, depth_max double, surface_mean double, surface_std double, riverbed_mean double, riverbed_std double"

@@ -33,6 +33,17 @@ def pixels(blocks: DataFrame, window: tuple[int, int, int, int] | None = None, n
     return out
 
 
+def overlaid(px: DataFrame, changes: DataFrame) -> DataFrame:
+    """K4: pixels with those of `changes` (raster_id, band, row, col, value) in their place, to be written anew."""
+    new = changes.select("raster_id", "band", "row", "col", F.col("value").alias("_new"), F.lit(True).alias("_changed"))
+    return px.join(new, ["raster_id", "band", "row", "col"], "left").select("raster_id", "band", "row", "col", F.when(F.col("_changed"), F.col("_new")).otherwise(F.col("value")).alias("value"))
+
+
+def bands(px: DataFrame, numbers: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
+    """(raster_id, row, col) with a column b<number> for each band."""
+    return px.groupBy("raster_id", "row", "col").pivot("band", list(numbers)).agg(F.first("value")).select("raster_id", "row", "col", *[F.col(str(n)).alias(f"b{n}") for n in numbers])
+
+
 def centre(blocks: DataFrame, height: int, width: int, half: int = 500) -> DataFrame:
     """Pixels of the square around the middle."""
     return pixels(blocks, (height // 2 - half, width // 2 - half, height // 2 + half, width // 2 + half))

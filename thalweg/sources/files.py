@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import names
+from ..schema import TILE_DEPTH
 
 
 def ascii_header(spark: SparkSession, path: str) -> DataFrame:
@@ -108,6 +109,46 @@ def summary_json(run: DataFrame, methods: DataFrame | None = None) -> DataFrame:
     return run.crossJoin(nested).select(F.to_json(F.struct("*")).alias("value"))
 
 
-def report(performance: DataFrame) -> DataFrame:
-    """A line of text for each method."""
-    return performance.select(F.format_string("%s: %d of %d tiles, mean depth %.3f m", "method", "tiles_with_data", "total_tiles", "depth_mean").alias("value"))
+def tile_rows(spark: SparkSession, path: str, schema: str = TILE_DEPTH) -> DataFrame:
+    """Tile rows of a CSV with a header, typed by the schema; the method of write_tiles() comes from the folder."""
+    return spark.read.csv(path, header=True, schema=schema)
+
+
+def json_array(rows: DataFrame) -> DataFrame:
+    """K6: a report's rows as one JSON array."""
+    return rows.agg(F.to_json(F.array_sort(F.collect_list(F.struct("*")))).alias("value"))
+
+
+def sections(tables: dict[str, DataFrame]) -> DataFrame:
+    """K8: tables of a report under each other as lines of CSV, each under a `# heading` and its columns' names."""
+    lines = None
+    for i, (heading, table) in enumerate(tables.items()):
+        spark = table.sparkSession
+        top = spark.createDataFrame([(i, 0, f"# {heading}"), (i, 1, ",".join(table.columns))], "section int, kind int, value string")
+        part = top.unionByName(table.select(F.lit(i).alias("section"), F.lit(2).alias("kind"), F.to_csv(F.struct("*")).alias("value")))
+        lines = part if lines is None else lines.unionByName(part)
+    return lines.orderBy("section", "kind", "value").select("value")
+
+
+def write_text(lines: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """A report's ordered lines as one file."""
+    lines.coalesce(1).write.mode(mode).text(path)
+
+
+def work_list_text(tiles: DataFrame) -> DataFrame:
+    """The work list's lines, headings first, in the order of tile numbers."""
+    head = tiles.sparkSession.createDataFrame([(-1, "Working tiles"), (0, "")], "at bigint, value string")
+    blocks = names.work_list_lines(tiles).select((F.col("tile_num") + 1).cast("bigint").alias("at"), F.col("block").alias("value"))
+    return head.unionByName(blocks).orderBy("at").select("value")
+
+
+def report(performance: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """A line of text for each method; with pairs, both under headings, each pair with its significance."""
+    line = F.format_string("%s: %d of %d tiles, mean depth %.3f m", "method", "tiles_with_data", "total_tiles", "depth_mean")
+    methods = performance.select(F.lit(1).alias("section"), F.col("method").alias("key"), line.alias("value"))
+    if pairs is None:
+        return methods.orderBy("key").select("value")
+    headings = performance.sparkSession.createDataFrame([(0, "", "METHODS"), (2, "", "PAIRS")], "section int, key string, value string")
+    line = F.format_string("%s - %s: bias %.3f m, RMSE %.3f m, %s", "method_1", "method_2", "bias", "rmse", F.coalesce("significance", F.lit("not tested")))
+    both = pairs.select(F.lit(3).alias("section"), F.concat_ws(" ", "method_1", "method_2").alias("key"), line.alias("value"))
+    return headings.unionByName(methods).unionByName(both).orderBy("section", "key").select("value")

@@ -1,20 +1,24 @@
-"""GeoTIFF as a Python data source: format("geotiff"), one row for each strip or tile.
+"""GeoTIFF as a Python data source: format("geotiff"), a row for each strip or tile and band.
 
-Reads one file of one band, uncompressed or deflate, predictors 1 to 3, strips
-or tiles. Each strip or tile is a partition of its own and is read by offset.
-write_strip_tiff() writes small float32 exports.
+Reads one file, uncompressed or deflate, predictors 1 to 3, strips or tiles,
+bands beside each other or in planes. Each strip or tile is a partition of its
+own and is read by offset. export_blocks() writes a file for each block where
+the block is; write_strip_tiff() writes a small raster as one file.
 """
 
 from __future__ import annotations
 
+import os
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from ..schema import RASTER_BLOCK
+from ..schema import RASTER_BLOCK, RASTER_META
 
 # Fixed values of the TIFF format: bytes of each field type, and sample kinds.
 SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 11: 4, 12: 8, 16: 8}
@@ -46,6 +50,14 @@ def read_tags(path: str) -> tuple[str, dict[int, list]]:
         return order, tags
 
 
+def system(tags: dict[int, list]) -> str | None:
+    """The code of the projected or else the geographic system among the GeoKeys."""
+    keys = tags.get(34735, [])
+    codes = {keys[i]: keys[i + 3] for i in range(4, len(keys) - 3, 4) if keys[i + 1] == 0}
+    code = codes.get(3072, codes.get(2048))
+    return None if code in (None, 32767) else f"EPSG:{code}"
+
+
 def metadata(path: str) -> dict:
     """Size, transform and nodata without any pixel."""
     _, t = read_tags(path)
@@ -53,7 +65,34 @@ def metadata(path: str) -> dict:
     return {"width": t[256][0], "height": t[257][0], "transform": (step[0], 0.0, tie[3] - tie[0] * step[0], 0.0, -step[1], tie[4] + tie[1] * step[1]), "nodata": float(t[42113][0]) if 42113 in t else None}
 
 
-def decode(raw: bytes, rows: int, cols: int, order: str, tags: dict[int, list]) -> np.ndarray:
+def described(path: str) -> dict:
+    """metadata() with the number of bands, the system and the type of the values."""
+    _, t = read_tags(path)
+    kind = {"u": "uint", "i": "int", "f": "float"}[KINDS[t.get(339, [1])[0]]] + str(t[258][0])
+    return metadata(path) | {"bands": t.get(277, [1])[0], "crs": system(t), "dtype": kind}
+
+
+def raster_meta(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """A row of RASTER_META for each file, read on the executors."""
+
+    def read(frames: Iterator) -> Iterator:
+        import pandas as pd
+
+        for frame in frames:
+            rows = []
+            for path in frame["path"]:
+                m = described(path.removeprefix("file:"))
+                a, _, c, _, e, f = m["transform"]
+                names = ("left", "bottom", "right", "top")
+                bounds = dict(zip(names, (c, f + m["height"] * e, c + m["width"] * a, f), strict=True))
+                rows.append((path.rsplit("/", 1)[-1], m["width"], m["height"], dict(zip("abcdef", m["transform"], strict=True)), m["crs"], m["nodata"], m["dtype"], bounds))
+            yield pd.DataFrame(rows, columns=["raster_id", "width", "height", "transform", "crs", "nodata", "dtype", "bounds"])
+
+    return spark.createDataFrame([(p,) for p in paths], "path string").mapInPandas(read, RASTER_META)
+
+
+def decode(raw: bytes, rows: int, cols: int, order: str, tags: dict[int, list], bands: int = 1) -> np.ndarray:
+    """(rows, cols, bands) of one strip or tile."""
     compression, predictor = tags.get(259, [1])[0], tags.get(317, [1])[0]
     if compression in (8, 32946):
         raw = zlib.decompress(raw)
@@ -61,16 +100,17 @@ def decode(raw: bytes, rows: int, cols: int, order: str, tags: dict[int, list])
         raise ValueError(f"compression {compression} is not supported")
     width = tags[258][0] // 8
     kind = f"{KINDS[tags.get(339, [1])[0]]}{width}"
+    across = cols * bands
     if predictor == 3:
-        data = np.frombuffer(raw, np.uint8)[: rows * cols * width].reshape(rows, cols * width).cumsum(axis=1, dtype=np.uint8)
-        return np.ascontiguousarray(data.reshape(rows, width, cols).transpose(0, 2, 1)).view(">" + kind).reshape(rows, cols)
-    out = np.frombuffer(raw, order + kind)[: rows * cols].reshape(rows, cols)
+        data = np.frombuffer(raw, np.uint8)[: rows * across * width].reshape(rows, cols * width, bands).cumsum(axis=1, dtype=np.uint8)
+        return np.ascontiguousarray(data.reshape(rows, width, across).transpose(0, 2, 1)).view(">" + kind).reshape(rows, cols, bands)
+    out = np.frombuffer(raw, order + kind)[: rows * across].reshape(rows, cols, bands)
     return out.cumsum(axis=1, dtype=out.dtype) if predictor == 2 else out
 
 
 class Block(InputPartition):
-    def __init__(self, index: int, row: int, col: int, row0: int, col0: int, rows: int, cols: int, offset: int, size: int) -> None:
-        self.index, self.row, self.col, self.row0, self.col0, self.rows, self.cols, self.offset, self.size = index, row, col, row0, col0, rows, cols, offset, size
+    def __init__(self, plane: int, row: int, col: int, row0: int, col0: int, rows: int, cols: int, offset: int, size: int) -> None:
+        self.plane, self.row, self.col, self.row0, self.col0, self.rows, self.cols, self.offset, self.size = plane, row, col, row0, col0, rows, cols, offset, size
 
 
 class GeoTiffReader(DataSourceReader):
@@ -82,28 +122,29 @@ class GeoTiffReader(DataSourceReader):
     def partitions(self) -> list[Block]:
         _, t = read_tags(self.path)
         width, height = t[256][0], t[257][0]
-        if t.get(277, [1])[0] != 1:
-            raise ValueError("only one band is supported")
         bw, bh = (t[322][0], t[323][0]) if 322 in t else (width, t.get(278, [height])[0])
         offsets, sizes = (t[324], t[325]) if 324 in t else (t[273], t[279])
         across, out = -(-width // bw), []
+        of_plane = across * -(-height // bh)
         for i, (offset, size) in enumerate(zip(offsets, sizes, strict=True)):
-            row, col = divmod(i, across)
+            row, col = divmod(i % of_plane, across)
             rows = bh if 322 in t else min(bh, height - row * bh)
-            b = Block(i, row, col, row * bh, col * bw, rows, bw, offset, size)
+            b = Block(i // of_plane, row, col, row * bh, col * bw, rows, bw, offset, size)
             if self.window is None or (b.row0 < self.window[2] and b.row0 + bh > self.window[0] and b.col0 < self.window[3] and b.col0 + bw > self.window[1]):
                 out.append(b)
         return out
 
     def read(self, partition: Block) -> Iterator[tuple]:
         order, t = read_tags(self.path)
+        bands = t.get(277, [1])[0] if t.get(284, [1])[0] == 1 else 1
         with open(self.path, "rb") as f:
             f.seek(partition.offset)
-            data = decode(f.read(partition.size), partition.rows, partition.cols, order, t)
+            data = decode(f.read(partition.size), partition.rows, partition.cols, order, t, bands)
         data = data[: t[257][0] - partition.row0, : t[256][0] - partition.col0].astype(float)
         nodata = float(t[42113][0]) if 42113 in t else None
-        values = [None if v != v or v == nodata else v for v in data.ravel().tolist()]
-        yield (self.raster_id, 1, partition.row, partition.col, partition.row0, partition.col0, data.shape[0], data.shape[1], values)
+        for k in range(bands):
+            values = [None if v != v or v == nodata else v for v in data[:, :, k].ravel().tolist()]
+            yield (self.raster_id, partition.plane + k + 1, partition.row, partition.col, partition.row0, partition.col0, data.shape[0], data.shape[1], values)
 
 
 class GeoTiffSource(DataSource):
@@ -120,36 +161,70 @@ class GeoTiffSource(DataSource):
         return GeoTiffReader(self.options)
 
 
-def write_strip_tiff(path: str, data: np.ndarray, transform: tuple, nodata: float = -9999.0, deflate: bool = True, predictor: int = 1, rows_per_strip: int = 64) -> None:
-    """K1: a float32 export; missing values are nodata."""
+def tiff_bytes(data: np.ndarray, transform: tuple, nodata: float = -9999.0, deflate: bool = True, predictor: int = 1, rows_per_strip: int = 64, epsg: int | None = None, big: bool = False) -> bytes:
+    """K1-K3: a float32 file of (rows, columns) or (rows, columns, bands); missing values are nodata; big: with offsets of 64 bits."""
     values = np.where(np.isnan(data), nodata, data).astype("<f4")
-    h, w = values.shape
+    values = values.reshape(*values.shape[:2], -1)
+    h, w, bands = values.shape
     strips = []
     for r in range(0, h, rows_per_strip):
         part = values[r : r + rows_per_strip]
         raw = part.tobytes()
         if predictor == 3:
-            planes = np.ascontiguousarray(part.astype(">f4")).view(np.uint8).reshape(len(part), w, 4).transpose(0, 2, 1).reshape(len(part), w * 4)
-            raw = np.diff(planes, axis=1, prepend=np.zeros((len(part), 1), np.uint8)).astype(np.uint8).tobytes()
+            planes = np.ascontiguousarray(part.astype(">f4")).view(np.uint8).reshape(len(part), w * bands, 4).transpose(0, 2, 1).reshape(len(part), w * 4, bands)
+            raw = np.diff(planes, axis=1, prepend=np.zeros((len(part), 1, bands), np.uint8)).astype(np.uint8).tobytes()
         strips.append(zlib.compress(raw) if deflate else raw)
-    text = f"{nodata:g}\0".encode()
+    place, count, room = ("Q", "Q", 8) if big else ("I", "H", 4)
+    kind = 16 if big else 4
     a, _, c, _, e, f = transform
-    fields = [(256, 4, [w]), (257, 4, [h]), (258, 3, [32]), (259, 3, [8 if deflate else 1]), (262, 3, [1]), (273, 4, [0] * len(strips)), (277, 3, [1]), (278, 4, [rows_per_strip]), (279, 4, [len(s) for s in strips]), (317, 3, [predictor]), (339, 3, [3]), (33550, 12, [a, -e, 0.0]), (33922, 12, [0.0, 0.0, 0.0, c, f, 0.0]), (42113, 2, text)]
-    at = 8 + 2 + 12 * len(fields) + 4
-    extra, entries, places = b"", [], {}
-    for tag, kind, v in fields:
-        raw = v if kind == 2 else struct.pack(f"<{len(v)}{LETTERS[kind]}", *v)
-        places[tag] = (len(raw) > 4, at + len(extra))
-        entries.append([tag, kind, len(v), raw if len(raw) <= 4 else struct.pack("<I", at + len(extra))])
-        extra += raw if len(raw) > 4 else b""
-    data_at = at + len(extra)
-    offsets = [data_at + sum(len(s) for s in strips[:i]) for i in range(len(strips))]
-    packed = struct.pack(f"<{len(offsets)}I", *offsets)
-    outside, where = places[273]
-    if outside:
-        extra = extra[: where - at] + packed + extra[where - at + len(packed) :]
+    fields = [(256, 4, [w]), (257, 4, [h]), (258, 3, [32] * bands), (259, 3, [8 if deflate else 1]), (262, 3, [1]), (273, kind, [0] * len(strips)), (277, 3, [bands]), (278, 4, [rows_per_strip]), (279, kind, [len(s) for s in strips]), (284, 3, [1]), (317, 3, [predictor]), (339, 3, [3] * bands), (33550, 12, [a, -e, 0.0]), (33922, 12, [0.0, 0.0, 0.0, c, f, 0.0])]
+    if epsg is not None:
+        fields.append((34735, 3, [1, 1, 0, 2, 1024, 0, 1, 1, 3072, 0, 1, epsg]))
+    fields.append((42113, 2, f"{nodata:g}\0".encode()))
+    packed = lambda kind, v: v if kind == 2 else struct.pack(f"<{len(v)}{LETTERS[kind]}", *v)
+    head = b"II" + (struct.pack("<HHHQ", 43, 8, 0, 16) if big else struct.pack("<HI", 42, 8))
+    first = len(head) + struct.calcsize("<" + count) + len(fields) * (4 + 2 * room) + room  # where values outside of the entries begin
+    data_at = first + sum(len(x) for x in (packed(k, v) for _, k, v in fields) if len(x) > room)
+    at = np.cumsum([data_at, *(len(x) for x in strips)]).tolist()
+    entries, extra = b"", b""
+    for tag, k, v in fields:
+        raw = packed(k, at[:-1] if tag == 273 else v)
+        entries += struct.pack(f"<HH{place}", tag, k, len(v))
+        if len(raw) > room:
+            entries += struct.pack("<" + place, first + len(extra))
+            extra += raw
+        else:
+            entries += raw.ljust(room, b"\0")
+    return head + struct.pack("<" + count, len(fields)) + entries + b"\0" * room + extra + b"".join(strips)
+
+
+def write_strip_tiff(path: str, data: np.ndarray, transform: tuple, **options) -> None:
+    """K1: a small raster as one file; a large one goes by export_blocks()."""
     with open(path, "wb") as out:
-        out.write(b"II" + struct.pack("<HIH", 42, 8, len(fields)))
-        for tag, kind, n, raw in entries:
-            out.write(struct.pack("<HHI", tag, kind, n) + (packed if tag == 273 and not outside else raw).ljust(4, b"\0"))
-        out.write(struct.pack("<I", 0) + extra + b"".join(strips))
+        out.write(tiff_bytes(data, transform, **options))
+
+
+def export_blocks(blocks: DataFrame, folder: str, transform: tuple, **options) -> DataFrame:
+    """K1-K3: every block (RASTER_BLOCK) as a GeoTIFF with its own place in the world: (path, length), written when the result is read.
+
+    Executors write into `folder`, which they share; a file appears whole, so a task that runs again does no harm.
+    """
+
+    def write(frames: Iterator) -> Iterator:
+        import pandas as pd
+
+        a, b, c, d, e, f = transform
+        for frame in frames:
+            out = []
+            for x in frame.itertuples(index=False):
+                data = np.array([np.nan if v is None else v for v in x.data], float).reshape(x.h, x.w)
+                raw = tiff_bytes(data, (a, b, c + x.col0 * a, d, e, f + x.row0 * e), **options)
+                path = f"{folder}/{x.raster_id}_{x.band}_{x.block_row}_{x.block_col}.tif"
+                part = f"{path}.{uuid.uuid4().hex}"
+                with open(part, "wb") as file:
+                    file.write(raw)
+                os.replace(part, path)
+                out.append((path, len(raw)))
+            yield pd.DataFrame(out, columns=["path", "length"])
+
+    return blocks.mapInPandas(write, "path string, length bigint")
