@@ -4,12 +4,13 @@ Each stage takes (spark, docs, sf_dir) and works on all that the stage before it
 kept; its result is written as Parquet and read again as the next one's docs.
 All but the last return the columns of documents.
 
-Toxicity and the mixing classifier learn from the labels table; the toxicity
-stage rejects documents at the operator's threshold, near-duplicates keep the
+Toxicity and the mixing classifier learn from the labels table, held-out rows
+included, since here they only filter; the toxicity stage rejects documents at the operator's threshold, near-duplicates keep the
 smallest doc_id of each group by shingles of five words (rows that repeat doc_id
 and text stay once, unlike texts of one doc_id are judged each by itself), secrets are replaced in
 the text, mixing repeats a document as often as its rate says (the fraction by
-chance), packing returns the place of every piece. Rows without doc_id pass all stages.
+chance), packing returns the place of every piece. Rows without doc_id pass all
+stages; null and empty texts pass the first three; a stage takes an empty table.
 """
 
 from __future__ import annotations
@@ -62,7 +63,7 @@ STAGES = [
     ("best_fit_packing", pack_sequences),
 ]
 
-#: SQL can express none of the stages; the tests hold them against brute force.
+#: SQL can express none of the stages; tests/llm/test_pipeline.py holds each against plain Python.
 ORACLE_SQL = None
 
 
