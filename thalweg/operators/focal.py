@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -107,37 +107,44 @@ POLE, TERMS = math.sqrt(3) - 2, 30
 
 
 def spline_weights(values: np.ndarray) -> np.ndarray:
-    """Weights of the cubic B-spline through `values`, mirrored at the ends.
+    """Weights of the cubic B-spline through the last axis of `values`, mirrored at the ends.
 
     The inverse of the band (1, 4, 1) / 6 is a sum of powers of POLE, so a short convolution gives it in linear time.
     """
     terms = POLE ** np.abs(np.arange(-TERMS, TERMS + 1)) * (-6 * POLE / (1 - POLE**2))
-    return np.convolve(np.pad(values, TERMS, mode="reflect"), terms, mode="valid")
+    padded = np.pad(values, [(0, 0)] * (values.ndim - 1) + [(TERMS, TERMS)], mode="reflect")
+    n = values.shape[-1]
+    return sum(t * padded[..., k : k + n] for k, t in enumerate(terms))
 
 
 def spline_row(values: np.ndarray, n_out: int) -> np.ndarray:
-    """A cubic B-spline through `values` (mirrored at the ends), read at n_out places, corners aligned."""
-    n = len(values)
+    """A cubic B-spline through the last axis of `values` (mirrored at the ends), read at n_out places, corners aligned."""
+    n = values.shape[-1]
     if n == 1:
-        return np.repeat(values, n_out)
+        return np.repeat(values, n_out, axis=-1)
     mirror = lambda i: np.abs((i + n - 1) % (2 * n - 2) - (n - 1))
     weights = spline_weights(values)
     p = np.arange(n_out) * ((n - 1) / max(n_out - 1, 1))
     low = np.minimum(np.floor(p).astype(int), n - 2)
     t = p - low
     basis = ((1 - t) ** 3 / 6, (3 * t**3 - 6 * t**2 + 4) / 6, (-3 * t**3 + 3 * t**2 + 3 * t + 1) / 6, t**3 / 6)
-    return sum(b * weights[mirror(low + k - 1)] for k, b in enumerate(basis))
+    return sum(b * weights[..., mirror(low + k - 1)] for k, b in enumerate(basis))
 
 
 def resize_cubic(px: DataFrame, axis: str, n_in: int, n_out: int) -> DataFrame:
-    """W3 along one axis: lines of pixels are independent, so each is a group."""
+    """W3 along one axis: a row for each line of pixels, many lines in one numpy step."""
     other = "c" if axis == "r" else "r"
+    lines = px.groupBy(other).agg(F.transform(F.array_sort(F.collect_list(F.struct(axis, "v"))), lambda x: x["v"]).alias("v"))
 
-    def line(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(axis)
-        return pd.DataFrame({axis: np.arange(n_out), other: frame[other].iloc[0], "v": spline_row(frame["v"].to_numpy(float), n_out)})[["r", "c", "v"]]
+    def resized(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for _, part in frame.groupby(frame["v"].map(len)):  # of equal length
+                for at in range(0, len(part), 256):
+                    some = part.iloc[at : at + 256]
+                    yield pd.DataFrame({other: some[other], "v": list(spline_row(np.array(some["v"].tolist(), float), n_out))})
 
-    return px.groupBy(other).applyInPandas(line, "r bigint, c bigint, v double")
+    out = lines.mapInPandas(resized, f"{other} bigint, v array<double>")
+    return out.select(other, F.posexplode("v").alias("at", "v")).select(other, F.col("at").cast("bigint").alias(axis), "v").select("r", "c", "v")
 
 
 def gradients(px: DataFrame) -> DataFrame:
