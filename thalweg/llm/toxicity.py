@@ -46,10 +46,12 @@ from . import _minhash, _text
 MAX_TOXIC, MAX_CLEAN = 3000, 27000
 MIN_DOCS = 3
 #: Share of toxic texts among the texts that an entry is in.
-MIN_PRECISION = 0.85
+MIN_PRECISION = 0.5
 THRESHOLD = 0.3
 #: How much the logarithm of a text's length takes from its weights.
-LENGTH = 0.3
+LENGTH = 0.2
+#: An entry's weight for each unit of its log-odds: so that entries which clean texts have too must meet to reach the threshold.
+WEIGHT = 0.52
 
 # Look-alikes of Latin letters, and digits and signs that stand for letters.
 CYRILLIC = dict(zip("авеёкмнорстухіїјѕһԁԛԝ", "abeekmhopctyxiijshdqw", strict=True))
@@ -156,7 +158,7 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame) -> dict[str, float]:
     chance = F.col("a") * F.log(expected / F.col("a")) + (F.col("a") - expected)
     passed = both.filter((F.col("a") >= MIN_PRECISION * (F.col("a") + F.col("b"))) & (chance < -math.log(20 * max(often.count(), 1))))
     sure = {r["term"]: (r["a"], r["b"]) for r in passed.collect()}
-    return {t: round(math.log((sure[t][0] + 0.5) / (toxic + 1)) - math.log((sure[t][1] + 0.5) / (clean + 1)), 6) for t in _pruned(sure)}
+    return {t: round(WEIGHT * (math.log((sure[t][0] + 0.5) / (toxic + 1)) - math.log((sure[t][1] + 0.5) / (clean + 1))), 6) for t in _pruned(sure)}
 
 
 def _pruned(sure: dict[str, tuple[int, int]]) -> list[str]:
