@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embedding_dedup, fingerprints, license_scan, minhash_dedup, mixing, packing, secret_scan, substring_dedup, suffix_dedup, toxicity
+from . import embedding_dedup, fingerprints, license_scan, minhash_dedup, mixing, packing, secret_scan, substring_dedup, suffix_dedup, token_alignment, toxicity
 
 QUERIES = {
     "op1_suffix_array_dedup": suffix_dedup.op1_suffix_array_dedup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_document_fingerprints": fingerprints.op8_document_fingerprints,
     "op9_embedding_near_dedup": embedding_dedup.op9_embedding_near_dedup,
     "op10_license_scan": license_scan.op10_license_scan,
+    "op11_token_alignment": token_alignment.op11_token_alignment,
 }
 
 ORACLE_SQL: dict[str, str] = {}
