@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embedding_dedup, fingerprints, license_scan, minhash_dedup, mixing, packing, secret_scan, substring_dedup, suffix_dedup, token_alignment, toxicity
+from . import chat_format, embedding_dedup, fingerprints, license_scan, minhash_dedup, mixing, packing, secret_scan, spelling_variants, substring_dedup, suffix_dedup, token_alignment, toxicity
 
 QUERIES = {
     "op1_suffix_array_dedup": suffix_dedup.op1_suffix_array_dedup,
@@ -16,6 +16,8 @@ QUERIES = {
     "op9_embedding_near_dedup": embedding_dedup.op9_embedding_near_dedup,
     "op10_license_scan": license_scan.op10_license_scan,
     "op11_token_alignment": token_alignment.op11_token_alignment,
+    "op12_spelling_variants": spelling_variants.op12_spelling_variants,
+    "op13_chat_format": chat_format.op13_chat_format,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op13_chat_format": chat_format.ORACLE_SQL}

@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import _shared
+from .. import shared
 
 TOKENIZERS = "/opt/tokenizers"
 #: Characters of a text that are encoded together, about.
@@ -529,7 +529,7 @@ def alignment_digests(docs: DataFrame, a_file: str = f"{TOKENIZERS}/byte_bpe_50k
     lengths = _lengths(a_file, b_file)
     n_ids = tuple(map(len, lengths))
     chunks = _swept(events(docs, a_file, b_file), lengths, lambda: Digests(n_ids), CHUNKS)
-    chunks = _shared.written(chunks, "alignment")
+    chunks = shared.written(chunks, "alignment")
     counts = pair_counts(chunks)
     back = chunks.select("chunk", F.explode("pair").alias("pair")).join(counts, "pair").groupBy("chunk")
     back = back.agg(F.sort_array(F.collect_list(F.struct("pair", "count", "best"))).alias("counts"))
