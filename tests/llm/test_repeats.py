@@ -103,6 +103,20 @@ def test_edges(spark, f):
     assert len(rows) == 3 and all(r.n_removed == 0 for r in rows)  # one document, and one that is not compared
 
 
+@pytest.mark.parametrize("f, brute", [(suffix_dedup, brute_bytes), (substring_dedup, brute_words)])
+def test_unlike_texts_of_one_doc_id(spark, f, brute):
+    """Each text is judged by itself; brute force takes them as documents in the operator's order."""
+    say = lambda a, b: " ".join(f"w{i}" for i in range(a, b))
+    rows = [(3, say(0, 200)), (5, say(50, 180)), (5, say(1000, 1200)), (5, say(1100, 1150) + " end"), (9, say(1000, 1060)), (5, None), (5, say(50, 180)), (2, "short"), (None, say(0, 200)), (None, say(0, 200))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    order = df.filter("doc_id is not null").distinct().orderBy("doc_id", F.xxhash64(F.coalesce("text", F.lit("")))).collect()
+    want = brute({k: r["text"] for k, r in enumerate(order)})
+    per_row = {(r["doc_id"], r["text"]): want[k] for k, r in enumerate(order)}
+    alone = brute({0: say(0, 200)})[0]
+    got = sorted(((r[0], *tuple(r)[1:]) for r in f(df).collect()), key=repr)
+    assert got == sorted(((i, *(per_row[i, t] if i is not None else alone)) for i, t in rows), key=repr)
+
+
 def test_automaton():
     r = random.Random(5)
     for _ in range(40):

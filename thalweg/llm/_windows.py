@@ -28,6 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import shared
 from . import _text
 
 RUNS = "bucket int, gram array<bigint>, body array<bigint>, doc array<bigint>, start array<int>, n array<int>, copies array<int>"
@@ -216,6 +217,20 @@ def open_runs(runs: Runs) -> tuple[Runs, np.ndarray]:
     return {k: v[near] for k, v in runs.items()}, np.where(texts[near] > HOT, HOT_OPEN, OPEN)
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text) that have a doc_id, as (key, text): the doc_id itself; or, where a doc_id has unlike texts, (key, text, doc_id) with the place of (doc_id, text) in the order of doc_ids and fingerprints."""
+    known = docs.filter("doc_id is not null")
+    print_ = F.xxhash64(F.coalesce("text", F.lit("")))
+    several = known.select("doc_id", print_.alias("print")).groupBy("doc_id").agg(F.min("print").alias("low"), F.max("print").alias("high")).filter("low <> high")
+    if several.isEmpty():
+        return known.select(F.col("doc_id").alias("key"), "text")
+    told = known.withColumn("print", print_)
+    places = told.select("doc_id", "print").distinct().repartitionByRange("doc_id", "print").sortWithinPartitions("doc_id", "print")
+    # partitions are ranges in order, so these ids are in order too
+    places = shared.written(places.withColumn("key", F.monotonically_increasing_id()), "places")
+    return told.join(places, ["doc_id", "print"]).select("key", "text", "doc_id")
+
+
 def repeats(docs: DataFrame, tokens: Tokens, window: int, k: int, both: bool, bucket_fn: Callable, compare_fn: Callable, cut: Callable, finish: Callable, schema: str) -> DataFrame:
     """Run the passes over docs (doc_id, text).
 
@@ -226,14 +241,15 @@ def repeats(docs: DataFrame, tokens: Tokens, window: int, k: int, both: bool, bu
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     places = bucket_ids(spark, buckets)
-    found = _runs(docs.filter("doc_id is not null"), tokens, window, k, places, both).groupBy("bucket").applyInArrow(bucket_fn, MARKS)
+    known = keyed(docs)
+    found = _runs(known.select("key", "text"), tokens, window, k, places, both).groupBy("bucket").applyInArrow(bucket_fn, MARKS)
 
-    dealt = docs.repartition(buckets, "doc_id")
-    per_doc = lambda spans, *cols: spans.groupBy("doc_id").agg(F.collect_list(F.struct(*cols)).alias("spans"))
+    dealt = known.repartition(buckets, "key")
+    per_doc = lambda spans, *cols: spans.groupBy(F.col("doc_id").alias("key")).agg(F.collect_list(F.struct(*cols)).alias("spans"))
 
     def send_open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans = batch.column(2)
+            spans = batch.column("spans")
             bounds, flat = _bounds(spans), spans.flatten()
             ids = pc.fill_null(batch.column(0), 0).to_numpy()
             every = {x: flat.field(x).to_numpy(zero_copy_only=False) for x in ("start", "n", "gram", "state")}
@@ -252,12 +268,12 @@ def repeats(docs: DataFrame, tokens: Tokens, window: int, k: int, both: bool, bu
 
     wanted = per_doc(found.filter(F.col("state") != SETTLED), "start", "n", "gram", "state")
     # a left join, as below: both read one exchange of the documents
-    compared = dealt.join(wanted, "doc_id", "left").mapInArrow(send_open, TEXTS).groupBy("bucket").applyInArrow(lambda t: _compared(t, bucket_fn, compare_fn), SPANS)
+    compared = dealt.join(wanted, "key", "left").mapInArrow(send_open, TEXTS).groupBy("bucket").applyInArrow(lambda t: _compared(t, bucket_fn, compare_fn), SPANS)
     spans = per_doc(found.filter(F.col("state") == SETTLED).select("doc_id", "start", "n").unionByName(compared), "start", "n")
 
     def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, spans = batch.column(0).to_pylist(), batch.column(2)
+            ids, spans = batch.column("doc_id" if "doc_id" in batch.schema.names else "key").to_pylist(), batch.column("spans")
             bounds, flat = _bounds(spans), spans.flatten()
             start, n = (flat.field(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in ("start", "n"))
             for first, end, data, offsets in _text.pieces(batch.column(1)):
@@ -265,7 +281,9 @@ def repeats(docs: DataFrame, tokens: Tokens, window: int, k: int, both: bool, bu
                 yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
     arrow = finish(None, np.zeros(0, np.uint8), np.zeros(0, int), np.zeros(0, int), schema_only=True)
-    return dealt.join(spans, "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(last, schema)
+    # rows without doc_id are in no match and go nowhere
+    alone = docs.filter("doc_id is null").select(F.col("doc_id").alias("key"), "text", F.lit(None).cast("array<struct<start: int, n: int>>").alias("spans"))
+    return dealt.join(spans, "key", "left").mapInArrow(last, schema).union(alone.mapInArrow(last, schema))
 
 
 def _bounds(lists: pa.ListArray) -> np.ndarray:

@@ -10,8 +10,9 @@ few k-grams with more texts than a shard takes are counted by the fingerprints
 of their windows instead, spread over all tasks.
 
 Defined results: a null text has no words; rows without doc_id take part in no
-match and are returned whole; rows that repeat a doc_id are one document, whose
-decisions hold for each of the rows; of equal windows none stays; a text of any
+match and are returned whole; rows that repeat a doc_id and its text are one
+document, whose decisions hold for each of the rows; unlike texts of one doc_id
+are documents of their own; of equal windows none stays; a text of any
 length is worked on in stretches of a million words, at some thirty times its
 size of a task's memory in all; extra columns are ignored; an empty table gives
 an empty result.

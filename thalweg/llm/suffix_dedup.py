@@ -12,9 +12,12 @@ the suffixes whose whole run was seen earlier, and those that share a prefix
 but differ further on; the latter are compared byte by byte.
 
 Defined results: a null text is empty; rows without doc_id take part in no
-match and are returned whole; rows that repeat a doc_id are one document, whose
-decisions hold for each of the rows; extra columns are ignored; an empty table
-gives an empty result.
+match and are returned whole; rows that repeat a doc_id and its text are one
+document, whose decisions hold for each of the rows; unlike texts of one doc_id
+are documents of their own, in the order of a fingerprint; of equal strings the
+one that starts first stays; a text of any length is worked on in stretches of a
+million bytes, at some twenty times its size of a task's memory in all; extra
+columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
