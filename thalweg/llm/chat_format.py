@@ -65,13 +65,15 @@ def _ancestors(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
     known = nodes.join(parents, F.col("tree").eqNullSafe(F.col("t")) & (F.col("parent") == F.col("p")), "left")
     at = shared.written(known.select("tree", "id", F.col("p").alias("up"), F.col("score").alias("total"), F.lit(1).cast("bigint").alias("steps")), "jumps")
     n, tables = at.count(), []
-    # a message that still has an ancestor more than n steps up is on a cycle or below one
-    while 1 << len(tables) <= max(n, 1) and not at.filter("up is not null").isEmpty():
-        tables.append(at.filter("up is not null").select("tree", "id", "up"))
-        above = at.select(F.col("tree").alias("t"), F.col("id").alias("i"), F.col("up").alias("u"), F.col("total").alias("more"), F.col("steps").alias("far"))
-        joined = at.join(above, F.col("tree").eqNullSafe(F.col("t")) & (F.col("up") == F.col("i")), "left")
-        at = shared.written(joined.select("tree", "id", F.col("u").alias("up"), (F.col("total") + F.coalesce("more", F.lit(0.0))).alias("total"), (F.col("steps") + F.coalesce("far", F.lit(0))).alias("steps")), "jumps")
-    return tables, at.filter("up is null").drop("up")
+    over, rest = at.filter("up is null"), at.filter("up is not null")
+    # only messages that have not met their root are joined again; one that has an ancestor more than n steps up is on a cycle or below one
+    while 1 << len(tables) <= n and not rest.isEmpty():
+        tables.append(rest.select("tree", "id", "up"))
+        above = over.union(rest).select(F.col("tree").alias("t"), F.col("id").alias("i"), F.col("up").alias("u"), F.col("total").alias("more"), F.col("steps").alias("far"))
+        joined = rest.join(above, F.col("tree").eqNullSafe(F.col("t")) & (F.col("up") == F.col("i")))
+        now = shared.written(joined.select("tree", "id", F.col("u").alias("up"), (F.col("total") + F.col("more")).alias("total"), (F.col("steps") + F.col("far")).alias("steps")), "jumps")
+        over, rest = over.union(now.filter("up is null")), now.filter("up is not null")
+    return tables, over.drop("up")
 
 
 def paths(messages: DataFrame, branches: int | None = None) -> DataFrame:
