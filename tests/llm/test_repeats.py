@@ -88,6 +88,25 @@ def test_hot_gram(spark, f, brute, monkeypatch):
     assert {r[0]: tuple(r)[1:] for r in rows} == brute(docs)
 
 
+@pytest.mark.parametrize("f, brute, tokens, window, k, both", [(suffix_dedup, brute_bytes, _windows.byte_tokens, 100, 32, False), (substring_dedup, brute_words, _windows.word_tokens, 35, 12, True)])
+def test_frequent_line_is_spread(spark, f, brute, tokens, window, k, both):
+    """A line that a third of the texts continue in their own ways, and a text that many repeat: no bucket has more than twice the mean, and the result is that of brute force."""
+    r = random.Random(3)
+    say = lambda n: " ".join(f"u{r.randrange(10**6)}" for _ in range(n))
+    line, same = say(60), say(90)
+    docs = {d: f"{say(20)} {line} {say(30)}" if d % 3 == 0 else same if d % 3 == 1 else say(70) for d in range(1500)}
+    df = spark.createDataFrame(list(docs.items()), "doc_id bigint, text string").repartition(3)
+    rows = df.select(F.col("doc_id").alias("key"), "text")
+    frequent = _windows.frequent_grams(rows, len(docs), tokens, window, k, 16)
+    assert 0 < len(frequent) < 50
+    ids = _windows.bucket_ids(spark, 16)
+    size = {n: 0 for n in ids.tolist()}
+    for x in _windows._runs(rows, tokens, window, k, ids, both, frequent).select("bucket", F.size(F.filter("copies", lambda c: c > 0)).alias("n")).collect():
+        size[x["bucket"]] += x["n"]
+    assert max(size.values()) <= 2 * sum(size.values()) / len(size)
+    assert {x[0]: tuple(x)[1:] for x in f(df).collect()} == brute(docs)
+
+
 def test_bucket_ids(spark):
     ids = _windows.bucket_ids(spark, 31).tolist()
     assert len(set(ids)) == 31

@@ -11,7 +11,10 @@ whose anchor k-gram is equal need to be compared. The passes:
 3. the text of open runs, and of no others, is dealt by k-gram and compared
    window by window. Where a k-gram has more than HOT texts (a line that
    very many documents continue in their own ways), its windows are dealt one
-   by one by their fingerprints instead, and no task gets them all.
+   by one by their fingerprints instead, and no task gets them all. K-grams so
+   frequent that their runs would not fit beside others in a bucket are found in
+   a sample first; their runs are dealt by their whole texts in the second pass.
+   Which ones those are changes the way of their runs, not the result.
 
 Runs with equal text inside one task's piece of input are settled there, so a
 text that fills a third of the corpus reaches its bucket once per piece.
@@ -42,6 +45,8 @@ TEXTS = RUNS + ", texts array<binary>"
 SPANS = "doc_id bigint, start int, n int"
 #: Runs that a task keeps before it settles and sends them.
 FLUSH = 1 << 19
+#: Bytes of text for each bucket; documents that frequent k-grams are looked for in, about; least texts of one, and its share of them.
+BUCKET_BYTES, SAMPLED, FREQUENT, FREQUENT_SHARE = 1 << 25, 100_000, 8, 1 / 256
 
 COLUMNS = {"gram": np.int64, "body": np.int64, "doc": np.int64, "start": np.int32, "n": np.int32, "copies": np.int32}
 
@@ -141,9 +146,9 @@ def _joined(runs: Runs) -> Runs:
 def bucket_ids(spark: SparkSession, n: int) -> np.ndarray:
     """n bucket ids that hash partitioning puts into n different partitions, so that no task gets several buckets and others none."""
     ids = spark.range(64 * n).select(F.col("id").cast("int").alias("id"))
-    rows = ids.groupBy(F.pmod(F.hash("id"), F.lit(n)).alias("part")).agg(F.min("id").alias("id")).collect()  # n rows at most
+    rows = ids.groupBy(F.pmod(F.hash("id"), F.lit(n)).alias("part")).agg(F.min("id").alias("id")).toPandas()  # n rows at most
     out = np.arange(64 * n, 65 * n, dtype=np.int32)
-    out[[r["part"] for r in rows]] = [r["id"] for r in rows]
+    out[rows["part"]] = rows["id"]
     return out
 
 
@@ -151,11 +156,20 @@ def _bucket_of(prints: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return ids[(prints.astype(np.uint64) % np.uint64(len(ids))).astype(np.int64)]
 
 
-def _send(runs: Runs, ids: np.ndarray, both: bool) -> pa.RecordBatch:
-    """What is settled here (all but the first of each text; with `both` the first as well) goes along under a bucket of its document, with copies 0."""
+def _among(grams: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    """Which of grams (signed or not) are in a sorted table of signed ones."""
+    return np.isin(grams.astype(np.int64), frequent) if len(frequent) else np.zeros(len(grams), bool)
+
+
+NONE = np.zeros(0, np.int64)
+
+
+def _send(runs: Runs, ids: np.ndarray, both: bool, frequent: np.ndarray = NONE) -> pa.RecordBatch:
+    """Runs of frequent grams go by their texts. What is settled here (all but the first of each text; with `both` the first as well) goes along under a bucket of its document, with copies 0."""
     kept, others = settle(sort_runs(runs))
     done = _joined(concat([others] if not both else [others, {k: v[kept["copies"] > 1] for k, v in kept.items()}]))
-    bucket = np.concatenate([_bucket_of(kept["gram"], ids), _bucket_of(_text.mix(done["doc"].astype(np.uint64)), ids)])
+    by_text = _among(kept["gram"], frequent)
+    bucket = np.concatenate([_bucket_of(np.where(by_text, _text.mix(kept["body"].astype(np.uint64)), kept["gram"].astype(np.uint64)), ids), _bucket_of(_text.mix(done["doc"].astype(np.uint64)), ids)])
     done["copies"] = np.zeros(len(done["doc"]), np.int32)
     return _rows(bucket, concat([kept, done]))
 
@@ -172,7 +186,7 @@ def word_tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return _text.word_hashes(data, starts, ends), bounds
 
 
-def _runs(docs: DataFrame, tokens: Tokens, window: int, k: int, bucket_ids: np.ndarray, both: bool) -> DataFrame:
+def _runs(docs: DataFrame, tokens: Tokens, window: int, k: int, bucket_ids: np.ndarray, both: bool, frequent: np.ndarray = NONE) -> DataFrame:
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, count = [], 0
         for batch in batches:
@@ -184,10 +198,10 @@ def _runs(docs: DataFrame, tokens: Tokens, window: int, k: int, bucket_ids: np.n
                     held.append(runs)
                     count += len(runs["n"])
                 if count > FLUSH:
-                    yield _send(concat(held), bucket_ids, both).drop_columns("texts")
+                    yield _send(concat(held), bucket_ids, both, frequent).drop_columns("texts")
                     held, count = [], 0
         if held:
-            yield _send(concat(held), bucket_ids, both).drop_columns("texts")
+            yield _send(concat(held), bucket_ids, both, frequent).drop_columns("texts")
 
     return docs.mapInArrow(deal, RUNS)
 
@@ -207,14 +221,15 @@ def marks(parts: list[tuple[Runs, np.ndarray | int]]) -> pa.Table:
     )
 
 
-def open_runs(runs: Runs) -> tuple[Runs, np.ndarray]:
-    """Of sorted runs with distinct texts, those whose gram another text has too, and their states."""
+def open_runs(runs: Runs, frequent: np.ndarray) -> tuple[Runs, np.ndarray]:
+    """Of sorted runs with distinct texts, those whose gram another text has too, here or (of frequent grams) in another bucket, and their states."""
     gram = runs["gram"]
     heads = np.flatnonzero(np.r_[True, np.diff(gram) != 0]) if len(gram) else np.zeros(0, int)
     texts = np.diff(np.r_[heads, len(gram)])
     texts = np.repeat(texts, texts)
-    near = texts > 1
-    return {k: v[near] for k, v in runs.items()}, np.where(texts[near] > HOT, HOT_OPEN, OPEN)
+    often = _among(gram, frequent)
+    near = (texts > 1) | often
+    return {k: v[near] for k, v in runs.items()}, np.where((texts[near] > HOT) | often[near], HOT_OPEN, OPEN)
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -231,18 +246,37 @@ def keyed(docs: DataFrame) -> DataFrame:
     return told.join(places, ["doc_id", "print"]).select("key", "text", "doc_id")
 
 
+def frequent_grams(docs: DataFrame, n: int, tokens: Tokens, window: int, k: int, buckets: int) -> np.ndarray:
+    """Anchors that a share of n documents (key, text) continue in their own ways, by a sample of SAMPLED documents: no more than the sample has runs for each of FREQUENT texts, or 1 / FREQUENT_SHARE times a document's runs."""
+    part = max(1, n // SAMPLED)
+    sample = docs.select("key", "text").filter(F.pmod(F.xxhash64("key"), F.lit(part)) == 0)
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, data, offsets in _text.pieces(batch.column(1)):
+                found = runs_of(*tokens(data, offsets), window, k)
+                yield pa.RecordBatch.from_arrays([pa.array(found["gram"].astype(np.int64)), pa.array(found["body"].astype(np.int64))], ["gram", "body"])
+
+    texts = shared.written(sample.mapInArrow(runs, "gram bigint, body bigint").distinct().groupBy("gram").agg(F.count("*").alias("n")).filter(F.col("n") >= FREQUENT), "grams")
+    total = texts.agg(F.sum("n")).first()[0] or 0
+    least = max(FREQUENT, min(n / part * FREQUENT_SHARE, total / buckets))
+    return np.sort(texts.filter(F.col("n") >= least).select("gram").toPandas()["gram"].to_numpy(np.int64))
+
+
 def repeats(docs: DataFrame, tokens: Tokens, window: int, k: int, both: bool, bucket_fn: Callable, compare_fn: Callable, cut: Callable, finish: Callable, schema: str) -> DataFrame:
     """Run the passes over docs (doc_id, text).
 
-    bucket_fn(table) -> MARKS of a bucket; cut(data, start, n) -> the bytes of
+    bucket_fn(table, frequent grams) -> MARKS of a bucket; cut(data, start, n) -> the bytes of
     an open run; compare_fn(table) -> SPANS; finish(text bytes, spans) -> row.
     """
     spark = docs.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    places = bucket_ids(spark, buckets)
     known = keyed(docs)
-    found = _runs(known.select("key", "text"), tokens, window, k, places, both).groupBy("bucket").applyInArrow(bucket_fn, MARKS)
+    size = known.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), (size["bytes"] or 0) // BUCKET_BYTES)
+    places = bucket_ids(spark, buckets)
+    frequent = frequent_grams(known, size["n"], tokens, window, k, buckets)
+    found = _runs(known.select("key", "text"), tokens, window, k, places, both, frequent).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(lambda t: bucket_fn(t, frequent), MARKS)
 
     dealt = known.repartition(buckets, "key")
     per_doc = lambda spans, *cols: spans.groupBy(F.col("doc_id").alias("key")).agg(F.collect_list(F.struct(*cols)).alias("spans"))
@@ -268,7 +302,7 @@ def repeats(docs: DataFrame, tokens: Tokens, window: int, k: int, both: bool, bu
 
     wanted = per_doc(found.filter(F.col("state") != SETTLED), "start", "n", "gram", "state")
     # a left join, as below: both read one exchange of the documents
-    compared = dealt.join(wanted, "key", "left").mapInArrow(send_open, TEXTS).groupBy("bucket").applyInArrow(lambda t: _compared(t, bucket_fn, compare_fn), SPANS)
+    compared = dealt.join(wanted, "key", "left").mapInArrow(send_open, TEXTS).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(lambda t: _compared(t, bucket_fn, compare_fn), SPANS)
     spans = per_doc(found.filter(F.col("state") == SETTLED).select("doc_id", "start", "n").unionByName(compared), "start", "n")
 
     def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -320,7 +354,7 @@ def _compared(table: pa.Table, bucket_fn: Callable, compare_fn: Callable) -> pa.
         flat = pa.table({"gram": flat["gram"], "doc_id": flat["doc"], "start": flat["start"], "n": flat["n"], "body": flat["texts"]})
         out.append(compare_fn(flat.sort_by([("gram", "ascending"), ("doc_id", "ascending"), ("start", "ascending")]).combine_chunks()))
     if texts.num_rows < table.num_rows:
-        found = bucket_fn(table.filter(alone))
+        found = bucket_fn(table.filter(alone), NONE)
         out.append(found.filter(pc.equal(found["state"], SETTLED)).select(["doc_id", "start", "n"]))
     return pa.concat_tables(out)
 

@@ -94,14 +94,14 @@ class SuffixAutomaton:
         return out
 
 
-def _bucket(table: pa.Table) -> pa.Table:
+def _bucket(table: pa.Table, frequent: np.ndarray) -> pa.Table:
     out, live = [], []
     for batch in _windows.batches_of(table):
         out.append((batch.pop("done"), _windows.SETTLED))
         live.append(batch)
     kept, others = _windows.settle(_windows.sort_runs(_windows.concat(live)))
     several = kept["copies"] > 1
-    out += [(others, _windows.SETTLED), ({k: v[several] for k, v in kept.items()}, _windows.SETTLED), _windows.open_runs(kept)]
+    out += [(others, _windows.SETTLED), ({k: v[several] for k, v in kept.items()}, _windows.SETTLED), _windows.open_runs(kept, frequent)]
     return _windows.marks(out)
 
 

@@ -66,14 +66,14 @@ class SuffixLevels:
         return _windows.settle(_windows.sort_runs(_windows.concat([a, b])))
 
 
-def _bucket(table: pa.Table) -> pa.Table:
+def _bucket(table: pa.Table, frequent: np.ndarray) -> pa.Table:
     family, out = SuffixLevels(), []
     for batch in _windows.batches_of(table):
         out.append((batch.pop("done"), _windows.SETTLED))
         out += [(x, _windows.SETTLED) for x in family.add(batch)]
     index, later = family.finish()
     out += [(x, _windows.SETTLED) for x in later]
-    return _windows.marks([*out, _windows.open_runs(index)])
+    return _windows.marks([*out, _windows.open_runs(index, frequent)])
 
 
 def _cut(data, offsets, rows, start, n) -> list[bytes]:
