@@ -35,7 +35,64 @@ def test_toxicity_held_out(spark):
     rows = toxicity.score(docs, lexicon).join(labels, "doc_id").filter(toxicity.fold_of() == 2).select("toxic", "toxicity").collect()
     hit = [r for r in rows if r.toxicity >= toxicity.THRESHOLD]
     toxic = [r for r in rows if r.toxic == 1]
-    assert len(toxic) > 3 and sum(r.toxic for r in hit) >= 0.8 * len(hit) and sum(r.toxic for r in hit) >= 0.75 * len(toxic)
+    # a floor set before these rows were looked at with the parameters as they are
+    assert len(toxic) > 3 and sum(r.toxic for r in hit) >= 0.7 * len(hit) and sum(r.toxic for r in hit) >= 0.6 * len(toxic)
+
+
+def plain_lexicon(rows, min_docs, precision, weight):
+    """The lexicon of unlike texts [(text, toxic)] by plain counts: terms, their share of toxic texts, their chance, and longer entries that say as much."""
+    n = {k: sum(t == k for _, t in rows) for k in (0, 1)}
+    count = {}
+    for text, toxic in rows:
+        found = set()
+        for word in re.findall(r"[^\W_]+", toxicity.fold(text)):
+            if len(word) > 2:
+                found.add("=" + word)
+            for size in (4, 5, 6, 7):
+                if size < len(word):
+                    found.add("^" + word[:size])
+        for term in found:
+            count.setdefault(term, [0, 0])[toxic] += 1
+    often = {t: (b, a) for t, (a, b) in count.items() if b >= min_docs}  # toxic, clean
+    sure = {}
+    for term, (a, b) in often.items():
+        expected = (a + b) * n[1] / (n[0] + n[1])
+        if a >= precision * (a + b) and a * math.log(expected / a) + a - expected < -math.log(20 * len(often)):
+            sure[term] = (a, b)
+    kept = {t: x for t, x in sure.items() if not any(u != t and u[1:].startswith(t[1:]) and sure[u][0] >= 0.9 * x[0] and sure[u][1] < x[1] for u in sure)}
+    return {t: weight * (math.log((a + 0.5) / (n[1] + 1)) - math.log((b + 0.5) / (n[0] + 1))) for t, (a, b) in kept.items()}
+
+
+def test_toxicity_learning_against_plain_counts(spark):
+    r = random.Random(12)
+    common = [f"word{'abcdefgh'[i % 8]}{i}" for i in range(150)]
+    bad = ["scoundrel", "scoundrels", "Knave", "v1lla1n", "rotter"]
+    rows = []
+    for i in range(600):
+        toxic = int(i % 4 == 0)
+        words = [r.choice(common) for _ in range(r.randint(8, 30))] + [f"only{i}x{k}" for k in range(3)]
+        if toxic or r.random() < 0.02:
+            words += [r.choice(bad) for _ in range(r.randint(1, 3))]
+        r.shuffle(words)
+        rows.append((" ".join(words), toxic))
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, k) for i, (_, k) in enumerate(rows)], "doc_id bigint, toxic int")
+    got = toxicity.learn_lexicon(docs, labels)
+    want = plain_lexicon(rows, toxicity.MIN_DOCS, toxicity.MIN_PRECISION, toxicity.WEIGHT)
+    assert got.keys() == want.keys() and len(got) >= 4
+    assert all(got[t] == pytest.approx(want[t], abs=1e-6) for t in got)
+
+
+def test_toxicity_parameters_are_chosen_without_held_out_rows(spark, capsys):
+    """Cross-validation over remainders 0, 1 and 3: the parameters in the code are among the best of a grid; rows of remainder 2 are never read."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    # whatever the held-out labels say, nothing changes
+    spoiled = labels.withColumn("toxic", F.when(toxicity.fold_of() == 2, F.lit(1) - F.col("toxic")).otherwise(F.col("toxic")))
+    f1 = toxicity.cross_validated(docs, spoiled, (0, 1, 3), *toxicity.GRID)
+    with capsys.disabled():
+        for k, x in sorted(f1.items(), key=lambda kv: -kv[1])[:5]:
+            print(f"\n  precision, weight, length {k}: F1 {x:.4f} over remainders 0, 1, 3 of sf0.1", end="")
+    assert f1[toxicity.MIN_PRECISION, toxicity.WEIGHT, toxicity.LENGTH] >= max(f1.values()) - 0.03
 
 
 def test_toxicity_edges(spark):
