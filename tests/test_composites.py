@@ -137,14 +137,14 @@ def test_spline_weights():
     assert len(focal.spline_row(np.zeros(40_000), 40_000)) == 40_000  # no system of that size is solved
 
 
-def test_fill_gaps(spark):
+def test_fill_lines(spark):
     a = [[1.0, None, 3.0], [None, None, None], [5.0, 6.0, 7.0]]
-    got = grid(focal.fill_gaps(raster(spark, a)), (3, 3))
+    got = grid(focal.fill_lines(raster(spark, a)), (3, 3))
     assert got[0].tolist() == [1, 2, 3] and got[1, 0] == 3 and got[1, 2] == 5 and np.isnan(got[1, 1])
     plane = np.add.outer(np.arange(6.0), 2 * np.arange(7.0))
     holes = plane.copy()
     holes[2, 2:4] = holes[4, 5] = np.nan
-    assert np.allclose(grid(focal.fill_gaps(made(spark, holes).px), (6, 7)), plane)
+    assert np.allclose(grid(focal.fill_lines(made(spark, holes).px), (6, 7)), plane)
     spline = grid(focal.resize(made(spark, holes).px, (6, 7), (11, 13), "spline"), (11, 13))
     assert np.nanmax(np.abs(spline - np.add.outer(np.arange(11) / 2, np.arange(13)))) < 0.5
     with pytest.raises(ValueError):

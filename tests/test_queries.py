@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 
 import __spark_entry__
-from thalweg.plans import workflows  # noqa: F401
+from thalweg.plans import scenes, workflows  # noqa: F401
 from thalweg.plans.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"

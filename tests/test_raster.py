@@ -303,7 +303,7 @@ def test_template(spark):
     t = image[12:18, 9:14]
     best = vision.best_match(vision.match_scores(raster(spark, t.tolist()), raster(spark, image.tolist()), 40, 30, 6, 5)).first()
     assert (best.dr, best.dc) == (12, 9) and best.score == pytest.approx(1) and best.confident
-    found = max(vision.match_chunks(t, raster(spark, image.tolist()), 16, 40, 30).collect(), key=lambda x: x.score)
+    found = max(vision.best_offsets(raster(spark, t.tolist()), raster(spark, image.tolist()), 40, 30, 6, 5, 16, 0.1).collect(), key=lambda x: x.score)
     assert (found.dr, found.dc) == (12, 9) and found.score == pytest.approx(1)
 
 

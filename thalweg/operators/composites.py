@@ -17,8 +17,10 @@ from pyspark.sql import functions as F
 from ..functions import algebra as A
 from ..functions import grid as G
 from ..schema import RASTER_META
+from ..sources import blocks as stored
 from ..sources import files as sources
-from . import focal, geostat, joins, stats, validate, vision, warp
+from ..sources import geotiff
+from . import blockwise, focal, geostat, joins, stats, validate, vision, warp
 
 
 @dataclass(frozen=True)
@@ -42,6 +44,31 @@ class Raster:
         return self.px.sparkSession.createDataFrame([(raster_id, self.width, self.height, tuple(map(float, self.transform)), self.crs, A.NODATA, "float32", self.bounds)], RASTER_META)
 
 
+def save_raster(raster: Raster, path: str, tile: int = 256, raster_id: str = "raster", mode: str = "overwrite", **options) -> None:
+    """K1, K3: a raster of any size as one tiled GeoTIFF, compressed by as many tasks as it has blocks."""
+    grid = blockwise.Grid(raster.height, raster.width, tile)
+    code = raster.crs.removeprefix("EPSG:")
+    blocks = blockwise.raster_blocks(blockwise.pack(raster.px, grid), grid, raster_id)
+    geotiff.save(blocks, path, raster.height, raster.width, tile, raster.transform, mode, epsg=int(code) if code.isdigit() else None, **options)
+
+
+def load_raster(spark: SparkSession, path: str, band: int = 1, window: tuple[int, int, int, int] | None = None) -> Raster:
+    """A band of a GeoTIFF, or its window (row0, col0, row1, col1), whose strips and tiles alone are read."""
+    geotiff.register(spark)
+    m = geotiff.described(path)
+    blocks = spark.read.format("geotiff").load(path).filter(F.col("band") == band)
+    transform, height, width = m["transform"], m["height"], m["width"]
+    if window is not None:
+        r0, c0, r1, c1 = window
+        r1, c1 = min(r1, height), min(c1, width)
+        blocks = blocks.filter((F.col("row0") < r1) & (F.col("col0") < c1) & (F.col("row0") + F.col("h") > r0) & (F.col("col0") + F.col("w") > c0))
+        transform, height, width = G.window_transform(transform, c0, r0), r1 - r0, c1 - c0
+        px = stored.pixels(blocks, (r0, c0, r1, c1)).select((F.col("row") - r0).cast("bigint").alias("r"), (F.col("col") - c0).cast("bigint").alias("c"), F.col("value").cast("double").alias("v"))
+    else:
+        px = stored.pixels(blocks).select(F.col("row").cast("bigint").alias("r"), F.col("col").cast("bigint").alias("c"), F.col("value").cast("double").alias("v"))
+    return Raster(px, height, width, transform, m["crs"] or "")
+
+
 def read_window(raster: Raster, bounds: tuple[float, float, float, float], shape: tuple[int, int] | None = None, method: str = "bilinear") -> Raster:
     """The snapped window of world bounds, resampled to `shape` (rows, columns) where it has another; pixels beyond the raster are missing."""
     a, _, c, _, e, f = raster.transform
@@ -53,15 +80,10 @@ def read_window(raster: Raster, bounds: tuple[float, float, float, float], shape
     out = Raster(inside, h, w, G.window_transform(raster.transform, c0, r0), raster.crs)
     if shape is None or shape == (h, w):
         return out
-    places = raster.px.sparkSession.range(h * w).select(F.floor(F.col("id") / w).cast("bigint").alias("r"), (F.col("id") % w).alias("c"))
-    full = places.join(inside, ["r", "c"], "left")  # P39: resampling needs every place
-    return Raster(focal.resize(full, (h, w), shape, method), *shape, G.transform_of_bounds(*out.bounds, shape[1], shape[0]), raster.crs)
+    return Raster(focal.resize(inside, (h, w), shape, method), *shape, G.transform_of_bounds(*out.bounds, shape[1], shape[0]), raster.crs)
 
 
-def on_grid(px: DataFrame, height: int, width: int) -> DataFrame:
-    """Values put back into a dense grid, missing where there is none."""
-    places = px.sparkSession.range(height * width).select(F.floor(F.col("id") / width).cast("bigint").alias("r"), (F.col("id") % width).alias("c"))
-    return places.join(px, ["r", "c"], "left")
+on_grid = focal.dense
 
 
 # tile depth
@@ -117,15 +139,32 @@ def georeference(tile: Column, width: int, transform: tuple, size: int = G.TILE,
     return [x.alias(n) for x, n in ((row, "pixel_row"), (col, "pixel_col"), (left, "left"), (bottom, "bottom"), (right, "right"), (top, "top"))]
 
 
-def tile_at(image: Raster, template: DataFrame, size: tuple[int, int], search: tuple[int, int, int, int] | None = None) -> DataFrame:
-    """The offset (dr, dc, score, confident) of a tile's gray pixels in an image, or in a part of it (row0, col0, row1, col1)."""
-    px, r0, c0, h, w = image.px, 0, 0, image.height, image.width
-    if search is not None:
-        r0, c0, r1, c1 = search
-        h, w = r1 - r0, c1 - c0
-        px = px.filter(F.col("r").between(r0, r1 - 1) & F.col("c").between(c0, c1 - 1)).select((F.col("r") - r0).alias("r"), (F.col("c") - c0).alias("c"), "v")
-    best = vision.best_match(vision.match_scores(template, px, h, w, *size))
-    return best.withColumns({"dr": F.col("dr") + r0, "dc": F.col("dc") + c0})
+def tile_at(image: Raster, template: DataFrame, size: tuple[int, int], search: tuple[int, int, int, int] | None = None, pyramid: int | None = None, warn: float = 0.7) -> DataFrame:
+    """The offset (dr, dc, score, confident) of a tile's gray pixels in an image, or in a part of it (row0, col0, row1, col1).
+
+    Every offset is tried, chunk by chunk by FFT. With `pyramid` only those are
+    that lie within so many pixels of the best offsets of the image in means of
+    pyramid x pyramid: faster, and exact unless the tile is lost in the means.
+    """
+    r0, c0, r1, c1 = search or (0, 0, image.height, image.width)
+
+    def part(a: int, x: int, b: int, y: int) -> tuple[DataFrame, int, int]:
+        a, x, b, y = max(a, r0), max(x, c0), min(b, r1), min(y, c1)
+        inside = image.px.filter(F.col("r").between(a, b - 1) & F.col("c").between(x, y - 1))
+        return inside.select((F.col("r") - a).alias("r"), (F.col("c") - x).alias("c"), "v"), b - a, y - x
+
+    def shifted(scores: DataFrame, a: int, x: int) -> DataFrame:
+        return scores.withColumns({"dr": F.col("dr") + a, "dc": F.col("dc") + x})
+
+    if pyramid is None:
+        found = shifted(vision.best_offsets(template, *part(r0, c0, r1, c1), *size), r0, c0)
+    else:
+        near = vision.coarse_candidates(template, *part(r0, c0, r1, c1), *size, pyramid)
+        found = image.px.sparkSession.createDataFrame([], vision.SCORES)
+        for dr, dc in near:
+            a, x = max(r0 + dr - pyramid, r0), max(c0 + dc - pyramid, c0)
+            found = found.union(shifted(vision.best_offsets(template, *part(a, x, r0 + dr + pyramid + size[0], c0 + dc + pyramid + size[1]), *size), a, x))
+    return vision.best_match(found, warn)
 
 
 def single_tile(mask: DataFrame, dsm: Raster, dtm: Raster, position: tuple[int, int], grid: Raster, size: int = G.TILE, ceiling: float = 10.0) -> tuple[DataFrame, DataFrame]:
@@ -403,7 +442,7 @@ def preflight(manifest: DataFrame, files: DataFrame, rasters: dict[str, Raster],
 def compare_methods(px: DataFrame, n_methods: int, reference: str) -> tuple[DataFrame, DataFrame]:
     """Statistics of each method on the pixels valid in all, and of each against the reference."""
     common = joins.common_pixels(px, n_methods)
-    each = common.groupBy("method").agg(*stats.summary("v"))
+    each = stats.summary(common, "v", "method")
     d = F.col("v") - F.col("ref")
     pairs = joins.against_reference(common, reference).groupBy("method").agg(F.count("*").alias("n"), A.tidy(F.avg(d)).alias("mean_diff"), A.tidy(F.stddev_pop(d)).alias("std_diff"), A.tidy(F.sqrt(F.avg(d * d))).alias("rmse"), A.tidy(F.max(F.abs(d))).alias("max_abs"), A.tidy(stats.safe_corr("v", "ref")).alias("correlation"))
     return each, pairs

@@ -83,6 +83,16 @@ def mosaic_first(px: DataFrame) -> DataFrame:
     return px.filter(F.col("v").isNotNull()).groupBy("r", "c").agg(F.min_by("v", "file_rank").alias("v"), F.min("file_rank").alias("file_rank"))
 
 
+def candidate_tiles(centres: DataFrame, others: DataFrame, rows: int, cols: int, reach: int = 5) -> DataFrame:
+    """The tiles (tile) within `reach` rows and columns of numbers about each centre that are in the grid, and others, once each.
+
+    As tile numbers are counted on, a neighbour beyond the end of a row is the next row's first tile.
+    """
+    around = F.sequence(F.lit(-reach), F.lit(reach))
+    near = centres.withColumn("i", F.explode(around)).withColumn("j", F.explode(around)).select((F.col("tile") + F.col("i") * cols + F.col("j")).cast("bigint").alias("tile"))
+    return near.filter(F.col("tile").between(0, rows * cols - 1)).union(others.select(F.col("tile").cast("bigint"))).distinct()
+
+
 def file_pairs(images: DataFrame, masks: DataFrame) -> DataFrame:
     """One image and one mask a tile, the last by name (R10), and how many there were."""
     one = lambda f, name: f.groupBy("tile_num").agg(F.max("file").alias(name), F.count("*").alias(f"n_{name}"))

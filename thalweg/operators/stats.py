@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .. import shared
 from ..functions.algebra import physical, share, tidy
 
 
@@ -105,24 +108,102 @@ def error_metrics(d: Column) -> list[Column]:
     return [F.count(d).alias("n"), tidy(F.avg(d)).alias("bias"), tidy(F.avg(F.abs(d))).alias("mae"), tidy(F.sqrt(F.avg(d * d))).alias("rmse"), tidy(F.stddev_pop(d)).alias("std"), tidy(F.min(d)).alias("min_diff"), tidy(F.max(d)).alias("max_diff")]
 
 
-def summary(v: str) -> list[Column]:
-    """A4."""
+def summary(df: DataFrame, v: str, by: str | None = None) -> DataFrame:
+    """A4: one row, or one for each class of `by`; medians by quantiles()."""
     c = F.col(v)
-    return [F.count(c).alias("n"), tidy(F.min(c)).alias("min_value"), tidy(F.max(c)).alias("max_value"), tidy(F.avg(c)).alias("mean"), tidy(F.stddev_pop(c)).alias("std"), tidy(F.median(c)).alias("median")]
+    medians = {k: x for k, (_, (x,)) in quantiles(df, v, (0.5,), by).items()}
+    median = F.coalesce(F.lit(None).cast("double"), *[F.when(F.col(by).eqNullSafe(F.lit(k)) if by else F.lit(True), F.lit(x)) for k, x in medians.items()])
+    rows = (df.groupBy(by) if by else df).agg(F.count(c).alias("n"), tidy(F.min(c)).alias("min_value"), tidy(F.max(c)).alias("max_value"), tidy(F.avg(c)).alias("mean"), tidy(F.stddev_pop(c)).alias("std"))
+    return rows.withColumn("median", tidy(median))
+
+
+#: Intervals that a round of selection cuts a range into, values that a task may hold of one, and classes that are selected for together.
+CELLS, HELD, CLASSES = 1024, 20_000, 64
+
+
+def _ranks(shares: tuple[float, ...], n: int) -> list[tuple[int, int, float]]:
+    """For each share the two places (from 0) between which the quantile lies, and how far."""
+    out = []
+    for q in shares:
+        at = q * (n - 1)
+        low = int(math.floor(at))
+        out.append((low, min(low + 1, n - 1), at - low))
+    return out
+
+
+def quantiles(df: DataFrame, v: str, shares: tuple[float, ...], by: str | None = None) -> dict:
+    """A5: {class: (n, [value of each share])}, exact and linear; without `by` the class is None.
+
+    Selection in rounds: values are counted in CELLS equal intervals, those that
+    hold a wanted place are cut again between their least and largest value,
+    until an interval has HELD values at most (which are then sorted) or one
+    value repeated. The driver sees counts of intervals and the few values
+    wanted; no task holds more than HELD values of an interval. `by` is for few
+    classes (methods, rasters), CLASSES at most. Null and NaN don't count;
+    infinite values raise.
+    """
+    value = F.col(v).cast("double")
+    kind = F.col(by) if by else F.lit(None).cast("string")
+    rows = df.select(kind.alias("kind"), value.alias("v")).filter(F.col("v").isNotNull() & ~F.isnan("v"))
+    first = rows.groupBy("kind").agg(F.count("v").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).limit(CLASSES + 1).collect()
+    if len(first) > CLASSES:
+        raise ValueError(f"more than {CLASSES} classes of {by}: aggregate by group instead")
+    if any(math.isinf(r["low"]) or math.isinf(r["high"]) for r in first):
+        raise ValueError(f"infinite values of {v}")
+    wanted = {r["kind"]: _ranks(shares, r["n"]) for r in first}
+    found: dict = {}  # (class, place) -> value
+    # class, least and largest value, how many values are below, how many within
+    spans = [(r["kind"], r["low"], r["high"], 0, r["n"]) for r in first]
+
+    def places(span: tuple) -> list[int]:
+        return sorted({p for low, high, _ in wanted[span[0]] for p in (low, high) if span[3] <= p < span[3] + span[4] and (span[0], p) not in found})
+
+    while spans:
+        wide, narrow = [], []
+        for s in spans:
+            if s[1] == s[2]:
+                found |= {(s[0], p): s[1] for p in places(s)}
+            elif places(s):
+                (wide if s[4] > HELD and s[2] - s[1] > 1e-300 else narrow).append(s)
+        inside = lambda some: F.coalesce(*[F.when(F.col("kind").eqNullSafe(F.lit(s[0])) & F.col("v").between(s[1], s[2]), F.lit(i)) for i, s in enumerate(some)])
+        if narrow:
+            cut = rows.withColumn("span", inside(narrow)).filter("span is not null").groupBy("span").agg(F.sort_array(F.collect_list("v")).alias("x"))
+            picks = F.array(*[F.array(*[F.lit(p - s[3]) for p in places(s)]) for s in narrow])
+            for r in cut.select("span", F.transform(F.element_at(picks, F.col("span") + 1), lambda i: F.get("x", i)).alias("x")).collect():
+                s = narrow[r["span"]]
+                found |= {(s[0], p): x for p, x in zip(places(s), r["x"], strict=True)}
+        spans = []
+        if wide:
+            # halves, so that no difference is infinite
+            lows, steps = (F.array(*[F.lit(float(x)) for x in xs]) for xs in ([s[1] / 2 for s in wide], [s[2] / CELLS / 2 - s[1] / CELLS / 2 for s in wide]))
+            at = F.floor((F.col("v") / 2 - F.element_at(lows, F.col("span") + 1)) / F.element_at(steps, F.col("span") + 1))
+            cells = rows.withColumn("span", inside(wide)).filter("span is not null").groupBy("span", F.least(at, F.lit(CELLS - 1)).alias("cell")).agg(F.count("v").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).collect()
+            for i, s in enumerate(wide):
+                below = s[3]
+                for r in sorted((r for r in cells if r["span"] == i), key=lambda r: r["cell"]):
+                    t = (s[0], r["low"], r["high"], below, r["n"])
+                    below += r["n"]
+                    if places(t):
+                        spans.append(t)
+    out = {}
+    for r in first:
+        x = [found[r["kind"], low] + (found[r["kind"], high] - found[r["kind"], low]) * part for low, high, part in wanted[r["kind"]]]
+        out[r["kind"]] = (r["n"], x)
+    return out
 
 
 def percentiles(df: DataFrame, v: str, pcts: tuple[int, ...]) -> DataFrame:
     """A5, exact and linear: a row for each percentile."""
-    got = df.agg(F.percentile(v, F.array(*[F.lit(p / 100) for p in pcts])).alias("p"))
-    return got.select(F.posexplode("p").alias("i", "value")).select(F.element_at(F.array(*[F.lit(p) for p in pcts]), F.col("i") + 1).alias("pct"), tidy(F.col("value")).alias("value"))
+    _, values = quantiles(df, v, tuple(p / 100 for p in pcts)).get(None, (0, [None] * len(pcts)))
+    return df.sparkSession.createDataFrame(list(zip(pcts, values, strict=True)), "pct int, value double").select("pct", tidy(F.col("value")).alias("value"))
 
 
 def iqr_outliers(df: DataFrame, v: str, k: float = 3.0) -> DataFrame:
-    """Two passes, the quartiles in a broadcast row."""
-    q = df.agg(F.percentile(v, F.array(F.lit(0.25), F.lit(0.75))).alias("q"))
-    low, high = F.col("q")[0], F.col("q")[1]
+    """The quartiles by selection, then one pass with them."""
+    _, (q1, q3) = quantiles(df, v, (0.25, 0.75)).get(None, (0, (None, None)))
+    low, high = F.lit(q1).cast("double"), F.lit(q3).cast("double")
     out = (F.col(v) < low - k * (high - low)) | (F.col(v) > high + k * (high - low))
-    return df.crossJoin(F.broadcast(q)).agg(F.count(v).alias("n"), F.count_if(out).alias("n_outliers"), tidy(share(F.count_if(out), F.count(v))).alias("outlier_pct"), tidy(F.first(low)).alias("q1"), tidy(F.first(high)).alias("q3"))
+    return df.agg(F.count(v).alias("n"), F.count_if(out).alias("n_outliers"), tidy(share(F.count_if(out), F.count(v))).alias("outlier_pct"), tidy(F.first(low)).alias("q1"), tidy(F.first(high)).alias("q3"))
 
 
 def histogram(df: DataFrame, v: str, bins: int) -> DataFrame:
@@ -170,21 +251,23 @@ def decimate(px: DataFrame, k: int) -> DataFrame:
 
 
 def numbered(df: DataFrame, key: str) -> DataFrame:
-    """rn, the place of each row in the order of a numeric key, without one task that holds all rows.
+    """rn, the place of each row in the order of a key (ties in any order, null first), without one task that holds all rows.
 
-    Keys are cut into ranges; each is numbered by itself and starts after the
-    rows of the ranges before it, of which there are as many as shuffle partitions.
+    Rows are dealt in ranges of the key that hold about as many rows each (Spark
+    samples them; rows of one key are told apart by their place in the input, so
+    that a key with many rows is spread too), numbered in each and offset by the
+    rows of the ranges before, of which there are as many as shuffle partitions.
     """
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    low, high = df.agg(F.min(key), F.max(key)).first()
-    if low is None:
-        return df.withColumn("rn", F.lit(0).cast("bigint"))
-    width = max((high - low) / parts, 1e-9)
-    cut = df.withColumn("_part", F.least(F.lit(parts - 1), F.floor((F.col(key) - low) / width)).cast("int"))
-    sizes = cut.groupBy("_part").agg(F.count("*").alias("_n"))
+    tie = "_tie"
+    dealt = df.withColumn(tie, F.monotonically_increasing_id()).repartitionByRange(F.col(key).asc_nulls_first(), tie).sortWithinPartitions(F.col(key).asc_nulls_first(), tie)
+    # worked out once: the ranges of a sample may fall otherwise a second time
+    dealt = shared.written(dealt.drop(tie).withColumn("_id", F.monotonically_increasing_id()), "numbered")
+    part = F.shiftrightunsigned("_id", 33)
+    sizes = dealt.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
     before = sizes.select("_part", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # one row a range
-    own = F.row_number().over(W.partitionBy("_part").orderBy(key))
-    return cut.withColumn("_own", own).join(F.broadcast(before), "_part").withColumn("rn", (F.col("_own") + F.col("_before")).cast("bigint")).drop("_part", "_own", "_before")
+    own = F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    out = dealt.withColumn("_part", part).join(F.broadcast(before), "_part")
+    return out.withColumn("rn", own + F.col("_before")).drop("_part", "_id", "_before")
 
 
 def every_nth(df: DataFrame, key: str, n: int = 10, first: int = 3) -> DataFrame:

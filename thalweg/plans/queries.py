@@ -171,7 +171,7 @@ def nodata_mask(spark, d):
 
 @query(f"WITH {B.grid_sql(100)} SELECT count(v) AS n, {R('min(v)')} AS min_value, {R('max(v)')} AS max_value, {R('avg(v)')} AS mean, {R('stddev_pop(v)')} AS std, {R('median(v)')} AS median FROM dsm")
 def raster_stats(spark, d):
-    return B.raster(spark, d, 100, "dsm").agg(*stats.summary("v"))
+    return stats.summary(B.raster(spark, d, 100, "dsm"), "v")
 
 
 @query(f"WITH {ENCODED} SELECT CASE WHEN raw = -9999 THEN 'nodata' WHEN raw < 0 THEN 'negative' WHEN raw > 0 THEN 'positive' ELSE 'zero' END AS kind, count(*) AS n, count(*) FILTER (raw BETWEEN 0 AND 500) AS plausible FROM enc GROUP BY 1")
@@ -250,7 +250,7 @@ def error_metrics(spark, d):
 
 @query(f"WITH {B.METHODS3_SQL}, ok AS (SELECT r, c FROM m3 GROUP BY r, c HAVING count(v) = 3) SELECT method, count(v) AS n, {R('avg(v)')} AS mean, {R('stddev_pop(v)')} AS std, {R('median(v)')} AS median FROM m3 JOIN ok USING (r, c) GROUP BY method")
 def common_pixels(spark, d):
-    return joins.common_pixels(B.methods3(spark, d), 3).groupBy("method").agg(F.count("v").alias("n"), A.tidy(F.avg("v")).alias("mean"), A.tidy(F.stddev_pop("v")).alias("std"), A.tidy(F.median("v")).alias("median"))
+    return stats.summary(joins.common_pixels(B.methods3(spark, d), 3), "v", "method").select("method", "n", "mean", "std", "median")
 
 
 @query(f"WITH {B.METHODS3_SQL}, x AS (SELECT a.method, a.v - b.v AS e FROM m3 a JOIN m3 b USING (r, c) WHERE b.method = 'mean' AND a.method <> 'mean') SELECT method, {errors_sql('e')} FROM x GROUP BY method")
@@ -309,9 +309,11 @@ def transect(spark, d):
     return B.raster(spark, d, 10, "dsm").filter(F.col("r") == _height(spark, d) // 2).select("c", A.tidy(F.col("v")).alias("v"))
 
 
-@query("WITH t AS (SELECT range AS tile_number, CAST(floor(range/82) AS BIGINT) AS grid_row, range % 82 AS grid_col FROM range(4182)) SELECT *, grid_row*768 AS pixel_row, grid_col*768 AS pixel_col, CAST(grid_col*768 AS DOUBLE)*2 AS bounds_left, 0-CAST(grid_row*768 AS DOUBLE)*2 AS bounds_top, CAST(grid_col*768+1024 AS DOUBLE)*2 AS bounds_right, -CAST(grid_row*768+1024 AS DOUBLE)*2 AS bounds_bottom FROM t")
+@query(f"""WITH {B.grid_sql(10)}, h AS (SELECT CAST(floor((max(r)+1-16)/12)+1 AS BIGINT) AS n FROM dsm), t AS (SELECT i AS tile_number, CAST(floor(i/2) AS BIGINT) AS grid_row, i % 2 AS grid_col FROM range(1000000) x(i), h WHERE i < 2*n)
+  SELECT *, grid_row*12 AS pixel_row, grid_col*12 AS pixel_col, CAST(grid_col*12 AS DOUBLE)*2 AS bounds_left, 0-CAST(grid_row*12 AS DOUBLE)*2 AS bounds_top, CAST(grid_col*12+16 AS DOUBLE)*2 AS bounds_right, -CAST(grid_row*12+16 AS DOUBLE)*2 AS bounds_bottom FROM t""")
 def tile_grid(spark, d):
-    return G.tile_grid(spark, 63600, 39453, transform=(2.0, 0.0, 0.0, 0.0, -2.0, 0.0))
+    """Of the table's raster."""
+    return G.tile_grid(spark, 32, _height(spark, d), 16, 12, (2.0, 0.0, 0.0, 0.0, -2.0, 0.0))
 
 
 TILES = "h AS (SELECT CAST(floor((max(r)+1-16)/12)+1 AS BIGINT) AS n FROM dsm), tl AS (SELECT x.i AS tr, y.j AS tc FROM range(100000) x(i), range(2) y(j), h WHERE x.i < n), a AS (SELECT tr*2+tc AS tile, r, c, v FROM dsm JOIN tl ON r >= tr*12 AND r < tr*12+16 AND c >= tc*12 AND c < tc*12+16)"
@@ -334,11 +336,13 @@ def tile_coverage(spark, d):
     return t.select("tile", A.tidy(pct).alias("pct"), A.coverage_status(pct).alias("status"))
 
 
-@query("WITH n AS (SELECT (25+i)*82 + 41+j AS tile FROM range(-5, 6) x(i), range(-5, 6) y(j)), p AS (SELECT unnest([50, 156, 359, 4181, 2091]) AS tile) SELECT CAST(tile AS BIGINT) AS tile FROM n WHERE tile BETWEEN 0 AND 4181 UNION SELECT CAST(tile AS BIGINT) FROM p")
+@query(f"WITH {B.FILES_SQL}, t AS (SELECT DISTINCT doc_id % 400 AS tile, lang = (SELECT min(lang) FROM files) AS bare FROM files), n AS (SELECT (CAST(floor(tile/20) AS BIGINT)+i)*20 + tile%20+j AS tile FROM t, range(-2, 3) x(i), range(-2, 3) y(j) WHERE bare) SELECT tile FROM n WHERE tile BETWEEN 0 AND 399 UNION SELECT tile FROM t WHERE NOT bare")
 def candidate_tiles(spark, d):
-    around = spark.range(11).crossJoin(spark.range(11).withColumnRenamed("id", "j")).select(((25 + F.col("id") - 5) * 82 + 41 + F.col("j") - 5).alias("tile"))  # the 121 tiles about the middle
-    given = spark.createDataFrame([(t,) for t in (50, 156, 359, 4181, 2091)], "tile bigint")
-    return around.filter(F.col("tile").between(0, 4181)).union(given).distinct()
+    """Tiles around the images of one language, and all tiles of the others."""
+    t = B.files(spark, d).select(names.tile_number(F.col("file")).cast("bigint").alias("tile"), "lang")
+    bare = F.col("lang") == F.col("first")
+    t = t.crossJoin(F.broadcast(t.agg(F.min("lang").alias("first")))).select("tile", bare.alias("bare")).distinct()
+    return joins.candidate_tiles(t.filter("bare").select("tile"), t.filter("not bare").select("tile"), 20, 20, 2)
 
 
 @query(f"""WITH {B.grid_sql(10)}, w AS (SELECT CAST(floor(r/50) AS BIGINT) AS tile, r, c, coalesce(dsm > 100, FALSE) AS water, dsm - dtm AS depth FROM pair), k AS (SELECT tile, r, count(*) FILTER (depth > 0 AND depth < 5) AS ok, max(c)-min(c)+1 AS width FROM w WHERE water GROUP BY tile, r)
@@ -358,7 +362,7 @@ def river_width(spark, d):
 def gaussian_1d(spark, d):
     t = B.raster(spark, d, 10, "dsm")
     full = t.crossJoin(F.broadcast(t.agg(F.avg("v").alias("m")))).select("r", "c", F.coalesce("v", "m").alias("v"))
-    return focal.smooth_along(full, "r", _height(spark, d), focal.gaussian_kernel(2.0)).select("r", "c", A.tidy(F.col("v")).alias("v"))
+    return focal.smooth_along(full, "r", _height(spark, d), focal.gaussian_kernel(2.0), 32).select("r", "c", A.tidy(F.col("v")).alias("v"))
 
 
 @query(f"""WITH {B.grid_sql(10)}, t AS (SELECT i AS t, i*(CAST(31 AS DOUBLE)/79) AS p FROM range(80) x(i)), q AS (SELECT t, CAST(least(floor(p), 30) AS BIGINT) AS lo, p FROM t)
@@ -369,7 +373,7 @@ def resize_bilinear(spark, d):
 
 @query(f"""WITH {B.grid_sql(10)} SELECT a.r, a.c, {R('(n.v - s.v)/2')} AS dzdr, {R('(e.v - w.v)/2')} AS dzdc FROM dsm a JOIN dsm n ON n.r = a.r+1 AND n.c = a.c JOIN dsm s ON s.r = a.r-1 AND s.c = a.c JOIN dsm e ON e.r = a.r AND e.c = a.c+1 JOIN dsm w ON w.r = a.r AND w.c = a.c-1""")
 def hillshade_gradient(spark, d):
-    return focal.gradients(B.raster(spark, d, 10, "dsm")).select("r", "c", A.tidy(F.col("dzdr")).alias("dzdr"), A.tidy(F.col("dzdc")).alias("dzdc"))
+    return focal.gradients(B.raster(spark, d, 10, "dsm"), _height(spark, d), 32).select("r", "c", A.tidy(F.col("dzdr")).alias("dzdr"), A.tidy(F.col("dzdc")).alias("dzdc"))
 
 
 @query(f"""WITH {B.grid_sql(10)}, h AS (SELECT max(r)+1 AS h FROM dsm), b AS (SELECT i, greatest(0, i*32-4) AS lo, least(h, (i+1)*32+4) AS hi FROM range(100000) x(i), h WHERE i*32 < h),
@@ -435,11 +439,15 @@ def template_match(spark, d):
 
 @query()
 def tm_roundtrip(spark, d):
-    t = spark.range(400).select(F.col("id"), (530000 + (F.col("id") % 20) * 2500).cast("double").alias("x"), (550000 + F.floor(F.col("id") / 20) * 3000).cast("double").alias("y"))
-    x, y = warp.transform(F.col("x"), F.col("y"), "EPSG:2157", "EPSG:32629")
-    t = t.withColumns({"utm_x": x, "utm_y": y})
-    bx, by = warp.transform(F.col("utm_x"), F.col("utm_y"), "EPSG:32629", "EPSG:2157")
-    return t.select("id", F.round("utm_x", 3).alias("utm_x"), F.round("utm_y", 3).alias("utm_y"), (F.hypot(bx - F.col("x"), by - F.col("y")) < 0.001).alias("closes"))
+    """The raster's points as places in Ireland, to UTM, to the old Irish grid with its datum, and back."""
+    t = B.points(spark, d).select("id", (530000 + F.col("x") * 1500).alias("x"), (550000 + F.col("y") % 100 * 3000).alias("y"))
+    steps = ("EPSG:2157", "EPSG:32629", "EPSG:29903", "EPSG:2157")
+    at = [(F.col("x"), F.col("y"))]
+    for i, (a, b) in enumerate(zip(steps, steps[1:], strict=False)):
+        x, y = warp.transform(*at[-1], a, b)
+        t = t.withColumns({f"x{i}": x, f"y{i}": y})
+        at.append((F.col(f"x{i}"), F.col(f"y{i}")))
+    return t.select("id", *[F.round(c, 3).alias(n) for c, n in (("x0", "utm_x"), ("y0", "utm_y"), ("x1", "grid_x"), ("y1", "grid_y"))], (F.hypot(F.col("x2") - F.col("x"), F.col("y2") - F.col("y")) < 0.01).alias("closes"))
 
 
 @query(f"WITH {B.BOXES_SQL} SELECT a.id AS id_a, b.id AS id_b, greatest(a.l, b.l) AS \"left\", least(a.r, b.r) AS \"right\", greatest(a.b, b.b) AS bottom, least(a.t, b.t) AS top, (least(a.r, b.r)-greatest(a.l, b.l))*(least(a.t, b.t)-greatest(a.b, b.b)) AS area FROM boxes a JOIN boxes b ON a.id < b.id AND a.l < b.r AND b.l < a.r AND a.b < b.t AND b.b < a.t")

@@ -3,44 +3,84 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import names
 from ..schema import TILE_DEPTH
 
 
+#: Lines of an ASCII grid that are no cells.
+_HEADER = r"(?i)^(ncols|nrows|xll\w+|yll\w+|cellsize|nodata_value)\s+(\S+)"
+
+
+def _ascii_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of text files, split by byte ranges: path, where the range starts, place within the range, line."""
+    meta = F.col("_metadata")
+    lines = spark.read.text(path).select(meta["file_path"].alias("path"), meta["file_block_start"].alias("split"), F.monotonically_increasing_id().alias("at"), F.trim("value").alias("line"))
+    return lines.filter("line <> ''")
+
+
 def ascii_header(spark: SparkSession, path: str) -> DataFrame:
     """Name, columns, rows, corner, cell and nodata of ESRI ASCII grids."""
-    text = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), "value")
-    pick = lambda key: F.nullif(F.regexp_extract("value", rf"(?i){key}\s+(\S+)", 1), F.lit(""))
-    return text.select(
-        "path",
+    lines = _ascii_lines(spark, path).filter(F.col("line").rlike(_HEADER))
+    lines = lines.select("path", F.lower(F.regexp_extract("line", _HEADER, 1)).alias("key"), F.regexp_extract("line", _HEADER, 2).alias("value"))
+    pick = lambda key: F.max(F.when(F.col("key") == key, F.col("value")))
+    # a grid is placed by its lower left corner or by the centre of the cell there
+    corner = lambda axis: F.coalesce(pick(f"{axis}llcorner").cast("double"), pick(f"{axis}llcenter").cast("double") - pick("cellsize").cast("double") / 2)
+    return lines.groupBy("path").agg(
         pick("ncols").cast("int").alias("width"),
         pick("nrows").cast("int").alias("height"),
-        F.coalesce(pick("xllcorner"), pick("xllcenter")).cast("double").alias("left"),
-        F.coalesce(pick("yllcorner"), pick("yllcenter")).cast("double").alias("bottom"),
+        corner("x").alias("left"),
+        corner("y").alias("bottom"),
         pick("cellsize").cast("double").alias("cell"),
         F.coalesce(pick("nodata_value"), F.lit("-9999")).cast("double").alias("nodata"),
     )
 
 
 def ascii_pixels(spark: SparkSession, path: str) -> DataFrame:
-    """(path, r, c, x, y, v) of every cell; nodata is null and y is a cell's centre."""
-    text = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), "value")
-    body = F.regexp_replace("value", r"(?is)^(\s*(ncols|nrows|xll\w+|yll\w+|cellsize|nodata_value)\s+\S+\s*?[\r\n]+)+", "")
-    rows = text.select("path", F.posexplode(F.filter(F.split(body, r"[\r\n]+"), lambda x: F.trim(x) != "")).alias("r", "line"))
-    cells = rows.select("path", "r", F.posexplode(F.split(F.trim("line"), r"\s+")).alias("c", "s"))
+    """(path, r, c, x, y, v) of every cell; nodata is null and y is a cell's centre.
+
+    Files are split by byte ranges. A value's place in its grid is its place in
+    the range after the values of the ranges before, so a grid of any size takes
+    many tasks, and its lines may be broken anywhere. A window holds one range.
+    """
+    lines = _ascii_lines(spark, path).filter(~F.col("line").rlike(_HEADER))
+    lines = lines.withColumn("s", F.split("line", r"\s+")).withColumn("n", F.size("s"))
+    in_order = W.partitionBy("path").orderBy("split").rowsBetween(W.unboundedPreceding, -1)
+    ranges = lines.groupBy("path", "split").agg(F.sum("n").alias("n")).select("path", "split", F.coalesce(F.sum("n").over(in_order), F.lit(0)).alias("before"))
+    within = W.partitionBy("path", "split").orderBy("at").rowsBetween(W.unboundedPreceding, -1)
+    placed = lines.withColumn("within", F.coalesce(F.sum("n").over(within), F.lit(0))).join(ranges, ["path", "split"])
+    cells = placed.select("path", (F.col("before") + F.col("within")).alias("first"), F.posexplode("s").alias("pos", "s")).select("path", (F.col("first") + F.col("pos")).alias("i"), "s")
     out = cells.join(F.broadcast(ascii_header(spark, path)), "path")  # a row a file
-    v = F.col("s").cast("double")
+    v, r, c = F.col("s").cast("double"), F.expr("cast(i div width as int)"), (F.col("i") % F.col("width")).cast("int")
+    out = out.withColumn("r", r).withColumn("c", c)
     return out.select("path", "r", "c", (F.col("left") + (F.col("c") + 0.5) * F.col("cell")).alias("x"), (F.col("bottom") + (F.col("height") - F.col("r") - 0.5) * F.col("cell")).alias("y"), F.when(v != F.col("nodata"), v).alias("v"))
 
 
+def write_ascii(px: DataFrame, path: str, transform: tuple, width: int, height: int, rows: int = 1024, nodata: float = -9999.0) -> None:
+    """Pixels (r, c, v) as ESRI ASCII grids, one for each `rows` rows: path/grid=<k>/part-*.
+
+    A grid's lines are put together where it is written: a line is one row of
+    pixels, and Spark deals whole grids.
+    """
+    a, _, left, _, _, top = transform
+    cell = F.coalesce(F.col("v").cast("string"), F.lit(f"{nodata:g}"))
+    lines = px.withColumn("v", cell).groupBy("r").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c", "v"))), lambda x: x.v), " ").alias("value"))
+    lines = lines.select(F.expr(f"r div {rows}").alias("grid"), F.col("r").alias("line"), "value")
+    n = F.least(F.lit(rows), F.lit(height) - F.col("grid") * rows)
+    head = F.concat(F.lit(f"ncols {width}\nnrows "), n.cast("string"), F.lit(f"\nxllcorner {left!r}\nyllcorner "), (F.lit(float(top)) - (F.col("grid") * rows + n) * float(a)).cast("string"), F.lit(f"\ncellsize {float(a)!r}\nNODATA_value {nodata:g}"))
+    heads = px.sparkSession.range(-(-height // rows)).select(F.col("id").alias("grid"), F.lit(-1).cast("bigint").alias("line")).withColumn("value", head)
+    lines.unionByName(heads).repartition("grid").sortWithinPartitions("grid", "line").select("grid", "value").write.partitionBy("grid").text(path)
+
+
 def projection(spark: SparkSession, path: str, assumed: str = "EPSG:2157") -> DataFrame:
-    """The system a .prj names, or the assumed one."""
+    """The system a .prj names by its code or a known name; or its definition, which warp.system() reads; or the assumed one."""
     text = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), "value")
     code = F.nullif(F.regexp_extract("value", r'AUTHORITY\["EPSG",\s*"?(\d+)"?\]\s*\]\s*$', 1), F.lit(""))
     named = F.when(F.contains(F.upper("value"), F.lit("UTM")) & F.contains("value", F.lit("29")), "EPSG:32629").when(F.contains(F.upper("value"), F.lit("ITM")) | F.contains("value", F.lit("IRENET95")), "EPSG:2157")
-    return text.select("path", F.coalesce(F.concat(F.lit("EPSG:"), code), named, F.lit(assumed)).alias("crs"))
+    whole = F.when(F.col("value").rlike(r"(?i)^\s*(PROJCS|GEOGCS)\s*\["), F.trim("value"))
+    return text.select("path", F.coalesce(F.concat(F.lit("EPSG:"), code), named, whole, F.lit(assumed)).alias("crs"))
 
 
 def listing(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
