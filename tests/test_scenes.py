@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from thalweg.operators import blockwise, spatial, warp, zones
+from thalweg.operators import blockwise, joins, spatial, warp, zones
 from thalweg.operators.composites import ascii_mosaic
 from thalweg.sources import files
 
@@ -42,6 +42,12 @@ def test_quadtree_cells_are_bounded(spark):
     assert empty.collect() == []
 
 
+def test_candidate_tiles(spark):
+    tiles = lambda *n: spark.createDataFrame([(x,) for x in n], "tile bigint")
+    got = {r["tile"] for r in joins.candidate_tiles(tiles(0, 13), tiles(59, 13, 1), 6, 10, 1).collect()}
+    assert got == {0, 1, 9, 10, 11} | {2, 3, 4, 12, 13, 14, 22, 23, 24} | {59}
+
+
 def stored(spark, x, transform, size):
     rows = [(r, c, None if v != v else float(v)) for r, row in enumerate(x.tolist()) for c, v in enumerate(row)]
     grid = blockwise.Grid(*x.shape, size)

@@ -9,8 +9,6 @@ mostly) are no such groups; they take fill_lines() instead.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame

@@ -153,3 +153,30 @@ def source_comparison(spark, d):
     coarse = dtm.groupBy(fourth("r"), fourth("c")).agg((F.when(F.count("v") > 14, F.avg("v")) - 58).alias("v"))
     mask = dsm.select("r", "c", ((F.col("r") * 31 + F.col("c") * 17) % 256).alias("v"))
     return C.compare_dtm_sources(mask, dsm, dtm, C.Raster(coarse, -(-h // 4), 8), (h, 32), 58.0, "bilinear")
+
+
+def _spline_sql(src: str, out: str, axis: str, n_in: str, n_out: str) -> str:
+    """CTEs that read a cubic B-spline, mirrored at its ends, through one axis of src (r, c, v) at n_out places."""
+    other = "c" if axis == "r" else "r"
+    mirror = lambda q, n: f"CASE WHEN {q} % (2*{n} - 2) > {n} - 1 THEN 2*{n} - 2 - {q} % (2*{n} - 2) ELSE {q} % (2*{n} - 2) END"
+    return f"""{out}_k AS (SELECT i AS k, pow(z, abs(i))*(-6*z/(1 - z*z)) AS w FROM range(-30, 31) x(i), (SELECT sqrt(CAST(3 AS DOUBLE)) - 2 AS z)),
+  {out}_w AS (SELECT f.{other}, n.i, sum(n.w*f.v) AS v FROM (SELECT i, w, {mirror('(i + k + 60*(2*' + n_in + ' - 2))', n_in)} AS q FROM range(1000000) x(i), {out}_k, d WHERE i < {n_in}) n JOIN {src} f ON f.{axis} = n.q GROUP BY f.{other}, n.i),
+  {out}_t AS (SELECT i AS t, i*(CAST({n_in} - 1 AS DOUBLE)/({n_out} - 1)) AS p FROM range(1000000) x(i), d WHERE i < {n_out}),
+  {out}_u AS (SELECT t, CAST(least(floor(p), {n_in} - 2) AS BIGINT) AS lo, p - least(floor(p), {n_in} - 2) AS x FROM {out}_t, d),
+  {out}_b AS (SELECT t, {mirror('abs(lo + j - 1)', n_in)} AS q, CASE j WHEN 0 THEN pow(1-x, 3)/6 WHEN 1 THEN (3*pow(x, 3) - 6*x*x + 4)/6 WHEN 2 THEN (-3*pow(x, 3) + 3*x*x + 3*x + 1)/6 ELSE pow(x, 3)/6 END AS w FROM {out}_u, range(4) y(j), d),
+  {out} AS (SELECT {out}_w.{other}, b.t AS {axis}, sum(b.w*{out}_w.v) AS v FROM {out}_b b JOIN {out}_w ON {out}_w.i = b.q GROUP BY {out}_w.{other}, b.t)"""
+
+
+@query(f"""WITH {B.grid_sql(10)}, h AS (SELECT max(r)+1 AS h FROM dsm), box AS (SELECT min(r) AS r0, max(r)+1 AS r1, min(c) AS c0, max(c)+1 AS c1 FROM dsm, h WHERE v IS NOT NULL AND r BETWEEN 10 AND h - 9 AND c BETWEEN 2 AND 25),
+  d AS (SELECT h, CAST(floor(r0/CAST(4 AS DOUBLE) + CAST(0.5 AS DOUBLE)) AS BIGINT) AS a, CAST(floor(c0/CAST(4 AS DOUBLE) + CAST(0.5 AS DOUBLE)) AS BIGINT) AS b, CAST(floor((r1 - r0)/CAST(4 AS DOUBLE) + CAST(0.5 AS DOUBLE)) AS BIGINT) AS hp, CAST(floor((c1 - c0)/CAST(4 AS DOUBLE) + CAST(0.5 AS DOUBLE)) AS BIGINT) AS wp FROM box, h),
+  cc AS (SELECT CAST(floor(r/4) AS BIGINT) AS r, CAST(floor(c/4) AS BIGINT) AS c, CASE WHEN count(v) > 14 THEN avg(v) END AS v FROM dtm GROUP BY 1, 2), part AS (SELECT r - a AS r, c - b AS c, v FROM cc, d WHERE r >= a AND r < a + hp AND c >= b AND c < b + wp),
+  f AS (SELECT r, c, coalesce(v, (SELECT avg(v) FROM part)) AS v FROM part), {_spline_sql('f', 'x1', 'r', 'hp', 'h')}, {_spline_sql('x1', 'x2', 'c', 'wp', '32')} SELECT r, c, {R('v')} AS v FROM x2""")
+def bicubic_matched(spark, d):
+    """A coarse model of another datum, cut to the valid part of a fine one and resampled to its grid."""
+    h, dtm = _height(spark, d), B.raster(spark, d, 10, "dtm")
+    fourth = lambda x: F.floor(F.col(x) / 4).cast("bigint").alias(x)
+    coarse = dtm.groupBy(fourth("r"), fourth("c")).agg((F.when(F.count("v") > 14, F.avg("v")) - 58).alias("v"))
+    inside = F.col("r").between(10, h - 9) & F.col("c").between(2, 25)
+    fine = C.Raster(B.raster(spark, d, 10, "dsm").withColumn("v", F.when(inside, F.col("v"))), h, 32, (1.0, 0.0, 0.0, 0.0, -1.0, float(h)))
+    out = C.bicubic_matched(fine, C.Raster(coarse, -(-h // 4), 8, (4.0, 0.0, 0.0, 0.0, -4.0, float(h))), 58.0)
+    return out.px.select("r", "c", A.tidy(F.col("v")).alias("v"))

@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import algebra as A
-from ..functions import grid as G
 from ..operators import composites as C
-from ..operators import focal, stats, validate
+from ..operators import focal
 from . import bindings as B
 from .queries import CORR, R, _height, query
 
