@@ -130,6 +130,13 @@ def test_stretches_and_wide_groups(spark, monkeypatch):
         assert got == [(*w[:4], w[6]) for w in whole]
 
 
+def test_very_long_text(spark):
+    """A text of several stretches, in Spark, beside short ones and a long run without spaces."""
+    words = " ".join(f"word{i * 7919 % 9973} thing{i % 31}," for i in range(40_000))
+    assert len(words) > ta.STRETCH
+    check(spark, [(1, words), (2, "short"), (3, "z" * 3000), (4, words[:1000])])
+
+
 def test_groups(spark):
     """align() gives the groups themselves."""
     df = spark.createDataFrame([(1, "The antidisestablishment fox"), (2, None)], SCHEMA)
