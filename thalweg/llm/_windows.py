@@ -232,23 +232,25 @@ def open_runs(runs: Runs, frequent: np.ndarray) -> tuple[Runs, np.ndarray]:
     return {k: v[near] for k, v in runs.items()}, np.where((texts[near] > HOT) | often[near], HOT_OPEN, OPEN)
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text) that have a doc_id, as (key, text): the doc_id itself; or, where a doc_id has unlike texts, (key, text, doc_id) with the place of (doc_id, text) in the order of doc_ids and fingerprints."""
+def keyed(docs: DataFrame) -> tuple[DataFrame, int, int]:
+    """docs (doc_id, text) that have a doc_id, their number and bytes; the docs as (key, text): the doc_id itself; or, where a doc_id has unlike texts, (key, text, doc_id) with the place of (doc_id, text) in the order of doc_ids and fingerprints."""
     known = docs.filter("doc_id is not null")
     print_ = F.xxhash64(F.coalesce("text", F.lit("")))
-    several = known.select("doc_id", print_.alias("print")).groupBy("doc_id").agg(F.min("print").alias("low"), F.max("print").alias("high")).filter("low <> high")
-    if several.isEmpty():
-        return known.select(F.col("doc_id").alias("key"), "text")
+    sums = known.select("doc_id", print_.alias("print"), F.octet_length("text").alias("bytes")).groupBy("doc_id").agg(F.min("print").alias("low"), F.max("print").alias("high"), F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    size = sums.agg(F.count_if(F.col("low") != F.col("high")).alias("several"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes")).first()
+    n, n_bytes = size["n"] or 0, size["bytes"] or 0
+    if not size["several"]:
+        return known.select(F.col("doc_id").alias("key"), "text"), n, n_bytes
     told = known.withColumn("print", print_)
     places = told.select("doc_id", "print").distinct().repartitionByRange("doc_id", "print").sortWithinPartitions("doc_id", "print")
     # partitions are ranges in order, so these ids are in order too
     places = shared.written(places.withColumn("key", F.monotonically_increasing_id()), "places")
-    return told.join(places, ["doc_id", "print"]).select("key", "text", "doc_id")
+    return told.join(places, ["doc_id", "print"]).select("key", "text", "doc_id"), n, n_bytes
 
 
 def frequent_grams(docs: DataFrame, n: int, tokens: Tokens, window: int, k: int, buckets: int) -> np.ndarray:
-    """Anchors that a share of n documents (key, text) continue in their own ways, by a sample of SAMPLED documents: no more than the sample has runs for each of FREQUENT texts, or 1 / FREQUENT_SHARE times a document's runs."""
-    part = max(1, n // SAMPLED)
+    """Anchors that a share of n documents (key, text) continue in their own ways, by a sample of SAMPLED documents (of one in 16, where that is less): no more than the sample has runs for each of FREQUENT texts, or 1 / FREQUENT_SHARE times a document's runs."""
+    part = max(16, n // SAMPLED)
     sample = docs.select("key", "text").filter(F.pmod(F.xxhash64("key"), F.lit(part)) == 0)
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,11 +273,10 @@ def repeats(docs: DataFrame, tokens: Tokens, window: int, k: int, both: bool, bu
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    known = keyed(docs)
-    size = known.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), (size["bytes"] or 0) // BUCKET_BYTES)
+    known, n, n_bytes = keyed(docs)
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_bytes // BUCKET_BYTES)
     places = bucket_ids(spark, buckets)
-    frequent = frequent_grams(known, size["n"], tokens, window, k, buckets)
+    frequent = frequent_grams(known, n, tokens, window, k, buckets)
     found = _runs(known.select("key", "text"), tokens, window, k, places, both, frequent).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(lambda t: bucket_fn(t, frequent), MARKS)
 
     dealt = known.repartition(buckets, "key")
