@@ -173,3 +173,68 @@ def test_prj_files(spark, tmp_path):
         (tmp_path / f"{name}.prj").write_text(text)
         crs = files.projection(spark, str(tmp_path / f"{name}.prj")).first()["crs"]
         assert crs == want if want else warp.system(crs).unit == 0.3048
+
+
+def mapped_back(pixels, source, grid, reach, near):
+    """reproject() within one system, pixel by pixel."""
+    (a, _, c, _, e, f), width, height = grid
+    sa, _, sc, _, se, sf = source
+    out = {}
+    for row in range(height):
+        for col in range(width):
+            r, q = (f + (row + 0.5) * e - sf) / se - 0.5, (c + (col + 0.5) * a - sc) / sa - 0.5
+            w = s = 0.0
+            for i in range(math.floor(r) + reach[0], math.floor(r) + reach[1] + 1):
+                for j in range(math.floor(q) + reach[0], math.floor(q) + reach[1] + 1):
+                    for v in pixels.get((i, j), ()):
+                        w, s = w + near(abs(r - i)) * near(abs(q - j)), s + near(abs(r - i)) * near(abs(q - j)) * v
+            if abs(w) > 1e-9:
+                out[row, col] = s / w
+    return out
+
+
+FINER, COARSER, CLOSE = ((0.75, 0.0, 96.3, 0.0, -0.75, 503.1), 200, 215), ((7.3, 0.0, 90.0, 0.0, -7.3, 510.0), 23, 25), ((0.02, 0.0, 162.0, 0.0, 0.03, 437.5), 150, 90)
+
+
+@pytest.mark.parametrize("grid, places", [(FINER, 1 << 20), (FINER, 1 << 8), (FINER, 1), (COARSER, 1 << 20), (CLOSE, 1 << 20), (CLOSE, 1 << 12)])
+@pytest.mark.parametrize("method", ["bilinear", "cubic"])
+def test_reproject_over_blocks(spark, monkeypatch, method, grid, places):
+    """Blocks of 64 pixels and of few: missing and doubled pixels, places beyond the raster and over block edges."""
+    monkeypatch.setattr(warp, "PLACES", places)
+    rng, source = np.random.default_rng(8), (1.0, 0.0, 100.0, 0.0, -1.0, 500.0)
+    rows = [(r, c, float(v)) for (r, c), v in np.ndenumerate(rng.normal(50, 20, (150, 139))) if rng.random() > 0.1]
+    rows += [(70, 60 + c, 7.0) for c in range(9)] + [(-1, 3, 9.0)]
+    pixels = {}
+    for r, c, v in rows:
+        pixels.setdefault((r, c), []).append(v)
+    px = spark.createDataFrame([*rows, (90, 90, None)], "r bigint, c bigint, v double").orderBy(F.hash("r", "c"))
+    keys = lambda t: (1.5 * t - 2.5) * t * t + 1 if t <= 1 else ((-0.5 * t + 2.5) * t - 4) * t + 2 if t < 2 else 0.0
+    want = mapped_back(pixels, source, grid, *(((0, 1), lambda t: 1 - t) if method == "bilinear" else ((-1, 2), keys)))
+    got = warp.reproject(px, "", source, "", grid, method, (150, 139)).collect()
+    assert len(got) == len(want) and {(x["r"], x["c"]) for x in got} == set(want)
+    np.testing.assert_allclose([x["v"] for x in got], [want[x["r"], x["c"]] for x in got], rtol=1e-6, atol=1e-6)
+
+
+def test_reproject_of_nothing(spark):
+    px, t = spark.createDataFrame([(0, 0, 1.0)], "r bigint, c bigint, v double"), (1.0, 0.0, 0.0, 0.0, -1.0, 10.0)
+    assert warp.reproject(px.limit(0), "", t, "", (t, 9, 9)).collect() == [] == warp.reproject(px, "", t, "", (t, 0, 0)).collect()
+    # places that the source's system lacks have no pixel
+    assert warp.reproject(px, "", t, "", ((1.0, 0.0, math.nan, 0.0, -1.0, 10.0), 3, 3)).collect() == []
+
+
+def test_reproject_exchanges_packs(spark, monkeypatch):
+    """Few rows are exchanged, and tasks follow from the pixels: no row for each pixel or each of the 16 it reads goes to a set number of tasks."""
+    px = spark.range(200 * 300).select(F.expr("id div 300").alias("r"), (F.col("id") % 300).alias("c"), F.col("id").cast("double").alias("v"))
+    t, context = (1.0, 0.0, 0.0, 0.0, -1.0, 200.0), spark.sparkContext
+    fine = ((0.5, 0.0, 0.0, 0.0, -0.5, 200.0), 600, 400)
+    try:
+        context.setJobGroup("packs", "packs")
+        assert warp.reproject(px, "", t, "", fine, "cubic").count() == 240000
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    tracker, store = context.statusTracker(), context._jsc.sc().statusStore()
+    stages = {s for job in tracker.getJobIdsForGroup("packs") for s in tracker.getJobInfo(job).stageIds}
+    done = [x for x in map(store.lastStageAttempt, stages) if x.status().toString() == "COMPLETE"]
+    assert 0 < sum(x.shuffleWriteRecords() for x in done) < 24000
+    monkeypatch.setattr(warp, "SHARE", 1 << 18)
+    assert warp.reproject(px, "", t, "", fine, "cubic", (200, 300)).rdd.getNumPartitions() == -(-(24 * 240000 + 12 * 60000) // (1 << 18))

@@ -210,7 +210,7 @@ def run_fusion(dsm: DataFrame, dtm: DataFrame, height: int, width: int, sigma: f
 
 def warp_to(raster: Raster, target: Raster, method: str = "cubic", offset: float = 0.0) -> Raster:
     """A raster in another's grid and system, with a shift of its heights."""
-    px = warp.reproject(raster.px, raster.crs, raster.transform, target.crs, (target.transform, target.width, target.height), method)
+    px = warp.reproject(raster.px, raster.crs, raster.transform, target.crs, (target.transform, target.width, target.height), method, (raster.height, raster.width))
     return replace(target, px=px.select("r", "c", A.shifted(F.col("v"), offset).alias("v")))
 
 
@@ -219,7 +219,7 @@ def to_utm(raster: Raster, target: str = "EPSG:32629", method: str = "bilinear")
     spark = raster.px.sparkSession
     box = warp.bounds_in(spark.createDataFrame([(0, *raster.bounds)], "id int, left double, bottom double, right double, top double"), raster.crs, target).first()
     transform, width, height = warp.target_grid(box["left"], box["bottom"], box["right"], box["top"], raster.width, raster.height)
-    return Raster(warp.reproject(raster.px, raster.crs, raster.transform, target, (transform, width, height), method), height, width, transform, target)
+    return Raster(warp.reproject(raster.px, raster.crs, raster.transform, target, (transform, width, height), method, (raster.height, raster.width)), height, width, transform, target)
 
 
 def ascii_mosaic(spark: SparkSession, path: str, crs: str | None = None) -> Raster:

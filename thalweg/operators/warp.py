@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -218,8 +221,6 @@ def _shifted(x: Column, y: Column, z: Column, shift: tuple[float, ...]) -> tuple
 
 def _unshifted(x: Column, y: Column, z: Column, shift: tuple[float, ...]) -> tuple[Column, Column, Column]:
     """From WGS84: the exact inverse of _shifted()."""
-    import numpy as np
-
     rx, ry, rz = (math.radians(r / 3600) for r in shift[3:6])
     inverse = np.linalg.inv((1 + shift[6] * 1e-6) * np.array([[1, -rz, ry], [rz, 1, -rx], [-ry, rx, 1]])).tolist()
     x, y, z = x - shift[0], y - shift[1], z - shift[2]
@@ -262,26 +263,122 @@ def target_grid(left: float, bottom: float, right: float, top: float, width: int
     return (step, 0.0, left, 0.0, -step, top), max(1, math.ceil((right - left) / step)), max(1, math.ceil((top - bottom) / step))
 
 
-def _keys_weight(t: Column) -> Column:
+def _keys_weight(t: np.ndarray) -> np.ndarray:
     """Of cubic convolution with a = -0.5."""
-    t = F.abs(t)
-    return F.when(t <= 1, (1.5 * t - 2.5) * t * t + 1).when(t < 2, ((-0.5 * t + 2.5) * t - 4) * t + 2).otherwise(0.0)
-
-
-def reproject(px: DataFrame, source: str, source_transform: tuple, target: str, grid: tuple[tuple, int, int], method: str = "bilinear") -> DataFrame:
-    """Every target pixel is mapped back to the source and reads 2 x 2 or 4 x 4 pixels by an equi-join; missing ones do not weigh."""
+    t = np.abs(t)
+    return np.where(t <= 1, (1.5 * t - 2.5) * t * t + 1, np.where(t < 2, ((-0.5 * t + 2.5) * t - 4) * t + 2, 0.0))
+
+
+#: Rows and columns of a source block at most, target pixels that lie in one by the grids' scales, bytes of a task's share.
+BLOCK, PLACES, SHARE = 64, 1 << 20, 32 << 20
+#: Places weighed in one numpy step.
+AT_ONCE = 1 << 16
+#: Columns of the strips in which target pixels are numbered, so that those of a batch lie near each other.
+STRIP = 128
+PACKED = "br bigint, bc bigint, place boolean, at binary, a binary, b binary"
+
+
+def _block_size(source: str, source_transform: tuple, target: str, transform: tuple) -> int:
+    """Smaller where the target is much finer than the source, for a block's places are read by one task."""
+    metres = lambda crs: 111320.0 if isinstance(s := system(crs), Degrees) else s.unit
+    ratio = 1.0 if source == target else metres(source) / metres(target)
+    finer = ratio * math.sqrt(abs(source_transform[0] * source_transform[4] / (transform[0] * transform[4])))
+    return max(1, min(BLOCK, int(math.sqrt(PLACES) / finer)))
+
+
+def _packs(br: np.ndarray, bc: np.ndarray, place: bool, *columns: np.ndarray) -> pa.RecordBatch:
+    """Rows of PACKED, one for each block of a batch."""
+    order = np.lexsort((bc, br))
+    br, bc, columns = br[order], bc[order], [x[order] for x in columns]
+    first = np.flatnonzero(np.r_[True, (np.diff(br) != 0) | (np.diff(bc) != 0)]) if len(br) else np.zeros(0, np.int64)
+    ends = [*first[1:].tolist(), len(br)]
+    binary = [pa.array([x[i:j].tobytes() for i, j in zip(first.tolist(), ends, strict=False)], pa.binary()) for x in columns]
+    binary += [pa.nulls(len(first), pa.binary())] * (3 - len(columns))
+    return pa.RecordBatch.from_arrays([pa.array(br[first], pa.int64()), pa.array(bc[first], pa.int64()), pa.array([place] * len(first), pa.bool_()), *binary], ["br", "bc", "place", "at", "a", "b"])
+
+
+def reproject(px: DataFrame, source: str, source_transform: tuple, target: str, grid: tuple[tuple, int, int], method: str = "bilinear", shape: tuple[int, int] = (0, 0)) -> DataFrame:
+    """Every target pixel is mapped back to the source and reads 2 x 2 or 4 x 4 pixels; missing ones do not weigh, places that the source system lacks have no pixel.
+
+    Target pixels and source pixels go once, packed, to the source block that the
+    target's place lies in, source pixels also to blocks that reach over the edge.
+    There they are read in order, the block before the places in it, so that a task
+    holds one block and one batch of places. Tasks follow from the numbers of
+    pixels: those of the target, and of the source where its `shape` is given.
+    """
     if method not in ("bilinear", "cubic"):
         raise ValueError(f"method {method!r} is neither bilinear nor cubic")
     (a, _, c, _, e, f), width, height = grid
-    t = px.sparkSession.range(width * height).select(F.floor(F.col("id") / width).alias("row"), (F.col("id") % width).alias("col"))
-    x, y = transform(c + (F.col("col") + 0.5) * a, f + (F.col("row") + 0.5) * e, target, source)
     sa, _, sc, _, se, sf = source_transform
-    t = t.withColumn("sr", (y - sf) / se - 0.5).withColumn("sc", (x - sc) / sa - 0.5)
-    reach = (0, 1) if method == "bilinear" else (-1, 2)
-    step = F.sequence(F.lit(reach[0]), F.lit(reach[1]))
-    t = t.withColumn("i", F.explode(step)).withColumn("j", F.explode(step))
-    t = t.withColumn("r", F.floor("sr").cast("bigint") + F.col("i")).withColumn("c", F.floor("sc").cast("bigint") + F.col("j"))
-    near = (lambda d: 1 - F.abs(d)) if method == "bilinear" else _keys_weight
-    t = t.withColumn("w", near(F.col("sr") - F.col("r")) * near(F.col("sc") - F.col("c")))
-    hit = t.join(px.filter(F.col("v").isNotNull()).select("r", "c", "v"), ["r", "c"])
-    return hit.groupBy("row", "col").agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col("v")).alias("s")).filter(F.abs("w") > 1e-9).select(F.col("row").alias("r"), F.col("col").alias("c"), (F.col("s") / F.col("w")).alias("v"))
+    low, high = (0, 1) if method == "bilinear" else (-1, 2)
+    near = (lambda d: 1 - np.abs(d)) if method == "bilinear" else _keys_weight
+    size = _block_size(source, source_transform, target, grid[0])
+    side = size + high - low
+    spark, n_bytes = px.sparkSession, 24 * width * height
+
+    strip, rest = F.expr(f"id div {max(1, height) * STRIP}"), F.expr(f"id % {max(1, height) * STRIP}")
+    t = spark.range(0, width * height, 1, max(spark.sparkContext.defaultParallelism, -(-n_bytes // SHARE))).select("id", strip.alias("strip"), rest.alias("rest"))
+    t = t.withColumn("across", F.least(F.lit(STRIP), width - F.col("strip") * STRIP))
+    t = t.select(F.expr("rest div across").alias("row"), (F.col("strip") * STRIP + F.col("rest") % F.col("across")).alias("col"))
+    x, y = transform(c + (F.col("col") + 0.5) * a, f + (F.col("row") + 0.5) * e, target, source)
+    t = t.select((F.col("row") * width + F.col("col")).alias("id"), ((y - sf) / se - 0.5).cast("double").alias("sr"), ((x - sc) / sa - 0.5).cast("double").alias("sc"))
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            i, sr, sc = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+            there = (np.abs(sr) < 2.0**40) & (np.abs(sc) < 2.0**40)  # neither NaN
+            i, sr, sc = i[there], sr[there], sc[there]
+            yield _packs(*(np.floor(q).astype(np.int64) // size for q in (sr, sc)), True, i, sr, sc)
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        steps = range(-(-(high - low) // size) + 1)
+        for batch in batches:
+            r, c, v = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+            parts = []
+            for br in ((r - high) // size + k for k in steps):
+                for bc in ((c - high) // size + k for k in steps):
+                    at = np.flatnonzero((br * size <= r - low) & (bc * size <= c - low))
+                    parts.append((br[at], bc[at], ((r - br * size - low) * side + c - bc * size - low)[at].astype(np.int32), v[at]))
+            br, bc, at, v = map(np.concatenate, zip(*parts, strict=True))
+            yield _packs(br, bc, False, at, v)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, n, s = None, None, None
+        for batch in batches:
+            keys = zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True)
+            for (br, bc, place), run in groupby(enumerate(keys), lambda x: x[1]):
+                run = [i for i, _ in run]
+                column = lambda k, kind: np.frombuffer(b"".join(batch.column(k).slice(run[0], len(run)).to_pylist()), kind)  # noqa: B023, E731
+                if now != (br, bc):
+                    now, n = (br, bc), None
+                if not place:
+                    if n is None:
+                        n, s = np.zeros(side * side), np.zeros(side * side)
+                    at = column(3, np.int32)
+                    np.add.at(n, at, 1.0)
+                    np.add.at(s, at, column(4, np.float64))
+                elif n is not None:
+                    i, sr, sc = column(3, np.int64), column(4, np.float64), column(5, np.float64)
+                    for k in range(0, len(i), AT_ONCE):
+                        yield weighed(br, bc, n, s, i[k : k + AT_ONCE], sr[k : k + AT_ONCE], sc[k : k + AT_ONCE])
+
+    def weighed(br: int, bc: int, n: np.ndarray, s: np.ndarray, i: np.ndarray, sr: np.ndarray, sc: np.ndarray) -> pa.RecordBatch:
+        r, c = np.floor(sr), np.floor(sc)
+        first = ((r - br * size) * side + c - bc * size).astype(np.int64)
+        weight, total = np.zeros(len(i)), np.zeros(len(i))
+        across = [near(sc - c - q) for q in range(low, high + 1)]
+        for p in range(high - low + 1):
+            down = near(sr - r - low - p)
+            for q, w in enumerate(across):
+                w, at = down * w, first + p * side + q
+                weight += w * n[at]
+                total += w * s[at]
+        kept = np.abs(weight) > 1e-9
+        i = i[kept]
+        return pa.RecordBatch.from_arrays([pa.array(i // width), pa.array(i % width), pa.array(total[kept] / weight[kept])], ["r", "c", "v"])
+
+    sources = px.filter(F.col("v").isNotNull()).select(F.col("r").cast("bigint").alias("r"), F.col("c").cast("bigint").alias("c"), F.col("v").cast("double").alias("v"))
+    both = sources.mapInArrow(pieces, PACKED).unionAll(t.mapInArrow(places, PACKED))
+    tasks = -(-(n_bytes + 12 * shape[0] * shape[1]) // SHARE)
+    dealt = both.repartition(tasks, "br", "bc") if tasks > int(spark.conf.get("spark.sql.shuffle.partitions")) else both.repartition("br", "bc")
+    return dealt.sortWithinPartitions("br", "bc", "place").mapInArrow(read, "r bigint, c bigint, v double")
